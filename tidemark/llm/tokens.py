@@ -104,26 +104,32 @@ def loaded(path: str) -> ByteBpe:
 
 
 def token_ids(docs: DataFrame, path: str, end_id: int = 0, text: str = "text") -> DataFrame:
-    """(doc_id, ids): each text's ids and ``end_id``, as little-endian unsigned 32-bit integers."""
+    """(doc_id, ids): each text's ids and ``end_id``, as little-endian unsigned integers of ``width(path)`` bytes."""
+    kind = f"<u{width(path)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
             for part in slices(batch):
-                ids = [np.append(x, end_id).astype("<u4").tobytes() for x in bpe.encode([t or "" for t in part.column("text").to_pylist()])]
+                ids = [np.append(x, end_id).astype(kind).tobytes() for x in bpe.encode([t or "" for t in part.column("text").to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), text_or_empty(text).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def frequency_ranks(ids: DataFrame) -> np.ndarray:
+def width(path: str) -> int:
+    """Bytes that an id of the tokenizer takes while it isn't packed yet."""
+    return 2 if loaded(path).tok.get_vocab_size() <= 1 << 16 else 4
+
+
+def frequency_ranks(ids: DataFrame, size: int) -> np.ndarray:
     """All ids that occur, the most frequent first, ties to the smaller id: as many as the vocabulary has at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for raw in batch.column("ids"):
-                got = np.bincount(np.frombuffer(raw.as_buffer(), "<u4"))
+                got = np.bincount(np.frombuffer(raw.as_buffer(), f"<u{size}"))
                 if len(got) > len(total):
                     total = np.pad(total, (0, len(got) - len(total)))
                 total[: len(got)] += got
@@ -137,7 +143,7 @@ def frequency_ranks(ids: DataFrame) -> np.ndarray:
 BLOCKS = "part int, before long, n_ids long, doc_ids binary, lengths binary, control binary, data binary"
 
 
-def encode_blocks(ids: DataFrame, ranked: np.ndarray, n: int) -> DataFrame:
+def encode_blocks(ids: DataFrame, ranked: np.ndarray, width: int, n: int) -> DataFrame:
     """The blocks of ``ids`` in ascending doc_id order (null first; ties by their ids): range-partitioned, then packed."""
     spark = ids.sparkSession
     known = spark.sparkContext.broadcast(ranked)  # the vocabulary's size at most
@@ -150,18 +156,18 @@ def encode_blocks(ids: DataFrame, ranked: np.ndarray, n: int) -> DataFrame:
         size, before = 0, 0
 
         def block() -> pa.RecordBatch:
-            ids = rank[np.frombuffer(b"".join(x[2] for x in held), "<u4")]
+            ids = rank[np.frombuffer(b"".join(x[2] for x in held), f"<u{width}")]
             control, data = pack(ids)
             doc_ids = pa.array([x[1] for x in held], pa.int64())
             # a null doc_id is written as the smallest long
             raw = doc_ids.fill_null(-(2**63)).to_numpy().astype("<i8").tobytes()
-            lengths = np.array([len(x[2]) // 4 for x in held], "<u4").tobytes()
+            lengths = np.array([len(x[2]) // width for x in held], "<u4").tobytes()
             return pa.RecordBatch.from_pylist([{"part": held[0][0], "before": before, "n_ids": size, "doc_ids": raw, "lengths": lengths, "control": control, "data": data}], schema)
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "ids")), strict=True):
                 held.append(row)
-                size += len(row[2]) // 4
+                size += len(row[2]) // width
                 if size >= BLOCK_IDS:
                     yield block()
                     held, before, size = [], before + size, 0
@@ -216,8 +222,9 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0) -> tuple[DataFrame
     """
     spark = docs.sparkSession
     ids = written(token_ids(docs, path, end_id), "op2-ids")
-    ranked = frequency_ranks(ids)
-    return written(encode_blocks(ids, ranked, n_partitions(spark)), "op2-blocks"), ranked
+    size = width(path)
+    ranked = frequency_ranks(ids, size)
+    return written(encode_blocks(ids, ranked, size, n_partitions(spark)), "op2-blocks"), ranked
 
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
