@@ -23,21 +23,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 4
     loops = e.where("u = v").select("u")
     e = written(e.where("u <> v").distinct(), "cc")
     loops = written(loops.distinct(), "cc-loops")
-    state = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both, F.lit(True)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _least(both, F.lit(True)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         m = _least(large, F.lit(True))
         small = m.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e = written(small, "cc")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum("v")).first()
-        if now == state:
+        # stars: every u once, and no centre v is a u
+        centres = e.select("v", F.lit(1).alias("bad"))
+        clash = e.groupBy("u").agg(F.count("*").alias("n")).join(centres.groupBy("v").agg(F.max("bad").alias("bad")), F.col("u") == F.col("v"), "left").where("n > 1 or bad = 1")
+        if not clash.limit(1).count():
             break
-        state = now
     else:
         raise RuntimeError("components did not settle")
     stars = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = e.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))
     found = stars.unionByName(roots)
-    alone = loops.select(F.col("u").alias("id")).join(found.select("id"), "id", "left_anti").withColumn("component", F.col("id"))
-    return found.unionByName(alone)
+    alone = loops.select(F.col("u").alias("id"), F.col("u").alias("component"))
+    return found.unionByName(alone).groupBy("id").agg(F.min("component").alias("component"))

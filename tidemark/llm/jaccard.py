@@ -7,8 +7,8 @@
 2. Trees. Each cell's sets (copies once) become leaves of a tree whose nodes hold OR-combined token bitmaps and size
    ranges. A traversal of the tree against itself prunes node pairs by the largest overlap that they could have, and
    pairs already known to be connected; the rest is verified on the sets.
-3. Large cells are cut into blocks: trees a block, then over the blocks' roots, then what is outside a cell's largest
-   component against all its blocks. No task holds more than two blocks.
+3. Large cells are cut into blocks: trees a block, then over the blocks' least documents, then what is outside a cell's
+   largest component against all its blocks. No task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from tidemark.llm.components import components
 from tidemark.llm.flat import mix, shingle_sets, slices, view
 
 LEAF, FAN = 16, 4
-BLOCK_DOCS, BLOCK_BYTES = 1024, 32 << 20
+BLOCK_DOCS, BLOCK_BYTES = 4096, 32 << 20
 HELD_KEYS = 1 << 20  # segment keys that a task compares before it sends them
 
 
@@ -140,7 +140,7 @@ def ties(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 if sum(map(len, keys)) >= HELD_KEYS:
                     yield send()
                     keys, ids = [], []
-        if keys:
+        if keys and sum(map(len, keys)):
             yield send()
 
     found = docs.mapInArrow(run, "key long, doc_id long, centre long")
@@ -247,26 +247,40 @@ def tree_links(sets: list[np.ndarray], labels: list[int], chosen: list[bool] | N
     return found
 
 
-def _linked(groups: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
-    """Links (a, b) in each group of (keys, doc_id, elements, label, chosen); groups stream by in key order."""
+def _by_group(groups: DataFrame, keys: list[str], num: int, den: int, labels: bool) -> DataFrame:
+    """Trees of each group of (keys, doc_id, elements, label, chosen); groups stream by in key order.
+
+    labels: (a, b) is each document and the least document that it is connected with; else (a, b) are labels to join.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
 
         def send() -> pa.RecordBatch:
-            got = tree_links([np.frombuffer(x[1], np.uint64) for x in held], [x[2] for x in held], [x[3] for x in held], num, den) if len(held) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([held[i][0] for i, _ in got], pa.int64()), pa.array([held[j][0] for _, j in got], pa.int64())], ["a", "b"])
+            ids, own = [x[0] for x in held], [x[2] for x in held]
+            got = tree_links([np.frombuffer(x[1], np.uint64) for x in held], own, [x[3] for x in held], num, den) if len(held) > 1 else []
+            if labels:
+                joined = _Union(list(range(len(ids))))
+                order = sorted(range(len(ids)), key=ids.__getitem__)
+                place = {i: r for r, i in enumerate(order)}  # in order of id, a root is its component's least id
+                for i, j in got:
+                    u, v = joined.find(place[i]), joined.find(place[j])
+                    joined.up[max(u, v)] = min(u, v)
+                a, b = ids, [ids[order[joined.find(place[i])]] for i in range(len(ids))]
+            else:
+                a, b = [own[i] for i, _ in got], [own[j] for _, j in got]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in keys]
             rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "elements", "label", "chosen")), strict=True)
             for key, row in zip(zip(*cols, strict=True), rows, strict=True):
                 if key != at:
-                    if len(held) > 1:
+                    if held:
                         yield send()
                     at, held = key, []
                 held.append(row)
-        if len(held) > 1:
+        if held:
             yield send()
 
     n = n_partitions(groups.sparkSession)
@@ -275,61 +289,55 @@ def _linked(groups: DataFrame, keys: list[str], num: int, den: int) -> DataFrame
 
 def _blocked(sets: DataFrame) -> DataFrame:
     """``sets`` with the number of blocks of their cell and their own block: by count and bytes."""
-    size = sets.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(F.octet_length("elements")) / BLOCK_BYTES)).alias("blocks"), F.count("*").alias("in_cell"))
+    size = sets.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(F.octet_length("elements")) / BLOCK_BYTES)).cast("long").alias("blocks"), F.count("*").alias("in_cell"))
     return sets.join(size.where("in_cell > 1"), "cell").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
 
 
-def links(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b): links that connect exactly the documents that the relation connects; copies are tied to their least id."""
+def labels(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(id, component) of the documents that share a cell with another; component: the least document connected."""
     loose = written(ties(docs, k, num, den), "op7-ties")
     cells = components(loose).select(F.col("id").alias("doc_id"), F.col("component").alias("cell"))
-    sets = written(sets_of(docs.join(cells, "doc_id").select("cell", "doc_id", "text"), k), "op7-sets")
-    least = sets.groupBy("cell", "d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    copies = sets.select("doc_id", "cell", "d1", "d2", "n").join(least, ["cell", "d1", "d2", "n"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    alone = sets.join(least.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("cell", "doc_id", "elements")
-    every = _blocked(alone.dropDuplicates(["doc_id", "elements"])).withColumns({"label": F.col("doc_id"), "chosen": F.lit(True)})
-    found = [written(_linked(every, ["cell", "block"], num, den), "op7-links"), written(copies, "op7-copies")]
-    large = every.where("blocks > 1")
-    if large.select("cell").limit(1).count():
-        large = written(large.select("cell", "doc_id", "elements", "blocks", "block"), "op7-large")
-        found += _large(large, found[0], num, den)
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
-
-
-def _labelled(large: DataFrame, found: list[DataFrame]) -> DataFrame:
-    known = found[0]
-    for x in found[1:]:
-        known = known.unionByName(x)
-    comp = components(known).select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
-    return large.join(comp, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-
-
-def _large(large: DataFrame, within: DataFrame, num: int, den: int) -> list[DataFrame]:
-    """Links across the blocks of cells of more than one block."""
-    found: list[DataFrame] = [within]
-    before = None
-    while True:  # the least document of each component found so far stands for it
-        roots = _labelled(large, found).where("label = doc_id").select("cell", "doc_id", "elements")
-        roots = written(_blocked(roots).withColumns({"label": F.col("doc_id"), "chosen": F.lit(True)}), "op7-roots")
-        now = roots.count()
-        if not now or now == before:
-            break
-        before = now
-        found.append(written(_linked(roots, ["cell", "block"], num, den), "op7-links"))
-    rows = written(_labelled(large, found), "op7-rest")
+    # by sort and merge at every size: cells grow with the documents
+    sets = written(sets_of(docs.hint("merge").join(cells, "doc_id").select("cell", "doc_id", "text"), k), "op7-sets")
+    key = ["cell", "d1", "d2", "n"]
+    least = sets.groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    every = _blocked(sets.join(least, key).where("doc_id = rep").select("cell", "doc_id", "elements").dropDuplicates(["cell", "doc_id"]))
+    every = every.withColumns({"label": F.col("doc_id"), "chosen": F.lit(True)})
+    found = written(_by_group(every, ["cell", "block"], num, den, True), "op7-labels").select(F.col("a").alias("rep"), F.col("b").alias("label"))
+    large = every.where("blocks > 1").select("cell", "doc_id", "elements", "blocks", "block")
+    if large.limit(1).count():
+        found = _large(written(large, "op7-large"), found, num, den)
+    copies = sets.select(*key, "doc_id").join(least, key).select("doc_id", "rep")
+    return copies.join(found, "rep", "left").groupBy(F.col("doc_id").alias("id")).agg(F.min(F.coalesce("label", "rep")).alias("component"))
+
+
+def _large(large: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+    """``found`` (rep, label) with the labels of cells of several blocks joined across their blocks."""
+    firsts = large.join(found.withColumnRenamed("rep", "doc_id"), "doc_id")
+    roots = _blocked(firsts.where("label = doc_id").select("cell", "doc_id", "elements")).withColumns({"label": F.col("doc_id"), "chosen": F.lit(True)})
+    onto = _by_group(roots, ["cell", "block"], num, den, True).select(F.col("a").alias("label"), F.col("b").alias("onto"))
+    onto = written(onto, "op7-roots")
+    rows = written(firsts.join(onto, "label", "left").withColumn("label", F.coalesce("onto", "label")).drop("onto"), "op7-rest")
+    # what is outside its cell's largest component meets every block; a cell of one component is done
     main = rows.groupBy("cell", "label").count().groupBy("cell").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
     rest = rows.join(main, "cell").withColumn("minor", F.col("label") != F.col("main"))
-    chunks = rest.where("minor").groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("chunks"))
-    rest = rest.join(chunks, "cell")  # a cell of one component is done
-    seconds = rest.where("minor").withColumns({"chunk": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("chunks")), "block": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))})
-    firsts = rest.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)))
+    chunks = rest.where("minor").groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("long").alias("chunks"))
+    rest = rest.join(chunks, "cell")
+    numbers = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     cols = ["cell", "block", "chunk", "doc_id", "elements", "label"]
-    pairs = firsts.select(*cols, F.lit(False).alias("chosen")).unionByName(seconds.select(*cols, F.lit(True).alias("chosen")))
-    found.append(written(_linked(pairs, ["cell", "block", "chunk"], num, den), "op7-links"))
-    return found[1:]
+    own = rest.where("not minor").withColumn("chunk", numbers("chunks")).select(*cols, F.lit(False).alias("chosen"))
+    minor = rest.where("minor").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("chunks")))
+    against = minor.drop("block").withColumn("block", numbers("blocks")).select(*cols, F.lit(True).alias("chosen"))
+    # minor documents among themselves: chunk i with chunk j, in groups numbered below zero
+    other = minor.drop("block").withColumn("other", numbers("chunks"))
+    pair = F.struct(F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    among = other.withColumn("p", pair).select("cell", (-1 - F.col("p.i")).alias("block"), F.col("p.j").alias("chunk"), "doc_id", "elements", "label", F.lit(True).alias("chosen"))
+    joins = written(_by_group(own.unionByName(against).unionByName(among), ["cell", "block", "chunk"], num, den, False), "op7-joins")
+    changed = found.join(onto, "label", "left").select("rep", F.coalesce("onto", "label").alias("label"))
+    if not joins.limit(1).count():
+        return changed
+    final = components(joins).select(F.col("id").alias("label"), F.col("component").alias("final"))
+    return changed.join(final, "label", "left").select("rep", F.coalesce("final", "label").alias("label"))
 
 
 def _plain(docs: DataFrame, text: str) -> DataFrame:
@@ -342,7 +350,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     Words are lower-cased (A-Z). Null and empty texts link with nothing. A null doc_id is left out; rows that share a
     doc_id count as one document that links wherever one of them does. Other columns are not read.
     """
-    return components(links(_plain(docs, text).where("doc_id is not null"), k, num, den))
+    return labels(_plain(docs, text).where("doc_id is not null"), k, num, den)
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text") -> DataFrame:
