@@ -2,7 +2,8 @@
 
 Two generative models over hashed words and word pairs, one of target text and one of all raw text, give each document
 the logarithm of its importance weight; Gumbel noise is added and the k largest sums are the sample. k is not guessed:
-it is the number of documents whose sum reaches what a share ``keep`` of the labelled target documents reaches.
+it is the number of documents whose sum reaches what a share ``keep`` of the labelled target documents reaches that the
+model was not fitted on.
 """
 
 from __future__ import annotations
@@ -106,16 +107,17 @@ def target_ids(labels: DataFrame, bound: int = LABELLED) -> DataFrame:
 def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
     """The sampled rows of ``docs`` with ``log_weight`` and ``sample_key`` (weight plus noise).
 
-    Null and empty texts have weight 0 and compete like others; without labelled targets every row stays. Rows that
+    Null and empty texts have weight 0 and compete like others; without held-out labelled targets every row stays. Rows that
     share a doc_id draw the same noise; rows that tie with the k-th key all stay. Other columns pass through.
     """
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     target = written(target_ids(labels), "op1-target")
-    found, raw = bucket_counts(docs.select("doc_id", "text"), target)
+    held = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(5)) == 0  # a fifth judges, the rest is fitted
+    found, raw = bucket_counts(docs.select("doc_id", "text"), target.where(~held))
     ratio = log_ratio(found, raw) if found.sum() else np.zeros(BUCKETS)
     keyed = with_weight(docs, ratio).withColumn("sample_key", F.col("log_weight") + gumbel())
     keys = written(with_weight(docs.select("doc_id", "text"), ratio).select("doc_id", (F.col("log_weight") + gumbel()).alias("sample_key")), "op1-keys")
-    least = keys.join(F.broadcast(target), "doc_id", "left_semi").agg(F.percentile("sample_key", F.lit(1 - keep))).first()[0]
+    least = keys.join(F.broadcast(target.where(held)), "doc_id", "left_semi").agg(F.percentile("sample_key", F.lit(1 - keep))).first()[0]
     if least is None:
         return keyed
     k = keys.where(F.col("sample_key") >= least).count()
