@@ -94,7 +94,8 @@ def piece_uses(docs: DataFrame) -> DataFrame:
     pieces = placed(rows, tags).withColumn("block", F.explode_outer(span))
     first = F.greatest(F.col("block") * BLOCK, F.col("at"))
     pieces = pieces.withColumns({"first": first - F.col("at"), "n": F.least((F.col("block") + 1) * BLOCK, F.col("at") + F.col("size")) - first})
-    return pieces.join(uses, ["no", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+    # the estimate from the small table of sources misses what the slots expand to: never broadcast them
+    return pieces.hint("merge").join(uses, ["no", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
 
 
 def mix(docs: DataFrame) -> DataFrame:
