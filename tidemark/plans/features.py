@@ -8,7 +8,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import card, encoding, graph, mart
 from tidemark.operators.priors import percent_rank, prior_sums
 from tidemark.plans.registry import query, rounded, table
-from tidemark.sources.transactions import EVT_SQL, ORD_SQL, event_transactions, order_transactions, read_role, sample_rows, write_mart
+from tidemark.sources.transactions import EVT_SQL, ORD_SQL, TXN_SCHEMA, event_transactions, order_transactions, read_role, read_transactions, sample_rows, save_models, write_mart, write_report
 from tidemark.storage import shared_dir
 
 E, O = EVT_SQL, ORD_SQL
@@ -364,3 +364,45 @@ def set1(spark, d):
     return mart.union_splits(o.where(F.col("o_orderdate") < day), o.where(F.col("o_orderdate") >= day)).select("o_orderkey", "dataset_split")
 
 
+
+
+@query("src1_src2_csv_transactions", f"SELECT trans_num AS row_id, CAST(trans_num AS VARCHAR) AS trans_num, ts AS trans_date_trans_time, cc_num, amt, '0' || CAST(cc_num % 10 AS VARCHAR) AS zip, CAST(is_fraud AS INTEGER) AS is_fraud FROM {O}")
+def src1_csv(spark, d):
+    """Orders written as a transaction CSV in the shared folder and read by the CSV source: zip codes keep their zero."""
+    import uuid
+
+    t = order_transactions(spark, d)
+    none = F.lit("x")
+    values = {
+        "column00": F.col("trans_num"), "trans_date_trans_time": F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "merchant": F.col("merchant").cast("string"), "zip": F.concat(F.lit("0"), (F.col("cc_num") % 10).cast("string")),
+        "city_pop": F.lit(1), "dob": F.lit("1990-01-01"), "unix_time": F.lit(0), "trans_num": F.col("trans_num").cast("string"),
+    }
+    cols = [values.get(f.name, F.col(f.name) if f.name in t.columns else none).alias(f.name) for f in TXN_SCHEMA]
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    t.select(*cols).write.option("header", True).csv(path)
+    return read_transactions(spark, path).select("row_id", "trans_num", "trans_date_trans_time", "cc_num", "amt", "zip", "is_fraud")
+
+
+@query("snk2_report_roundtrip", f"SELECT dataset_split, count(*) AS n, CAST(sum(is_fraud) AS BIGINT) AS positives FROM {E} GROUP BY 1")
+def snk2(spark, d):
+    import uuid
+
+    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    write_report(event_transactions(spark, d).groupBy("dataset_split").agg(F.count("*").alias("n"), F.sum("is_fraud").alias("positives")), path)
+    return spark.read.schema("dataset_split string, n long, positives long").json(path)
+
+
+@query("snk3_saved_models")
+def snk3(spark, d):
+    """A fitted model saved, loaded and used to score: key and probability."""
+    import uuid
+
+    from pyspark.ml import PipelineModel
+
+    from tidemark.operators import models
+
+    t = event_transactions(spark, d).select("trans_num", "amt", F.hour("ts").cast("double").alias("hour"), "is_fraud", "dataset_split")
+    path = f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
+    fitted = models.simple_baseline(t.where("dataset_split = 'train'"), "is_fraud", ["amt", "hour"])
+    save_models({"baseline": fitted}, t.agg(F.count("*").alias("rows")), path)
+    return models.score_baseline(t.where("dataset_split = 'test'"), PipelineModel.load(f"{path}/baseline")).select("trans_num", "p")

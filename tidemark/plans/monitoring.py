@@ -219,7 +219,10 @@ def drf4(spark, d):
     return drift.compare(*_drift_sides(spark, d), ["l_quantity", "l_extendedprice", "l_discount"], {"l_discount": "l_discount"})
 
 
-@query("drf6_gate", "SELECT CAST(0 AS BIGINT) AS significant, CAST(0 AS BIGINT) AS moderate, true AS passed")
+_DISC = "u AS (SELECT l_discount AS v, l_shipdate < TIMESTAMP '1998-01-01' AS r FROM lineitem WHERE l_discount IS NOT NULL)"
+
+
+@query("drf6_gate", f"WITH {_SIDES}, {_DISC}, x AS ({_psi_sql('l_quantity', 's')} UNION ALL {_psi_sql('l_discount', 'u')}) SELECT count(*) FILTER (WHERE psi >= 0.25) AS significant, count(*) FILTER (WHERE psi >= 0.1 AND psi < 0.25) AS moderate, count(*) FILTER (WHERE psi >= 0.25) = 0 AS passed FROM x")
 def drf6(spark, d):
     return drift.gate(drift.psi(*_drift_sides(spark, d), ["l_quantity", "l_discount"]))
 
