@@ -115,7 +115,8 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray
     acc = np.full(len(h), k, np.uint64)
     for i in range(k):
         nxt = np.zeros(len(h), np.uint64)
-        nxt[: len(h) - i] = h[i:] if i else h
+        left = max(0, len(h) - i)
+        nxt[:left] = h[i : i + left]
         acc = mix(acc * _ODD ^ nxt)
     place = np.arange(len(h)) - first[rows]
     keep = place + k <= count[rows]
