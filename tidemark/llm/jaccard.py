@@ -42,11 +42,19 @@ def bands(num: int, den: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.
         d = 2 * hi * (den - num) // (den + num)
         n_min = max(1, lo * num // den)
 
-        def fallback(k: int, d: int = d, n: int = n_min) -> float:
-            lam = k * (1 - 1 / k) ** n  # empty segments of the band's smallest set
-            return 1 - sum(math.exp(-lam) * lam**i / math.factorial(i) for i in range(min(k - d, 100)))
-
-        best = min(range(d + 1, d + 2 + max(1, d // 3)), key=lambda k: (fallback(k) > 1e-3, fallback(k) if fallback(k) > 1e-3 else k))
+        def empty(k: int, n: int = n_min) -> float:
+            return k * (1 - 1 / k) ** n  # expected empty segments of the band's smallest set
+
+        def fallback(k: int, d: int = d) -> float:
+            lam = max(empty(k), 1e-12)
+            return 1 - sum(math.exp(i * math.log(lam) - lam - math.lgamma(i + 1)) for i in range(k - d))
+
+        if d <= 64:  # few enough to try all
+            best = min(range(d + 1, d + 2 + max(1, d // 3)), key=lambda k: (fallback(k) > 1e-3, fallback(k) if fallback(k) > 1e-3 else k))
+        else:  # four deviations above the mean
+            best = d + 1
+            while best - d <= empty(best) + 4 * math.sqrt(empty(best)) + 1:
+                best += 1 + (best - d) // 8
         first.append(lo)
         segments.append(best)
         differ.append(d)
