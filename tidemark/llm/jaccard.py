@@ -50,11 +50,11 @@ def bands(num: int, den: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.
             return 1 - sum(math.exp(i * math.log(lam) - lam - math.lgamma(i + 1)) for i in range(k - d))
 
         if d <= 64:  # few enough to try all
-            best = min(range(d + 1, d + 2 + max(1, d // 3)), key=lambda k: (fallback(k) > 1e-3, fallback(k) if fallback(k) > 1e-3 else k))
-        else:  # four deviations above the mean
+            best = min(range(d + 1, d + 2 + max(1, d // 3)), key=lambda k: (fallback(k) > 1e-2, fallback(k) if fallback(k) > 1e-2 else k))
+        else:  # two deviations above the mean
             best = d + 1
-            while best - d <= empty(best) + 4 * math.sqrt(empty(best)) + 1:
-                best += 1 + (best - d) // 8
+            while best - d <= empty(best) + 2 * math.sqrt(empty(best)):
+                best += 1 + (best - d) // 16
         first.append(lo)
         segments.append(best)
         differ.append(d)
@@ -65,7 +65,9 @@ def bands(num: int, den: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.
 def segment_keys(h: np.ndarray, rows: np.ndarray, n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """(key, row) of each segment of each set: in its own size band, and in the next where larger partners may lie.
 
-    A set with so many empty segments that agreement might lie in those alone gives keys for the empty ones too.
+    Two sets that link agree in more segments than differ[band] leaves; only where both have so many empty segments that
+    agreement might lie in those alone could they share no key. Such sets, one in a hundred at most, also give a key for
+    each of their first elements in order of hash: linked sets share one of the first n - ceil(n * threshold) + 1.
     """
     if not len(h):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -90,10 +92,13 @@ def segment_keys(h: np.ndarray, rows: np.ndarray, n: np.ndarray, num: int, den:
         keys.append(mix(total + mix((band[r] << 32 | s).astype(np.uint64))))
         at.append(r)
         filled = np.bincount(r, minlength=len(n))
-        for x in np.flatnonzero(emit & (k - filled >= k - differ[band])):
-            empty = np.setdiff1d(np.arange(k[x]), s[r == x])
-            keys.append(mix(mix((band[x] << 32 | empty).astype(np.uint64))))
-            at.append(np.full(len(empty), x))
+        few = emit & (k - filled >= k - differ[band])
+        if few.any():
+            at_row = np.cumsum(n) - n
+            within = np.arange(len(h)) - at_row[rows]
+            prefix = few[rows] & (within < (n - -(-n * num // den) + 1)[rows])
+            keys.append(mix(h[prefix] ^ np.uint64(0xC3C3C3C3)))
+            at.append(rows[prefix])
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64), np.concatenate(at) if at else np.zeros(0, np.int64)
 
 
