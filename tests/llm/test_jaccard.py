@@ -89,3 +89,24 @@ def test_components_of_a_chain(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     got = {r.id: r.component for r in components(df).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[102] == got[101] == got[100] == 100 and got[55] == 55
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_linking_sets_share_a_key(num):
+    """Pairs at the very limit of the threshold, of all sizes."""
+    import numpy as np
+
+    rng = np.random.default_rng(num)
+    seen = 0
+    for trial in range(500):
+        n = int(rng.integers(1, 1500 if trial % 2 else 40))
+        x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        y = np.delete(x, rng.permutation(len(x))[: int(rng.integers(0, int(n * (1 - num / 100)) + 1))])
+        more = max(0, len(y) * 100 // num - len(x))
+        y = np.unique(np.concatenate([y, rng.integers(0, 2**64, int(rng.integers(0, more + 1)), dtype=np.uint64)]))
+        both, either = len(np.intersect1d(x, y)), len(np.union1d(x, y))
+        if both and 100 * both >= num * either:
+            seen += 1
+            key, row = jaccard.segment_keys(np.concatenate([x, y]), np.repeat([0, 1], [len(x), len(y)]), np.array([len(x), len(y)]), num, 100)
+            assert len(np.intersect1d(key[row == 0], key[row == 1]))
+    assert seen > 300
