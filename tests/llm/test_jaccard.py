@@ -107,6 +107,8 @@ def test_linking_sets_share_a_key(num):
         both, either = len(np.intersect1d(x, y)), len(np.union1d(x, y))
         if both and 100 * both >= num * either:
             seen += 1
-            key, row = jaccard.segment_keys(np.concatenate([x, y]), np.repeat([0, 1], [len(x), len(y)]), np.array([len(x), len(y)]), num, 100)
-            assert len(np.intersect1d(key[row == 0], key[row == 1]))
+            h, rows = np.concatenate([x, y]), np.repeat([0, 1], [len(x), len(y)])
+            for rare in (None, h % np.uint64(3) > 0, h % np.uint64(50) == 0, np.zeros(len(h), bool)):
+                key, row = jaccard.segment_keys(h, rows, np.array([len(x), len(y)]), num, 100, rare)
+                assert len(np.intersect1d(key[row == 0], key[row == 1]))
     assert seen > 300

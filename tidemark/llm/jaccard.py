@@ -1,7 +1,8 @@
 """Jaccard join on word n-grams by signature trees.
 
-1. Cells. Two sets that link differ in at most D elements, D from their sizes and the threshold. The hash space is cut
-   into more than D segments, so that two linked sets hold the very same elements in some segment. Documents that share
+1. Cells. Two sets that link differ in at most D elements, D from their sizes and the threshold; that holds too when
+   the same frequent elements (passages that many documents share) are left out of both. The hash space is cut into
+   more than D segments, so that two linked sets hold the very same elements in some segment. Documents that share
    a segment's content are tied loosely; the components of these ties are cells. Every link lies inside one cell, so
    cells need no comparison with each other and nothing is lost.
 2. Trees. Each cell's sets (copies once) become leaves of a tree whose nodes hold OR-combined token bitmaps and size
@@ -29,6 +30,8 @@ from tidemark.llm.flat import mix, shingle_sets, slices, view
 
 LEAF, FAN = 16, 4
 BLOCK_DOCS, BLOCK_BYTES = 4096, 32 << 20
+SAMPLE, FREQUENT = 16, 8  # of one document in so many, elements of so many documents count as frequent
+BITS = 1 << 26  # of the bitmap that holds the frequent ones: 8 MB at any size of the corpus
 HELD_KEYS = 1 << 20  # segment keys that a task compares before it sends them
 
 
@@ -62,8 +65,46 @@ def bands(num: int, den: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.
     return np.array(first, np.int64), np.array(segments, np.int64), np.array(differ, np.int64)
 
 
-def segment_keys(h: np.ndarray, rows: np.ndarray, n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent(docs: DataFrame, k: int) -> np.ndarray:
+    """A bitmap over hashed shingles that has the frequent ones set (and some others that share their bits).
+
+    What it holds only steers which documents meet: any fixed choice of elements to leave out keeps all links.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def send() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+        for batch in batches:
+            for part in slices(batch):
+                held.append(shingle_sets(*view(part.column("text")), k)[0])
+                if sum(map(len, held)) >= HELD_KEYS:
+                    yield send()
+                    held = []
+        if held:
+            yield send()
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(SAMPLE)) == 0)
+    often = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    at = F.pmod(F.col("h"), F.lit(BITS)) + 1
+    maps = often.groupBy(F.bitmap_bucket_number(at).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()  # BITS in all
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in maps:
+        out[(r["at"] - 1) * 4096 : r["at"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def is_frequent(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = (h.view(np.int64) % BITS).astype(np.int64)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def segment_keys(h: np.ndarray, rows: np.ndarray, n: np.ndarray, num: int, den: int, rare: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(key, row) of each segment of each set: in its own size band, and in the next where larger partners may lie.
+    rare: which elements segments are made of; sizes and bounds stay those of the whole sets.
 
     Two sets that link agree in more segments than differ[band] leaves; only where both have so many empty segments that
     agreement might lie in those alone could they share no key. Such sets, one in a hundred at most, also give a key for
@@ -78,16 +119,14 @@ def segment_keys(h: np.ndarray, rows: np.ndarray, n: np.ndarray, num: int, den:
     for step in (0, 1):
         emit = (n > 0) & (own + step <= reach)
         band = np.where(emit, own + step, 0)
-        use = emit[rows]
+        use = emit[rows] if rare is None else emit[rows] & rare
         hh, rr = h[use], rows[use]
-        if not len(hh):
-            continue
         k = segments[band]
         seg = ((hh >> np.uint64(32)) * k[rr].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
         new = np.ones(len(hh), bool)
         new[1:] = (rr[1:] != rr[:-1]) | (seg[1:] != seg[:-1])
         runs = np.flatnonzero(new)
-        total = np.add.reduceat(mix(hh ^ np.uint64(0x5A5A5A5A)), runs)
+        total = np.add.reduceat(mix(hh ^ np.uint64(0x5A5A5A5A)), runs) if len(runs) else np.zeros(0, np.uint64)
         r, s = rr[runs], seg[runs]
         keys.append(mix(total + mix((band[r] << 32 | s).astype(np.uint64))))
         at.append(r)
@@ -119,6 +158,7 @@ def ties(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     Keys repeated within a task become ties there, so a frequent key costs the shuffle one row for a task's buffer.
     """
+    common = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
@@ -147,7 +187,7 @@ def ties(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 h, rows = shingle_sets(*view(part.column("text")), k)
-                key, at = segment_keys(h, rows, np.bincount(rows, minlength=part.num_rows).astype(np.int64), num, den)
+                key, at = segment_keys(h, rows, np.bincount(rows, minlength=part.num_rows).astype(np.int64), num, den, ~is_frequent(common.value, h))
                 keys.append(key)
                 ids.append(part.column("doc_id").to_numpy(zero_copy_only=False)[at])
                 if sum(map(len, keys)) >= HELD_KEYS:

@@ -8,8 +8,6 @@ do, and a lost executor's output is written again by Spark's committer.
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
