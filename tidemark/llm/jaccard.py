@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm.common import n_partitions, table, written
+from tidemark.llm.common import n_partitions, release, table, written
 from tidemark.llm.components import components
 from tidemark.llm.flat import mix, shingle_sets, slices, view
 
@@ -340,42 +340,43 @@ def _by_group(groups: DataFrame, keys: list[str], num: int, den: int, labels: bo
     return groups.repartition(n, *keys).sortWithinPartitions(*keys).select(*keys, "doc_id", "elements", "label", "chosen").mapInArrow(run, "a long, b long")
 
 
-def _blocked(sets: DataFrame) -> DataFrame:
-    """``sets`` with the number of blocks of their cell and their own block: by count and bytes."""
-    size = sets.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(F.octet_length("elements")) / BLOCK_BYTES)).cast("long").alias("blocks"), F.count("*").alias("in_cell"))
-    return sets.join(size.where("in_cell > 1"), "cell").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+def _blocks(docs: DataFrame, n: str = "n") -> DataFrame:
+    """``docs`` of cells of two or more, with the cell's number of ``blocks`` and their own ``block``: by count and bytes."""
+    size = docs.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(n) * 8 / BLOCK_BYTES)).cast("long").alias("blocks"), F.count("*").alias("in_cell"))
+    return docs.join(size.where("in_cell > 1"), "cell").drop("in_cell").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
 
 
 def labels(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(id, component) of the documents that share a cell with another; component: the least document connected."""
     loose = written(ties(docs, k, num, den), "op7-ties")
+    release(docs.sparkSession)  # of the keys, the largest shuffle
     cells = components(loose).select(F.col("id").alias("doc_id"), F.col("component").alias("cell"))
     # by sort and merge at every size: cells grow with the documents
     sets = written(sets_of(docs.hint("merge").join(cells, "doc_id").select("cell", "doc_id", "text"), k), "op7-sets")
     key = ["cell", "d1", "d2", "n"]
     least = sets.groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    every = _blocked(sets.join(least, key).where("doc_id = rep").select("cell", "doc_id", "elements").dropDuplicates(["cell", "doc_id"]))
-    every = every.withColumns({"label": F.col("doc_id"), "chosen": F.lit(True)})
+    plan = written(_blocks(least.select("cell", F.col("rep").alias("doc_id"), "n")), "op7-plan")
+    elements = sets.select("doc_id", "elements").hint("merge")  # sets move twice: to their plan, to their block
+    every = elements.join(plan, "doc_id").withColumns({"label": F.col("doc_id"), "chosen": F.lit(True)})
     found = written(_by_group(every, ["cell", "block"], num, den, True), "op7-labels").select(F.col("a").alias("rep"), F.col("b").alias("label"))
-    large = every.where("blocks > 1").select("cell", "doc_id", "elements", "blocks", "block")
-    if large.limit(1).count():
-        found = _large(written(large, "op7-large"), found, num, den)
+    if plan.where("blocks > 1").limit(1).count():
+        found = _large(plan.where("blocks > 1"), elements, found, num, den)
     copies = sets.select(*key, "doc_id").join(least, key).select("doc_id", "rep")
     return copies.join(found, "rep", "left").groupBy(F.col("doc_id").alias("id")).agg(F.min(F.coalesce("label", "rep")).alias("component"))
 
 
-def _large(large: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+def _large(plan: DataFrame, elements: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
     """``found`` (rep, label) with the labels of cells of several blocks joined across their blocks."""
-    firsts = large.join(found.withColumnRenamed("rep", "doc_id"), "doc_id")
-    roots = _blocked(firsts.where("label = doc_id").select("cell", "doc_id", "elements")).withColumns({"label": F.col("doc_id"), "chosen": F.lit(True)})
+    firsts = written(plan.join(found.withColumnRenamed("rep", "doc_id"), "doc_id"), "op7-large")
+    roots = elements.join(_blocks(firsts.where("label = doc_id").select("cell", "doc_id", "n")), "doc_id").withColumns({"label": F.col("doc_id"), "chosen": F.lit(True)})
     onto = _by_group(roots, ["cell", "block"], num, den, True).select(F.col("a").alias("label"), F.col("b").alias("onto"))
-    onto = written(onto, "op7-roots")
+    onto = written(onto.distinct(), "op7-roots")
     rows = written(firsts.join(onto, "label", "left").withColumn("label", F.coalesce("onto", "label")).drop("onto"), "op7-rest")
     # what is outside its cell's largest component meets every block; a cell of one component is done
     main = rows.groupBy("cell", "label").count().groupBy("cell").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
     rest = rows.join(main, "cell").withColumn("minor", F.col("label") != F.col("main"))
     chunks = rest.where("minor").groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("long").alias("chunks"))
-    rest = rest.join(chunks, "cell")
+    rest = written(elements.join(rest.join(chunks, "cell"), "doc_id"), "op7-minor")
     numbers = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     cols = ["cell", "block", "chunk", "doc_id", "elements", "label"]
     own = rest.where("not minor").withColumn("chunk", numbers("chunks")).select(*cols, F.lit(False).alias("chosen"))
