@@ -353,6 +353,7 @@ def labels(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     cells = components(loose).select(F.col("id").alias("doc_id"), F.col("component").alias("cell"))
     # by sort and merge at every size: cells grow with the documents
     sets = written(sets_of(docs.hint("merge").join(cells, "doc_id").select("cell", "doc_id", "text"), k), "op7-sets")
+    release(docs.sparkSession)  # of the texts
     key = ["cell", "d1", "d2", "n"]
     least = sets.groupBy(*key).agg(F.min("doc_id").alias("rep"))
     plan = written(_blocks(least.select("cell", F.col("rep").alias("doc_id"), "n")), "op7-plan")
