@@ -1,4 +1,4 @@
-"""The corpus pipeline: select by quality, drop repeated line chunks, keep one of near duplicates, mix sources, encode.
+"""The corpus pipeline: select by quality, drop repeated line runs, keep one of near duplicates, mix sources, encode.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; what it returns is written as
 Parquet and read again as the next one's documents. All but the last return the columns of documents.
@@ -19,13 +19,18 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated multi-line chunks out of the texts; every document stays, ``n_chars`` follows its text."""
+    """Takes repeated runs of lines out of the texts; every document stays, ``n_chars`` follows its text."""
     out = lines.drop_repeats(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of each group linked by a Jaccard of 0.8 or more on five-word shingles."""
+    """Keeps the least doc_id of each group linked by a Jaccard of 0.8 or more on five-word shingles.
+
+    Copies of whole documents come here emptied by the stage before: of the empty texts the least doc_id stays as well.
+    """
+    least = docs.where("text = ''").agg(F.min("doc_id")).first()[0]
+    docs = docs.where((F.coalesce(F.col("text"), F.lit("null")) != "") | F.col("doc_id").isNull() | (F.col("doc_id") == F.lit(least)))
     return jaccard.keep_one(docs, k=5, num=80)
 
 

@@ -1,6 +1,8 @@
 import random
+import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import ODD, SF
 from tidemark.llm import importance, lines
@@ -64,6 +66,63 @@ def test_removal_equals_the_plain_walk(spark):
     assert all("own" in r.text for r in got.values())
 
 
+def shared_runs(rows):
+    """Brute force: (doc, first line, last line) of the maximal runs of lines whose neighbours, two by two, stood before."""
+    first, out = {}, []
+    for i, t in sorted(rows):
+        ls = t.removesuffix("\n").split("\n")
+        gone = set()
+        for j, pair in enumerate(zip(ls, ls[1:])):
+            k, at = first.setdefault(pair, (i, j))
+            if (k != i or j > at + 1) and re.search(r"[^\x20\x09-\x0D]", "".join(pair)):
+                gone |= {j, j + 1}
+        out += [(i, j) for j in sorted(gone)]
+    runs = []
+    for i, j in out:
+        if runs and runs[-1][0] == i and runs[-1][2] == j - 1:
+            runs[-1] = (i, runs[-1][1], j)
+        else:
+            runs.append((i, j, j))
+    return runs
+
+
+def test_every_shared_run_goes_whole(spark):
+    """Runs of two lines and more go in full, wherever they stand; the first occurrence, single lines and the rest stay."""
+    rnd = random.Random(8)
+    passages = [[f"passage {p} line {j} " + "w " * 30 for j in range(rnd.choice([2, 2, 3, 4, 9]))] for p in range(40)]
+    rows, want = [], {}
+    for i in range(120):
+        p = i % 40
+        own = [f"own {i} {j}" for j in range(rnd.randrange(1, 6))]
+        at = rnd.randrange(len(own) + 1)
+        rows.append((i, "\n".join([*own[:at], *passages[p], *own[at:], f"mark {i}", "a common line", f"tail {i}"]) + "\n" * (i % 2)))
+        want[i] = "\n".join([*own[:at], *(passages[p] if i < 40 else []), *own[at:], f"mark {i}", "a common line", f"tail {i}"]) + "\n" * (i % 2)
+    got = {r.doc_id: r for r in lines.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.text for i, r in got.items()} == want
+    runs = shared_runs(rows)
+    assert len(runs) == sum(r.removed_chunks for r in got.values()) == 80
+    assert sum(b - a + 1 for _, a, b in runs) == sum(r.removed_lines for r in got.values())
+
+
+def test_recall_of_shared_runs_in_documents(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text").where("text like '%\n%'")
+    rows = {r.text: r.doc_id for r in docs.orderBy(F.desc("doc_id")).collect()}
+    rows = [(i, t) for t, i in rows.items()]
+    got = {r.doc_id: r for r in lines.drop_repeats(spark.createDataFrame(rows, docs.schema)).collect()}
+    runs, text = shared_runs(rows), dict(rows)
+    long = [r for r in runs if sum(len(x.split()) for x in text[r[0]].split("\n")[r[1] : r[2] + 1]) > 50]
+    assert long
+    for i in {i for i, *_ in long}:
+        gone = {j for k, a, b in runs if k == i for j in range(a, b + 1)}
+        left = [x for j, x in enumerate(text[i].split("\n")) if j not in gone and x.strip()]
+        assert [x for x in got[i].text.split("\n") if x.strip()] == left
+
+
+def test_a_line_that_follows_itself(spark):
+    df = spark.createDataFrame([(1, "a\na\na\na\nb"), (2, "x\na\na\ny")], "doc_id long, text string")
+    assert {r.doc_id: (r.text, r.removed_lines) for r in lines.drop_repeats(df).collect()} == {1: ("a\na\nb", 2), 2: ("x\ny", 2)}
+
+
 def test_line_dedup_on_odd_rows(odd, none):
     got = lines.drop_repeats(odd).collect()
     assert len(got) == len(ODD)

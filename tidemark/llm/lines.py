@@ -1,8 +1,8 @@
-"""Removal of line chunks that repeat across the corpus, with content-defined boundaries.
+"""Removal of line runs that repeat across the corpus, wherever they begin and end.
 
-A rolling hash over the hashes of neighbouring lines decides where a chunk ends, so that a passage is cut in the same
-places wherever it stands. Of the chunks of two lines or more that occur more than once, the first occurrence (least
-doc_id, then position) stays; others go once their bytes have been compared with it.
+Every window of two neighbouring lines is a chunk, keyed by a rolling hash over the hashes of its lines. A window that
+occurred before (least doc_id, then position) goes once its bytes have been compared with the first occurrence. Windows
+overlap, so what goes of a text is the union: each repeated run of two lines or more, grown to its full length.
 """
 
 from __future__ import annotations
@@ -18,17 +18,14 @@ from pyspark.sql import types as T
 from tidemark.llm.common import table, written
 from tidemark.llm.flat import SPACE, hash_runs, mix, slices, view
 
-#: One line in so many ends a chunk; the window that decides has two lines.
-DIVISOR = 3
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def chunks_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, start, end, lines, h1, h2) of each chunk of two lines or more that isn't blank; byte offsets in the buffer.
+    """(row, start, end, lines, h1, h2) of each two neighbouring lines that aren't both blank; byte offsets in the buffer.
 
-    A chunk's end leaves out its last line feed.
+    A chunk's end leaves out its last line feed. What follows a text's last line feed is a line only if it isn't empty.
     """
-    n = len(offs) - 1
     feeds = np.flatnonzero(data == 10)
     full = np.flatnonzero(offs[1:] > offs[:-1])
     # a line starts where a text starts and after each feed; it ends before a feed or where its text ends
@@ -39,25 +36,17 @@ def chunks_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.lexsort((starts, row))
     starts, row = starts[order], row[order]
     ends = ends[np.lexsort((ends, np.concatenate([feed_row, full])))]
-    if not len(starts):
+    real = starts < offs[row + 1]
+    starts, ends, row = starts[real], ends[real], row[real]
+    if len(starts) < 2:
         z = np.zeros(0, np.int64)
         return z, z, z, z, z.astype(np.uint64), z.astype(np.uint64)
     h = hash_runs(data, starts, ends)
-    new = np.ones(len(row), bool)
-    new[1:] = row[1:] != row[:-1]
-    prior = np.zeros(len(h), np.uint64)
-    prior[1:] = np.where(new[1:], np.uint64(0), h[:-1])
-    cut = mix(prior * _ODD ^ h) % np.uint64(DIVISOR) == 0
-    first = new.copy()
-    first[1:] |= cut[:-1]
-    at = np.flatnonzero(first)
-    lines = np.diff(np.append(at, len(row)))
-    last = at + lines - 1
-    s, e = starts[at], ends[last]
     solid = np.concatenate([[0], np.cumsum(~SPACE[data])])
-    keep = (lines > 1) & (solid[e] > solid[s])
-    s, e = s[keep], e[keep]
-    return row[at][keep], s, e, lines[keep], hash_runs(data, s, e, 1), hash_runs(data, s, e, 2)
+    s, e = starts[:-1], ends[1:]
+    keep = (row[:-1] == row[1:]) & (solid[e] > solid[s])
+    a, b = h[:-1][keep], h[1:][keep]
+    return row[:-1][keep], s[keep], e[keep], np.full(len(a), 2), mix(a * _ODD ^ b), mix(b * _ODD ^ mix(a))
 
 
 CHUNK = "doc_id long, start long, size long, lines int, h1 long, h2 long"
@@ -78,44 +67,56 @@ def line_chunks(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, size, lines) of every chunk that equals an earlier one byte for byte."""
+    """(doc_id, start, size) of every chunk that equals an earlier one byte for byte and doesn't overlap it."""
     key = ["h1", "h2", "size"]
     chunks = written(line_chunks(docs), "op3-chunks")
     first = chunks.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").drop("n")
     wanted = written(chunks.join(first, key), "op3-wanted")
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "lines", *key, "first")).alias("__want"))
+    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", *key, "first")).alias("__want"))
     bodies = docs.select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8").alias("raw")).join(lists, "doc_id")
     bodies = bodies.select("doc_id", "raw", F.explode("__want").alias("w")).select("doc_id", "w.*", F.substring("raw", F.col("w.start").cast("int") + 1, F.col("w.size").cast("int")).alias("body"))
     bodies = written(bodies, "op3-bodies")
     at = F.struct("doc_id", "start")
     kept = bodies.where(at == F.col("first")).groupBy(*key).agg(F.min("body").alias("kept"))
-    return bodies.where(at != F.col("first")).join(kept, key).where("body = kept").select("doc_id", "start", "size", "lines").distinct()
+    later = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") > F.col("first.start") + F.col("size"))
+    return bodies.where(later).join(kept, key).where("body = kept").select("doc_id", "start", "size").distinct()
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with a ``text`` without repeated chunks, and ``removed_chunks`` and ``removed_lines`` of each row.
+    """``docs`` with a ``text`` without repeated runs of lines, and ``removed_chunks`` (runs) and ``removed_lines`` of each row.
 
-    The line feed after a removed chunk goes with it. Null texts stay null, empty ones empty; a text without line feed
-    has no chunk of two lines and stays. Rows with a null doc_id stay as they are and are no one's first occurrence.
+    The line feed after a removed run goes with it. Null texts stay null, empty ones empty; a text without line feed
+    has no run of two lines and stays. Rows with a null doc_id stay as they are and are no one's first occurrence.
     Rows that share a doc_id are copies of one place: all keep what the first keeps. Other columns pass through.
     """
-    cut = repeats(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("__cut"), F.sum("lines").alias("removed_lines"))
-    joined = docs.drop("removed_chunks", "removed_lines", "__cut").join(cut, "doc_id", "left").withColumns({"removed_chunks": F.coalesce(F.size("__cut"), F.lit(0)), "removed_lines": F.coalesce("removed_lines", F.lit(0).cast("long"))})
+    cut = repeats(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("__cut"))
+    joined = docs.drop("removed_chunks", "removed_lines", "__cut").join(cut, "doc_id", "left").withColumns({"removed_chunks": F.lit(0), "removed_lines": F.lit(0).cast("long")})
     schema = T.StructType([f for f in joined.schema if f.name != "__cut"])
-    at = joined.schema.names.index("text")
+    at, runs_at, lines_at = (joined.schema.names.index(c) for c in ("text", "removed_chunks", "removed_lines"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
+            texts, runs, lines = [], [], []
             for t, c in zip(batch.column("text").to_pylist(), batch.column("__cut").to_pylist(), strict=True):
+                n = k = 0
                 if c and t is not None:
                     raw, out, done = t.encode(), [], 0
                     for x in c:
-                        out.append(raw[done : x["start"]])
-                        done = min(len(raw), x["start"] + x["size"] + 1)
+                        if n == 0 or x["start"] > done:
+                            out.append(raw[done : x["start"]])
+                            n += 1
+                            k += 2
+                        else:  # goes on with a run: its first line is the last one's second, or the next
+                            k += 1 + (x["start"] == done)
+                        done = max(done, min(len(raw), x["start"] + x["size"] + 1))
                     t = b"".join([*out, raw[done:]]).decode(errors="replace")
                 texts.append(t)
-            yield batch.set_column(at, "text", pa.array(texts, pa.string())).drop_columns("__cut")
+                runs.append(n)
+                lines.append(k)
+            cols = {at: pa.array(texts, pa.string()), runs_at: pa.array(runs, pa.int32()), lines_at: pa.array(lines, pa.int64())}
+            for i, c in cols.items():
+                batch = batch.set_column(i, batch.schema.names[i], c)
+            yield batch.drop_columns("__cut")
 
     return joined.mapInArrow(run, schema)
 
