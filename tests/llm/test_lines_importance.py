@@ -152,6 +152,29 @@ def test_resampling_keeps_good_and_rejects_junk(spark):
     assert junk.doc_id.isin(kept).mean() <= 0.5
 
 
+def test_long_good_documents_leave_short_junk_no_room(spark):
+    """On a table with long documents, junk goes at every length; good documents that the model never saw stay."""
+    sf = SF.replace("sf0.001", "check_s")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    held = labels.where("doc_id % 3 = 0").toPandas()
+    kept = {r.doc_id for r in importance.resample(docs, labels.where("doc_id % 3 <> 0")).select("doc_id").collect()}
+    words = {r.doc_id: len((r.text or "").split()) for r in docs.join(F.broadcast(labels.where("quality = 0").select("doc_id").distinct()), "doc_id").collect()}
+    good, junk = held[(held.quality == 1) & (held.toxic == 0)], held[held.quality == 0]
+    short = junk[junk.doc_id.map(words) <= 200]
+    print("kept good, junk, short junk, toxic", *(x.doc_id.isin(kept).mean() for x in (good, junk, short, held[held.toxic == 1])))
+    assert good.doc_id.isin(kept).mean() >= 0.99
+    assert junk.doc_id.isin(kept).mean() <= 0.1 and short.doc_id.isin(kept).mean() <= 0.15
+
+
+def test_spread_of_weights():
+    rnd = np.random.default_rng(3)
+    n = rnd.integers(1, 2000, 4000)
+    noisy = -0.2 * n + rnd.normal(size=4000) * np.sqrt(n * 0.5 + n * n * 0.001) + rnd.gumbel(size=4000)
+    mean, own, shared = importance.spread(n, noisy)
+    assert abs(mean + 0.2) < 0.01 and 0 <= own < 2 and 0.0008 < shared < 0.0012
+
+
 def test_resampling_on_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(0, 1, 0), (7, 1, 0), (0, 1, 0), (None, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
     got = importance.resample(odd, labels)

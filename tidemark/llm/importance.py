@@ -1,9 +1,9 @@
 """Quality selection by importance resampling.
 
 Two generative models over hashed words and word pairs, one of target text and one of all raw text, give each document
-the logarithm of its importance weight; Gumbel noise is added and the k largest sums are the sample. k is not guessed:
-it is the number of documents whose sum reaches what a share ``keep`` of the labelled target documents reaches that the
-model was not fitted on.
+the logarithm of its importance weight; Gumbel noise is added, the sum is held against what good documents of that length
+have (their mean and spread), and the k largest are the sample. k is not guessed: it is the number of documents whose key
+reaches what a share ``keep`` of the labelled target documents reaches that the model was not fitted on.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ BUCKETS = 1 << 14
 LABELLED = 20_000  # bound of the sample of labelled target documents
 KEEP = 0.999
 SEED = 17
+NOISE_MEAN, NOISE_VAR = 0.5772156649015329, np.pi**2 / 6  # of standard Gumbel noise
 _ODD = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -61,16 +62,17 @@ def log_ratio(target: np.ndarray, raw: np.ndarray, smooth: float = 1.0) -> np.nd
 
 
 def with_weight(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """``docs`` with ``log_weight``, the log importance weight of each text (0 without words)."""
+    """``docs`` with ``log_weight``, the log importance weight of each text (0 without words), and ``__ngrams``, their number."""
     known = docs.sparkSession.sparkContext.broadcast(ratio)
-    docs = docs.drop("log_weight")
-    schema = T.StructType([*docs.schema, T.StructField("log_weight", T.DoubleType())])
+    docs = docs.drop("log_weight", "__ngrams")
+    schema = T.StructType([*docs.schema, T.StructField("log_weight", T.DoubleType()), T.StructField("__ngrams", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 at, rows = ngram_buckets(*view(part.column("text")))
-                yield part.append_column("log_weight", pa.array(np.bincount(rows, known.value[at], part.num_rows).astype(np.float64)))
+                part = part.append_column("log_weight", pa.array(np.bincount(rows, known.value[at], part.num_rows).astype(np.float64)))
+                yield part.append_column("__ngrams", pa.array(np.bincount(rows, minlength=part.num_rows).astype(np.int64)))
 
     return docs.mapInArrow(run, schema)
 
@@ -81,6 +83,29 @@ def gumbel(column: str = "doc_id", seed: int = SEED) -> Column:
     return -F.log(-F.log(u))
 
 
+def spread(n: np.ndarray, noisy: np.ndarray) -> tuple[float, float, float]:
+    """(mean, own, shared) of noisy weights: of n n-grams the mean is n * mean, the variance n * own + n^2 * shared.
+
+    The n-grams of one document lean the same way, so its sum does not spread with the root of its length alone.
+    """
+    n, noisy = np.asarray(n, float), np.asarray(noisy, float) - NOISE_MEAN
+    mean = noisy.sum() / max(n.sum(), 1.0)
+    over = np.maximum((noisy - n * mean) ** 2 - NOISE_VAR, 0.0)
+    w = 1 / (1 + n)
+    a, y = np.stack([n * w, n * n * w], 1), over * w
+    got = np.linalg.lstsq(a, y, rcond=None)[0]
+    if (got < 0).any():  # one of both alone
+        got = np.where(got < 0, 0.0, (a * y[:, None]).sum(0) / np.maximum((a * a).sum(0), 1e-300))
+    return float(mean), float(got[0]), float(got[1])
+
+
+def standing(fit: tuple[float, float, float]) -> Column:
+    """log_weight with noise in deviations from what good documents of as many n-grams have."""
+    mean, own, shared = fit
+    n = F.col("__ngrams")
+    return (F.col("log_weight") + gumbel() - NOISE_MEAN - n * F.lit(mean)) / F.sqrt(F.lit(NOISE_VAR) + n * F.lit(own) + n * n * F.lit(shared))
+
+
 def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 1024) -> float:
     """The k-th largest value, by histograms that narrow down: only bin counts reach the driver."""
     lo, hi = keys.agg(F.min(column), F.max(column)).first()
@@ -105,7 +130,7 @@ def target_ids(labels: DataFrame, bound: int = LABELLED) -> DataFrame:
 
 
 def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
-    """The sampled rows of ``docs`` with ``log_weight`` and ``sample_key`` (weight plus noise).
+    """The sampled rows of ``docs`` with ``log_weight`` and ``sample_key`` (weight plus noise, standardised by length).
 
     Null and empty texts have weight 0 and compete like others; without held-out labelled targets every row stays. Rows that
     share a doc_id draw the same noise; rows that tie with the k-th key all stay. Other columns pass through.
@@ -115,11 +140,15 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFram
     held = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(5)) == 0  # a fifth judges, the rest is fitted
     found, raw = bucket_counts(docs.select("doc_id", "text"), target.where(~held))
     ratio = log_ratio(found, raw) if found.sum() else np.zeros(BUCKETS)
-    keyed = with_weight(docs, ratio).withColumn("sample_key", F.col("log_weight") + gumbel())
-    keys = written(with_weight(docs.select("doc_id", "text"), ratio).select("doc_id", (F.col("log_weight") + gumbel()).alias("sample_key")), "op1-keys")
-    least = keys.join(F.broadcast(target.where(held)), "doc_id", "left_semi").agg(F.percentile("sample_key", F.lit(1 - keep))).first()[0]
+    weights = written(with_weight(docs.select("doc_id", "text"), ratio).select("doc_id", "log_weight", "__ngrams"), "op1-weights")
+    judges = weights.join(F.broadcast(target.where(held)), "doc_id", "left_semi").select("__ngrams", "log_weight", (F.col("log_weight") + gumbel()).alias("noisy"), "doc_id")
+    rows = judges.select("__ngrams", "noisy").collect()  # LABELLED at most
+    key = standing(spread([r["__ngrams"] for r in rows], [r.noisy for r in rows]) if rows else (0.0, 0.0, 0.0))
+    keyed = with_weight(docs, ratio).withColumn("sample_key", key).drop("__ngrams")
+    least = judges.agg(F.percentile(key, F.lit(1 - keep))).first()[0]
     if least is None:
         return keyed
+    keys = weights.select("doc_id", key.alias("sample_key"))
     k = keys.where(F.col("sample_key") >= least).count()
     return keyed.where(F.col("sample_key") >= kth_largest(keys, "sample_key", k))
 
