@@ -110,6 +110,49 @@ def test_mix_of_documents(spark):
     assert sorted(zip(got.doc_id, got.taken, strict=True)) == sorted(zip(again.doc_id, again.taken, strict=True))
 
 
+def test_shards_hold_what_they_drew(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 64)
+    tags = spark.createDataFrame([(0, 5000, 3000), (1, 900, 1000), (2, 0, 10), (3, 41, 30)], "no long, n_slots long, n_blocks long")
+    counts = mixing.shard_counts(tags, 90)
+    rows = counts.collect()
+    for no, total in ((0, 5000), (1, 900), (3, 41)):
+        own = sorted((r for r in rows if r.no == no), key=lambda r: r.shard)
+        assert sum(r.n for r in own) == total
+        assert [r["first"] for r in own] == [sum(x.n for x in own[:i]) for i in range(len(own))]
+    # multinomial: counts of 5000 draws over 90 shards have a variance of about their mean
+    big = [r.n for r in rows if r.no == 0]
+    assert len(big) == 90 and 0.6 < sum((x - 5000 / 90) ** 2 for x in big) / 90 / (5000 / 90) < 1.5
+    got = mixing.slots(tags, counts).collect()
+    held = {}
+    for r in got:
+        held[r.no, r.shard] = held.get((r.no, r.shard), 0) + 1
+    assert held == {(r.no, r.shard): r.n for r in rows}
+    assert len({(r.no, r.turn, r.block) for r in got}) == len(got) == 5941  # a block once a pass
+    assert {r.block for r in got if r.no == 0 and r.turn == 0} == set(range(3000))
+    assert sorted(r.slot for r in got if r.no == 1) == list(range(900))
+
+
+def test_taken_is_what_the_shards_hold(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    pieces = mixing.shard_pieces(docs).collect()
+    by = {}
+    for r in pieces:
+        if r.shard is not None:
+            by[r.doc_id] = by.get(r.doc_id, 0) + r.n
+    assert {r.doc_id: r.taken for r in mixing.mix(docs).collect()} == {r.doc_id: by.get(r.doc_id, 0) for r in pieces}
+    slots = {}
+    for r in pieces:
+        if r.shard is not None:
+            slots.setdefault((r.no, r.slot), []).append(r)
+    words = {r.doc_id: r.size for r in pieces}
+    assert all(sum(r.n for r in s) <= mixing.BLOCK and len({r.block for r in s}) == 1 for s in slots.values())
+    assert all(0 <= r["first"] and r["first"] + r.n <= words[r.doc_id] for s in slots.values() for r in s)
+    mixed = {}
+    for r in mixing.mixed_documents(docs).collect():
+        mixed.setdefault(r.doc_id, []).append(len((r.text or "").split()))
+    assert {i: sum(v) for i, v in mixed.items() if sum(v)} == by
+
+
 def test_mix_of_odd_rows(odd, none):
     got = mixing.mix(odd).collect()
     assert len(got) == len(ODD) and all(r.taken <= 2 * r.size for r in got)
