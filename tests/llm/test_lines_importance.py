@@ -170,11 +170,58 @@ def test_long_good_documents_leave_short_junk_no_room(spark):
 def test_spread_of_weights():
     rnd = np.random.default_rng(3)
     n = rnd.integers(1, 2000, 4000)
-    noisy = -0.2 * n + rnd.normal(size=4000) * np.sqrt(n * 0.5 + n * n * 0.001) + rnd.gumbel(size=4000)
+    noisy = -0.2 * n + rnd.normal(size=4000) * np.sqrt(n * 0.5 + n * n * 0.001)
     mean, own, shared = importance.spread(n, noisy)
     assert abs(mean + 0.2) < 0.01 and 0 <= own < 2 and 0.0008 < shared < 0.0012
 
 
+def test_resampling_equals_a_plain_version(spark):
+    """Counts, weights, standings, keys and the choice, one document and one n-gram at a time."""
+    import math
+    import re
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = {r.doc_id: (r.text or "", r.u) for r in docs.select("*", F.xxhash64("doc_id", F.lit(importance.SEED)).alias("u")).collect()}
+    folds = {r.doc_id: r.f for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(importance.SEED + 1)), F.lit(5)).alias("f")).collect()}
+    by = {}
+    for r in labels.collect():
+        by.setdefault(r.doc_id, []).append((r.quality, r.toxic))
+    good = {i for i, x in by.items() if min(q for q, _ in x) == 1 and max(t or 0 for _, t in x) == 0 and i in rows}
+
+    def bucket(*words):  # of one n-gram alone
+        raw = " ".join(words).encode()
+        return int(importance.ngram_buckets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0][-1])
+
+    seen = {}
+    grams = {}
+    for i, (t, _) in rows.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        grams[i] = [seen.setdefault(g, bucket(*g)) for g in [(x,) for x in w] + list(zip(w, w[1:], strict=False))]
+    size = importance.BUCKETS
+    target, raw = [0] * size, [0] * size
+    for i, g in grams.items():
+        for b in g:
+            raw[b] += 1
+            target[b] += i in good and folds[i] != 0
+    ratio = [math.log((a + 1) / (sum(target) + size)) - math.log((b + 1) / (sum(raw) + size)) for a, b in zip(target, raw, strict=True)]
+    weight = {i: sum(ratio[b] for b in g) for i, g in grams.items()}
+    held = [i for i in good if folds[i] == 0]
+    mean, own, shared = importance.spread([len(grams[i]) for i in held], [weight[i] for i in held])
+    stand = {i: (weight[i] - len(g) * mean) / math.sqrt(1 + len(g) * own + len(g) ** 2 * shared) for i, g in grams.items()}
+    key = {i: stand[i] / 0.5 - math.log(-math.log((((u % 2**64) >> 11) + 0.5) / 2**53)) for i, (_, u) in rows.items()}
+    for k in (1, 100, 600):
+        got = {r.doc_id: r for r in importance.resample(docs, labels, k=k, temperature=0.5).collect()}
+        assert set(got) == set(sorted(key, key=lambda i: -key[i])[:k])
+        assert all(abs(r.log_weight - weight[i]) < 1e-6 and abs(r.sample_key - key[i]) < 1e-6 for i, r in got.items())
+    # without k: as many as stand as high as 99 % of held-out good ones; noise swaps some at the edge
+    least = np.quantile([stand[i] for i in held], 0.01)
+    k = sum(x >= least - 1e-9 for x in stand.values())
+    got = {r.doc_id for r in importance.resample(docs, labels, keep=0.99, temperature=0.5).collect()}
+    assert got == set(sorted(key, key=lambda i: -key[i])[:k]) != {i for i, x in stand.items() if x >= least}
+    assert importance.resample(docs, labels, k=0).count() == 0 and importance.resample(docs, labels, k=10**6).count() == len(rows)
+
+
 def test_resampling_on_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(0, 1, 0), (7, 1, 0), (0, 1, 0), (None, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
     got = importance.resample(odd, labels)

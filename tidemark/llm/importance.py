@@ -1,9 +1,11 @@
 """Quality selection by importance resampling.
 
 Two generative models over hashed words and word pairs, one of target text and one of all raw text, give each document
-the logarithm of its importance weight; Gumbel noise is added, the sum is held against what good documents of that length
-have (their mean and spread), and the k largest are the sample. k is not guessed: it is the number of documents whose key
-reaches what a share ``keep`` of the labelled target documents reaches that the model was not fitted on.
+the logarithm of its importance weight. Sums of unlike length are held against what good documents of that length have
+(their mean and spread); this standing over a temperature, plus Gumbel noise, is the key whose k largest are the sample:
+draws without replacement in proportion to exp(standing / temperature). Noise decides among documents whose standings
+are within about a temperature. k is a parameter; where it isn't given, it is the number of documents that stand, before
+noise, as high as a share ``keep`` of the labelled target documents does that the model was not fitted on.
 """
 
 from __future__ import annotations
@@ -16,14 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import table, written
+from tidemark.llm.common import Scratch, table
 from tidemark.llm.flat import mix, slices, view, word_hashes
 
 BUCKETS = 1 << 14
 LABELLED = 20_000  # bound of the sample of labelled target documents
 KEEP = 0.999
 SEED = 17
-NOISE_MEAN, NOISE_VAR = 0.5772156649015329, np.pi**2 / 6  # of standard Gumbel noise
+TEMPERATURE = 0.1  # in deviations of good documents
 _ODD = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -83,14 +85,14 @@ def gumbel(column: str = "doc_id", seed: int = SEED) -> Column:
     return -F.log(-F.log(u))
 
 
-def spread(n: np.ndarray, noisy: np.ndarray) -> tuple[float, float, float]:
-    """(mean, own, shared) of noisy weights: of n n-grams the mean is n * mean, the variance n * own + n^2 * shared.
+def spread(n: np.ndarray, weights: np.ndarray) -> tuple[float, float, float]:
+    """(mean, own, shared) of log weights: of n n-grams the mean is n * mean, the variance n * own + n^2 * shared.
 
     The n-grams of one document lean the same way, so its sum does not spread with the root of its length alone.
     """
-    n, noisy = np.asarray(n, float), np.asarray(noisy, float) - NOISE_MEAN
-    mean = noisy.sum() / max(n.sum(), 1.0)
-    over = np.maximum((noisy - n * mean) ** 2 - NOISE_VAR, 0.0)
+    n, weights = np.asarray(n, float), np.asarray(weights, float)
+    mean = weights.sum() / max(n.sum(), 1.0)
+    over = (weights - n * mean) ** 2
     w = 1 / (1 + n)
     a, y = np.stack([n * w, n * n * w], 1), over * w
     got = np.linalg.lstsq(a, y, rcond=None)[0]
@@ -100,10 +102,10 @@ def spread(n: np.ndarray, noisy: np.ndarray) -> tuple[float, float, float]:
 
 
 def standing(fit: tuple[float, float, float]) -> Column:
-    """log_weight with noise in deviations from what good documents of as many n-grams have."""
+    """log_weight in deviations from what good documents of as many n-grams have."""
     mean, own, shared = fit
     n = F.col("__ngrams")
-    return (F.col("log_weight") + gumbel() - NOISE_MEAN - n * F.lit(mean)) / F.sqrt(F.lit(NOISE_VAR) + n * F.lit(own) + n * n * F.lit(shared))
+    return (F.col("log_weight") - n * F.lit(mean)) / F.sqrt(1 + n * F.lit(own) + n * n * F.lit(shared))
 
 
 def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 1024) -> float:
@@ -129,28 +131,36 @@ def target_ids(labels: DataFrame, bound: int = LABELLED) -> DataFrame:
     return per.where("q = 1 and coalesce(t, 0) = 0").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
-def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
-    """The sampled rows of ``docs`` with ``log_weight`` and ``sample_key`` (weight plus noise, standardised by length).
+def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, k: int | None = None, temperature: float = TEMPERATURE) -> DataFrame:
+    """The sampled rows of ``docs`` with ``log_weight`` and ``sample_key``.
 
-    Null and empty texts have weight 0 and compete like others; without held-out labelled targets every row stays. Rows that
-    share a doc_id draw the same noise; rows that tie with the k-th key all stay. Other columns pass through.
+    Null and empty texts have weight 0 and compete like others; without held-out labelled targets and without ``k`` every
+    row stays. Rows that share a doc_id draw the same noise; rows that tie with the k-th key all stay; a k of as many as
+    there are rows keeps all. Other columns pass through.
     """
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    target = written(target_ids(labels), "op1-target")
+    tmp = Scratch(docs.sparkSession, "op1")
+    target = tmp.write(target_ids(labels), "target")
     held = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(5)) == 0  # a fifth judges, the rest is fitted
     found, raw = bucket_counts(docs.select("doc_id", "text"), target.where(~held))
     ratio = log_ratio(found, raw) if found.sum() else np.zeros(BUCKETS)
-    weights = written(with_weight(docs.select("doc_id", "text"), ratio).select("doc_id", "log_weight", "__ngrams"), "op1-weights")
-    judges = weights.join(F.broadcast(target.where(held)), "doc_id", "left_semi").select("__ngrams", "log_weight", (F.col("log_weight") + gumbel()).alias("noisy"), "doc_id")
-    rows = judges.select("__ngrams", "noisy").collect()  # LABELLED at most
-    key = standing(spread([r["__ngrams"] for r in rows], [r.noisy for r in rows]) if rows else (0.0, 0.0, 0.0))
+    weights = tmp.write(with_weight(docs.select("doc_id", "text"), ratio).select("doc_id", "log_weight", "__ngrams"), "weights")
+    judges = weights.join(F.broadcast(target.where(held)), "doc_id", "left_semi")
+    rows = judges.select("__ngrams", "log_weight").collect()  # LABELLED at most, but for repeated ids
+    stands = standing(spread([r["__ngrams"] for r in rows], [r.log_weight for r in rows]) if rows else (0.0, 0.0, 0.0))
+    key = stands / temperature + gumbel()
     keyed = with_weight(docs, ratio).withColumn("sample_key", key).drop("__ngrams")
-    least = judges.agg(F.percentile(key, F.lit(1 - keep))).first()[0]
-    if least is None:
-        return keyed
-    keys = weights.select("doc_id", key.alias("sample_key"))
-    k = keys.where(F.col("sample_key") >= least).count()
-    return keyed.where(F.col("sample_key") >= kth_largest(keys, "sample_key", k))
+    if k is None:
+        least = judges.agg(F.percentile(stands, F.lit(1 - keep))).first()[0]
+        if least is not None:
+            k = weights.where(stands >= least).count()
+    out = keyed
+    if k is not None:
+        keys = weights.select(key.alias("sample_key"))
+        if k < keys.count():
+            out = keyed.where(F.col("sample_key") >= kth_largest(keys, "sample_key", k)) if k > 0 else keyed.limit(0)
+    tmp.drop()
+    return out
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
