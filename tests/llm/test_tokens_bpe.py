@@ -63,6 +63,22 @@ def test_token_files_on_odd_rows(odd, none):
     assert tokens.digest(tokens.decode_blocks(blocks, ranked), blocks).count() == 0
 
 
+def test_op2_against_the_library_in_order(spark):
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in tokens.op2_token_ids(spark, SF).collect()}
+    at = 0
+    for r in sorted(spark.read.parquet(f"{SF}/documents.parquet").collect(), key=lambda r: r.doc_id):
+        ids = np.array([*LIBRARY[BYTE].encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        assert got[r.doc_id] == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
+def test_rows_without_an_id_are_spread(spark):
+    df = spark.createDataFrame([(None, f"text {i}") for i in range(500)], "doc_id long, text string")
+    blocks, ranked = tokens.write_tokens(df, BYTE)
+    assert blocks.select("part").distinct().count() > 1
+    assert tokens.digest(tokens.decode_blocks(blocks, ranked), blocks).selectExpr("count(*) = 500 and max(start + n_tokens) = sum(n_tokens) fine").first().fine
+
+
 def test_op6_against_the_library(spark):
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.op6_bpe(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import table, written
+from tidemark.llm.common import Scratch, table
 from tidemark.llm.flat import SPACE, hash_runs, mix, slices, view
 
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -67,19 +67,29 @@ def line_chunks(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, size) of every chunk that equals an earlier one byte for byte and doesn't overlap it."""
+    """(doc_id, cut): start and size of every chunk that equals an earlier one byte for byte and doesn't overlap it.
+
+    What is known of a chunk's first occurrence is grouped by a struct, so that its join deals both sides anew and
+    Spark may split the rows of a chunk that is everywhere.
+    """
+    tmp = Scratch(docs.sparkSession, "op3")
     key = ["h1", "h2", "size"]
-    chunks = written(line_chunks(docs), "op3-chunks")
-    first = chunks.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").drop("n")
-    wanted = written(chunks.join(first, key), "op3-wanted")
+    chunks = tmp.write(line_chunks(docs), "chunks")
+    first = chunks.groupBy(F.struct(*key).alias("key")).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").select("key.*", "first")
+    wanted = tmp.write(chunks.hint("merge").join(first, key), "wanted")
+    tmp.drop("chunks")
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", *key, "first")).alias("__want"))
     bodies = docs.select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8").alias("raw")).join(lists, "doc_id")
     bodies = bodies.select("doc_id", "raw", F.explode("__want").alias("w")).select("doc_id", "w.*", F.substring("raw", F.col("w.start").cast("int") + 1, F.col("w.size").cast("int")).alias("body"))
-    bodies = written(bodies, "op3-bodies")
+    bodies = tmp.write(bodies, "bodies")
+    tmp.drop("wanted")
     at = F.struct("doc_id", "start")
-    kept = bodies.where(at == F.col("first")).groupBy(*key).agg(F.min("body").alias("kept"))
+    kept = bodies.where(at == F.col("first")).groupBy(F.struct(*key).alias("key")).agg(F.min("body").alias("kept")).select("key.*", "kept")
     later = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") > F.col("first.start") + F.col("size"))
-    return bodies.where(later).join(kept, key).where("body = kept").select("doc_id", "start", "size").distinct()
+    same = bodies.where(later).hint("merge").join(kept, key).where("body = kept")
+    cut = tmp.write(same.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("cut")), "cuts")
+    tmp.drop("bodies")
+    return cut
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
@@ -89,7 +99,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     has no run of two lines and stays. Rows with a null doc_id stay as they are and are no one's first occurrence.
     Rows that share a doc_id are copies of one place: all keep what the first keeps. Other columns pass through.
     """
-    cut = repeats(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("__cut"))
+    cut = repeats(docs).withColumnRenamed("cut", "__cut")
     joined = docs.drop("removed_chunks", "removed_lines", "__cut").join(cut, "doc_id", "left").withColumns({"removed_chunks": F.lit(0), "removed_lines": F.lit(0).cast("long")})
     schema = T.StructType([f for f in joined.schema if f.name != "__cut"])
     at, runs_at, lines_at = (joined.schema.names.index(c) for c in ("text", "removed_chunks", "removed_lines"))

@@ -8,6 +8,7 @@ do, and a lost executor's output is written again by Spark's committer.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.llm.bpe import CACHE_ENTRIES, Chunks, tokenizer_path
-from tidemark.llm.common import n_partitions, table, text_or_empty, written
+from tidemark.llm.common import Scratch, n_partitions, table, text_or_empty
 from tidemark.llm.flat import slices
 
 BLOCK_IDS = 1 << 19
@@ -142,7 +143,8 @@ BLOCKS = "part int, before long, n_ids long, doc_ids binary, lengths binary, con
 
 
 def encode_blocks(ids: DataFrame, ranked: np.ndarray, width: int, n: int) -> DataFrame:
-    """The blocks of ``ids`` in ascending doc_id order (null first; ties by their ids): range-partitioned, then packed."""
+    """The blocks of ``ids`` in ascending doc_id order (null first; ties by a hash of their ids): range-partitioned, then
+    packed. The hash is part of the range, so that rows which share a doc_id or have none may go to several tasks."""
     spark = ids.sparkSession
     known = spark.sparkContext.broadcast(ranked)  # the vocabulary's size at most
 
@@ -173,7 +175,7 @@ def encode_blocks(ids: DataFrame, ranked: np.ndarray, width: int, n: int) -> Dat
             yield block()
 
     schema = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), *((c, pa.binary()) for c in ("doc_ids", "lengths", "control", "data"))])
-    return ids.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids").select(F.spark_partition_id().alias("part"), "doc_id", "ids").mapInArrow(run, BLOCKS)
+    return ids.withColumn("tie", F.xxhash64("ids")).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids").select(F.spark_partition_id().alias("part"), "doc_id", "ids").mapInArrow(run, BLOCKS)
 
 
 def decode_blocks(blocks: DataFrame, ranked: np.ndarray) -> DataFrame:
@@ -216,13 +218,15 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0) -> tuple[DataFrame
     """Encodes ``docs`` and writes their blocks to the shared folder: (blocks as read back, the ranked ids).
 
     Null text is empty and has the end id alone; a null doc_id comes first; rows with the same doc_id are ordered by
-    their ids; other columns are not read. Text is read once, ids are shuffled once.
+    a hash of their ids; other columns are not read. Text is read once, ids are shuffled once.
     """
-    spark = docs.sparkSession
-    ids = written(token_ids(docs, path, end_id), "op2-ids")
+    tmp = Scratch(docs.sparkSession, "op2")
+    ids = tmp.write(token_ids(docs, path, end_id), "ids")
     size = width(path)
     ranked = frequency_ranks(ids, size)
-    return written(encode_blocks(ids, ranked, size, n_partitions(spark)), "op2-blocks"), ranked
+    blocks = tmp.write(encode_blocks(ids, ranked, size, n_partitions(docs.sparkSession)), "blocks")
+    tmp.drop("ids")
+    return blocks, ranked
 
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
