@@ -97,6 +97,21 @@ def _whole(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], list[np.ndarray]]]:
+    """(bucket, keys, sets) of rows sorted by bucket, one bucket at a time."""
+    at, keys, own = None, [], []
+    for batch in batches:
+        for bucket, k6, s6 in zip(batch.column("bucket").to_pylist(), batch.column("keys"), batch.column("sets"), strict=True):
+            if bucket != at and keys:
+                yield at, keys, own
+                keys, own = [], []
+            at = bucket
+            keys.append(_whole(k6.as_buffer()))
+            own.append(_whole(s6.as_buffer()))
+    if keys:
+        yield at, keys, own
+
+
 _MANY = np.uint64(0)  # in place of a set's digest: an element that some task has found in several sets
 
 
@@ -171,31 +186,37 @@ def shared(docs: DataFrame, k: int, elements: int) -> DataFrame:
             yield send(keys, own, task)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, keys, own = None, [], []
-
-        def credits() -> pa.RecordBatch:
-            if at < 0:
+        """What each set is credited with, in buckets of sets: one row a pair of buckets, however many sets it holds."""
+        for bucket, keys, own in _buckets(batches):
+            if bucket < 0:
                 doc, n = np.concatenate(keys), np.concatenate(own)
             else:
                 _, doc, first, times = _pooled(keys, own)
                 known = np.repeat((times > 1) | (doc[first] == _MANY), times) & (doc != _MANY)
                 doc, n = np.unique(doc[known], return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(n.astype(np.int64))], ["d", "n"])
-
-        for batch in batches:
-            for bucket, k6, s6 in zip(batch.column("bucket").to_pylist(), batch.column("keys"), batch.column("sets"), strict=True):
-                if bucket != at and keys:
-                    yield credits()
-                    keys, own = [], []
-                at = bucket
-                keys.append(_whole(k6.as_buffer()))
-                own.append(_whole(s6.as_buffer()))
-        if keys:
-            yield credits()
+            to = (doc % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            to, doc, n = to[order], doc[order], n[order].astype(np.uint64)
+            cut = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else []
+            ends = np.append(cut[1:], len(to))
+            rows = [(int(to[a]), _six(doc[a:b]), _six(n[a:b])) for a, b in zip(cut, ends, strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], ["bucket", "keys", "sets"])
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, docs_of, n_of in _buckets(batches):
+            doc, n = np.concatenate(docs_of), np.concatenate(n_of)
+            ids, at = np.unique(doc, return_inverse=True)
+            total = np.zeros(len(ids), np.int64)
+            np.add.at(total, at, n.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(total)], ["d", "shared"])
 
     n = n_partitions(docs.sparkSession)
-    dealt = docs.mapInArrow(deal, "bucket long, keys binary, sets binary").repartition(n, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(count, "d long, n long").groupBy("d").agg(F.sum("n").alias("shared"))
+    form = "bucket long, keys binary, sets binary"
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(n, "bucket").sortWithinPartitions("bucket")
+
+    return dealt(dealt(docs.mapInArrow(deal, form)).mapInArrow(count, form)).mapInArrow(tally, "d long, shared long")
 
 
 def frequent(texts: DataFrame, k: int) -> np.ndarray:
