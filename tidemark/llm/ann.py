@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is known by its nearest pivots in order. Each block of the index posts its vectors in one inverted list a
-pivot; a query adds up the footrule distance over the lists of its own pivots, and the nearest share of the block by
-that distance is ranked again by the cosine on the original vectors in double precision.
+A vector is known by its nearest pivots in order. The index is a table of parts of a bounded number of vectors: each holds
+its vectors and one inverted list a pivot, of (vector, rank) postings. Queries go to the parts in blocks; in a part a query
+adds up the footrule distance over the lists of its own pivots, and the nearest share of the part by that distance is ranked
+again by the cosine on the original vectors in double precision. A task holds one part and one block of queries.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm.common import table, written
+from tidemark.llm.common import Scratch, n_partitions, table
 
 PIVOTS = 128  # the sample that the index is fitted on: so many vectors, by a hash of their id
 LENGTH = 64  # pivots that a vector is posted under
-SHARE = 0.25  # of a block that is ranked again
-QUERY_BLOCK = 4096
+SHARE = 0.25  # of a part that is ranked again
+PART_ROWS, QUERY_ROWS = 16_384, 1024  # vectors in a part, queries in a block, at most
 
 
 def usable(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -49,58 +50,99 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def build_index(rows: DataFrame, pivots: np.ndarray, length: int = LENGTH) -> DataFrame:
-    """(vec_id, v, perm) of every vector."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                perm = permutations(unit(matrix(batch.column("v"))), pivots, length)
-                yield batch.append_column("perm", pa.array(list(perm), pa.list_(pa.int16())))
-
-    return rows.mapInArrow(run, "vec_id long, v array<double>, perm array<short>")
+PART = "part long, n int, ids binary, vectors binary, perms binary, starts binary, rows binary, ranks binary"
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, perm: np.ndarray, q_ids: np.ndarray, q: np.ndarray, q_perm: np.ndarray, n_pivots: int, k: int, share: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query_id, vec_id, score): each query's k best in the block."""
-    order = np.argsort(ids, kind="stable")
-    ids, x, perm = ids[order], x[order], perm[order]
-    n, length = perm.shape
+def postings(perm: np.ndarray, n_pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, rows, ranks): pivot p's list is rows[starts[p]:starts[p + 1]], with the ranks that it has there."""
     flat = perm.ravel()
     by = np.argsort(flat, kind="stable")
-    post_row, post_rank = by // length, by % length
-    start = np.searchsorted(flat[by], np.arange(n_pivots + 1))
-    norm = np.sqrt((x * x).sum(axis=1))
-    m = max(min(n, 4 * k), int(np.ceil(share * n)))
-    out = []
-    for i in range(len(q_ids)):
-        # footrule with absent pivots at rank `length`; it starts from nothing shared, up to a term all rows have
-        dist = np.full(n, length * (length + 1) // 2, np.int64)
-        for rank, p in enumerate(q_perm[i].tolist()):
-            r, s = post_row[start[p] : start[p + 1]], post_rank[start[p] : start[p + 1]]
-            dist[r] += np.abs(s - rank) - (length - rank) - (length - s)
-        if m < n:
-            edge = np.partition(dist, m - 1)[m - 1]
-            near = np.flatnonzero(dist < edge)
-            near = np.concatenate([near, np.flatnonzero(dist == edge)[: m - len(near)]])  # ties to smaller ids
-        else:
-            near = np.arange(n)
-        near = near[ids[near] != q_ids[i]]
-        if not len(near):
-            continue
-        score = (x[near] * q[i]).sum(axis=1) / (norm[near] * np.sqrt((q[i] * q[i]).sum()))
-        best = np.lexsort((ids[near], -score))[:k]
-        out.append((np.full(len(best), q_ids[i]), ids[near[best]], score[best]))
-    return out
+    return np.searchsorted(flat[by], np.arange(n_pivots + 1)).astype(np.int32), (by // perm.shape[1]).astype(np.int32), (by % perm.shape[1]).astype(np.int16)
+
+
+def blocks(rows: DataFrame, pivots: np.ndarray, length: int, size: int, lists: bool) -> DataFrame:
+    """``rows`` (vec_id, v) in blocks of ``size`` at most, numbered apart; with inverted lists where they are the index."""
+    known = rows.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+
+        def block() -> pa.RecordBatch:
+            nonlocal at
+            ids = np.concatenate([b.column("vec_id").to_numpy() for b in held])
+            x = np.concatenate([matrix(b.column("v")) for b in held])
+            order = np.argsort(ids, kind="stable")
+            ids, x = ids[order], x[order]
+            perm = permutations(unit(x), known.value, length)
+            inverted = postings(perm, len(known.value)) if lists else [np.zeros(0, np.int32)] * 3
+            at += 1
+            return pa.RecordBatch.from_pylist([dict(zip(names, (at, len(ids), *(np.ascontiguousarray(c).tobytes() for c in (ids, x, perm, *inverted))), strict=True))], pa.schema(list(zip(names, kinds, strict=True))))
+
+        for batch in batches:
+            while batch.num_rows:
+                room = size - sum(b.num_rows for b in held)
+                held.append(batch.slice(0, room))
+                batch = batch.slice(room)
+                if sum(b.num_rows for b in held) == size:
+                    yield block()
+                    held.clear()
+        if held:
+            yield block()
+
+    names = [c.split()[0] for c in PART.split(", ")]
+    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 6]
+    return rows.mapInArrow(run, PART)
+
+
+class _Part:
+    """A part of the index, or a block of queries, as arrays."""
+
+    def __init__(self, row: dict):
+        n = row["n"]
+        self.ids = np.frombuffer(row["ids"], np.int64)
+        self.x = np.frombuffer(row["vectors"], np.float64).reshape(n, -1)
+        self.perm = np.frombuffer(row["perms"], np.int16).reshape(n, -1)
+        self.starts, self.rows, self.ranks = (np.frombuffer(row[c], t) for c, t in (("starts", np.int32), ("rows", np.int32), ("ranks", np.int16)))
+        self.norm = np.sqrt((self.x * self.x).sum(axis=1))
+
+    def search(self, q: _Part, k: int, share: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query_id, vec_id, score): the k best in this part of each query."""
+        n, length = self.perm.shape
+        m = max(min(n, 4 * k), int(np.ceil(share * n)))
+        out = []
+        for i in range(len(q.ids)):
+            # footrule with absent pivots at rank `length`; it starts from nothing shared, up to a term all rows have
+            dist = np.full(n, length * (length + 1) // 2, np.int64)
+            for rank, p in enumerate(q.perm[i].tolist()):
+                at = slice(self.starts[p], self.starts[p + 1])
+                s = self.ranks[at].astype(np.int64)
+                dist[self.rows[at]] += np.abs(s - rank) - (length - rank) - (length - s)
+            if m < n:
+                edge = np.partition(dist, m - 1)[m - 1]
+                near = np.flatnonzero(dist < edge)
+                near = np.concatenate([near, np.flatnonzero(dist == edge)[: m - len(near)]])  # ties to smaller ids
+            else:
+                near = np.arange(n)
+            near = near[self.ids[near] != q.ids[i]]
+            if len(near):
+                score = (self.x[near] * q.x[i]).sum(axis=1) / (self.norm[near] * q.norm[i])
+                best = np.lexsort((self.ids[near], -score))[:k]
+                out.append((np.full(len(best), q.ids[i]), self.ids[near[best]], score[best]))
+        return out
 
 
 def nearest(vectors: DataFrame, queries: str, k: int = 5, pivots: int = PIVOTS, length: int = LENGTH, share: float = SHARE, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each usable row that the condition ``queries`` names.
 
-    All rows are indexed and searched. Queries reach the tasks in blocks of QUERY_BLOCK at most, a pass over the index
-    each. Rows with equal ids are one candidate each but never their own neighbour; an empty table gives no rows.
+    All rows are indexed; each query asks every part, as a query of the contract asks every row. The index is written and
+    moves once, the queries once a part. Rows with equal ids are one candidate each but never their own neighbour; an
+    empty table gives no rows.
     """
     spark = vectors.sparkSession
+    tmp = Scratch(spark, "op5")
     rows = usable(vectors, id_column, vector)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
     schema = "query_id long, rank int, vec_id long, score double"
@@ -108,25 +150,27 @@ def nearest(vectors: DataFrame, queries: str, k: int = 5, pivots: int = PIVOTS,
         return spark.createDataFrame([], schema)
     fitted = np.unique(unit(np.array([r.v for r in sample])), axis=0)
     length = min(length, len(fitted))
-    index = written(build_index(rows, fitted, length), "op5-index")
-    asked = index.where(F.expr(queries))
-    n_blocks = 1
-    while (asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))).count().agg(F.max("count")).first()[0] or 0) > QUERY_BLOCK:
-        n_blocks *= 2
-    out = None
-    for b in range(n_blocks):
-        got = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).orderBy("vec_id").collect()  # QUERY_BLOCK rows at most
-        known = spark.sparkContext.broadcast((np.array([r.vec_id for r in got]), np.array([r.v for r in got], np.float64), np.array([r.perm for r in got], np.int64)))
-
-        def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows and len(known.value[0]):
-                    found = search_block(batch.column("vec_id").to_numpy(), matrix(batch.column("v")), np.asarray(batch.column("perm").flatten()).reshape(batch.num_rows, -1).astype(np.int64), *known.value, len(fitted), k, share)
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
-
-        part = index.mapInArrow(run, "query_id long, vec_id long, score double")
-        out = part if out is None else out.unionByName(part)
+    index = tmp.write(blocks(rows, fitted, length, PART_ROWS, True), "index")
+    asked = tmp.write(blocks(rows.where(F.expr(queries)), fitted, length, QUERY_ROWS, False), "queries")
+    parts = index.select("part")
+    pairs = asked.drop("part").join(parts.groupBy(F.lit(1).alias("one")).agg(F.collect_list("part").alias("parts")), F.lit(True))  # a number a part
+    both = index.withColumn("kind", F.lit(0)).unionByName(pairs.select(F.explode("parts").alias("part"), *[c for c in asked.columns if c != "part"], F.lit(1).alias("kind")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, at = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["kind"] == 0:
+                    here, at = _Part(row), row["part"]
+                    continue
+                assert at == row["part"], "queries without their part"
+                found = here.search(_Part(row), k, share)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
+
+    dealt = both.repartition(n_partitions(spark), "part").sortWithinPartitions("part", "kind")
+    out = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
 
