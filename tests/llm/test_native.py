@@ -38,8 +38,7 @@ def test_fingerprint_contract(spark):
 
 
 def paragraphs(text):
-    pieces = re.split(r"[.!?]+\s|\n", text) if len(text) <= fingerprint.SHORT else text.split("\n")
-    return {p for p in pieces if p}
+    return {p for p in re.split(r"[.!?]+[ \t\n\x0b\f\r]+|\n", text) if p}
 
 
 def test_likeness_is_exact(spark):
@@ -53,6 +52,34 @@ def test_likeness_is_exact(spark):
         assert got[i].near_next == pytest.approx(1 - len(a ^ b) / (len(a) + len(b)))
 
 
+def test_likeness_across_lengths(spark):
+    """One rule at every length: texts and their edits, or near copies, are alike whichever limit lies between them."""
+    sentences = [f"Sentence number {j} has some words of its own. " for j in range(200)]
+    rows = [(2 * n, "".join(sentences[:n])) for n in (4, 15, 20, 22, 24, 30, 60, 150)]
+    rows += [(i + 1, t.replace("Sentence number 2 ", "Another one ")) for i, t in rows]
+    got = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text, ids = dict(rows), sorted(dict(rows), reverse=True)
+    for i, x in enumerate(ids):
+        t, nxt = text[x], text[ids[(i + 1) % len(ids)]]
+        edited = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
+        for other, near in ((edited, got[x].near_edited), (nxt, got[x].near_next)):
+            a, b = paragraphs(t), paragraphs(other)
+            assert near == pytest.approx(1 - len(a ^ b) / (len(a) + len(b)))
+        assert got[x].exact_groups == 0
+        if x % 2:
+            assert got[x].near_next >= 0.5 and got[x].near_edited >= 0.5
+
+
+def test_next_of_rows_that_share_an_id(spark):
+    """An id that a third of the rows have, and rows without one, are cut by their texts' hash; the order stays whole."""
+    rows = [(i if i % 3 else 7, f"text {i}") for i in range(300)] + [(None, f"none {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprint.with_next(df).withColumns({"tie": F.xxhash64("text"), "next_tie": F.xxhash64("next.text")}).collect()
+    order = sorted(((key(r.doc_id), r.tie, r.text) for r in got), reverse=True)
+    after = {t: order[(i + 1) % len(order)][2] for i, (_, _, t) in enumerate(order)}
+    assert len(got) == len(rows) and {r.text: r.next.text for r in got} == after
+
+
 def test_peel_recovers_the_digests(spark):
     df = spark.createDataFrame([([1, 2, 3, 4], [3, 4, 5])], "a array<long>, b array<long>")
     found = fingerprint.peel(fingerprint.subtract(fingerprint.sketch(F.col("a"), 8), fingerprint.sketch(F.col("b"), 8)), 8)
@@ -226,6 +253,67 @@ def test_base_spans(spark):
         assert set(got[i][0].split(",")) <= set(got[i][1].split(","))
 
 
+def planted_texts():
+    import random
+
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghiklmnoprstu") for _ in range(rnd.randint(2, 9)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    number = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+
+    def card():
+        d = number(15)
+        return d + next(c for c in "0123456789" if (sum(int(x) if i % 2 else sum(divmod(2 * int(x), 10)) for i, x in enumerate(d)) + int(c)) % 10 == 0)
+
+    def octets():
+        return [str(rnd.randint(1, 255)) for _ in range(4)]
+
+    forms = {
+        "email": (lambda: f"{word()}.{number(2)}@{word()}.example.com", lambda: f"{word()}.{number(2)} (at) {word()}.example (dot) com"),
+        "ip": (lambda: ".".join(octets()), lambda: "[.]".join(octets())),
+        "card": (card, lambda: ".".join(re.findall("....", card()))),
+        "phone": (lambda: f"+1 ({number(3)}) 555-{number(4)}", lambda: f"1 ({number(3)}) 555-{number(4)}"),
+        "secret": (lambda: f'token = "{rnd.randbytes(20).hex()}"', lambda: f"value {rnd.randbytes(20).hex()}"),
+    }
+    rows = []
+    for i in range(1500):
+        kind = [*forms, None][i % 6]
+        what = number(rnd.choice([9, 10, 16])) if kind is None else forms[kind][i >= 1200]()
+        if kind is None and sum(int(x) if j % 2 else sum(divmod(2 * int(x), 10)) for j, x in enumerate(what)) % 10 == 0:
+            what = what[:9]  # no card by chance
+        rows.append((i, f"{words(rnd.randint(4, 30))} {what} {words(rnd.randint(4, 30))}", kind))
+    return rows
+
+
+def test_forms_beyond_the_base_are_added_and_clean_texts_left_alone(spark):
+    rows = planted_texts()
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    got = {r.doc_id: (r.b, r.s) for r in pii.redactions(df).select("doc_id", pii.spelled("base").alias("b"), pii.spelled("spans").alias("s")).collect()}
+    caught = {}
+    for i, _, kind in rows:
+        b, s = got[i]
+        if kind is None:
+            assert not s, (i, rows[i][1], s)
+        elif i >= 1200 or kind == "secret":
+            assert not b or kind == "secret"  # digits of a token may be a card number by chance
+            caught.setdefault(kind, []).append(f"{kind}:" in s)
+    shares = {k: sum(v) / len(v) for k, v in caught.items()}
+    print("caught beyond the base", shares)
+    assert set(shares) == set(pii.ALL_KINDS) and min(shares.values()) >= 0.9
+
+
+def test_trees_as_a_column(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    df = spark.range(400).selectExpr("cast(id % 17 as double) a", "cast(id % 5 as double) b", "cast(id * 7 % 11 as double) c")
+    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df.selectExpr("*", "cast(a > 8 and b < 3 or c = 4 as double) label"))
+    model = GBTClassifier(maxIter=5, maxDepth=3, seed=1).fit(df)
+    rows = model.transform(df).select(vector_to_array("probability")[1].alias("want"), pii.tree_column(model, lambda i: F.col("abc"[i])).alias("got")).collect()
+    assert all(r.want == pytest.approx(r.got) for r in rows) and len({r.want for r in rows}) > 4
+
+
 def test_pii_contract(spark):
     got = {r.doc_id: r for r in pii.op10_pii(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
@@ -235,4 +323,7 @@ def test_pii_contract(spark):
 
 
 def test_pii_of_odd_rows(odd, none):
-    assert pii.redactions(odd).count() == len(ODD) and pii.redactions(none).count() == 0
+    got = pii.redactions(odd).select("doc_id", "text", pii.spelled("base").alias("b"), pii.spelled("spans").alias("s")).collect()
+    assert sorted(((key(r.doc_id), r.text) for r in got)) == sorted(((key(i), t or "") for i, t, _ in ODD))
+    assert all(r.b == r.s == "" for r in got)
+    assert pii.redactions(none).count() == 0
