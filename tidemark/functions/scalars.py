@@ -55,9 +55,21 @@ def canonical_json(**fields: Column) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
+_SHORT = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
+
+
 def quoted(c: Column) -> Column:
-    """A string as a JSON string."""
-    return F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    """A string as a JSON string; control characters are escaped, others stay as they are."""
+    plain = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    escaped = plain
+    for i in range(32):
+        escaped = F.replace(escaped, F.lit(chr(i)), F.lit(_SHORT.get(chr(i), f"\\u{i:04x}")))
+    return F.concat(F.lit('"'), F.when(c.rlike(r"[\x00-\x1f]"), escaped).otherwise(plain), F.lit('"'))
+
+
+def canonical_text(c: Column) -> Column:
+    """A JSON text with sorted keys and no blanks; a text that is no JSON gives null. Numbers are written in Spark's way."""
+    return F.to_json(F.try_parse_json(c))
 
 
 def mask_pan(pan: Column) -> Column:
@@ -96,6 +108,7 @@ def elapsed_days(first_us: Column, last_us: Column) -> Column:
     return F.greatest(F.floor((last_us - first_us) / DAY_US), F.lit(1))
 
 
+# What identifiers and path segments may hold.
 IDENTIFIER = r"^[A-Za-z0-9][A-Za-z0-9._:@/-]{1,127}$"
 SEGMENT = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"
 

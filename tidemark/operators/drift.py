@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from tidemark.functions.scalars import substituted
 from tidemark.operators.metrics import melt
+from tidemark.operators.priors import quantiles, running_totals
 
 # Limits of the classes.
 MODERATE, SIGNIFICANT = 0.10, 0.25
@@ -33,7 +34,8 @@ def psi(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10,
     """
     long = _long(ref, cur, features)
     shares = [i / bins for i in range(bins + 1)]
-    edges = long.where("side = 'r'").groupBy("feature").agg(F.count_distinct("p").alias("levels"), F.array_distinct(F.percentile("p", shares)).alias("edges"))
+    ref_rows = long.where("side = 'r'")
+    edges = ref_rows.groupBy("feature").agg(F.count_distinct("p").alias("levels")).join(quantiles(ref_rows, "p", shares, ["feature"]).select("feature", F.array_distinct("q").alias("edges")), "feature")
     d = long.join(F.broadcast(edges), "feature")  # one row a feature
     inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
     cell = F.when(F.col("levels") <= max_levels, F.col("p")).otherwise(F.size(F.filter(inner, lambda e: e <= F.col("p"))).cast("double"))
@@ -48,9 +50,9 @@ def psi(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10,
 def ks_two_sample(ref: DataFrame, cur: DataFrame, features: Sequence[str], terms: int = 100) -> DataFrame:
     """(feature, ks, p_value): the exact statistic over distinct values, the asymptotic Kolmogorov series."""
     g = _long(ref, cur, features).groupBy("feature", "p").agg(F.sum((F.col("side") == "r").cast("long")).alias("r"), F.sum((F.col("side") == "c").cast("long")).alias("c"))
-    upto, every = W.partitionBy("feature").orderBy("p").rowsBetween(W.unboundedPreceding, 0), W.partitionBy("feature")
-    n, m = F.sum("r").over(every), F.sum("c").over(every)
-    d = g.select("feature", F.abs(F.try_divide(F.sum("r").over(upto), n) - F.try_divide(F.sum("c").over(upto), m)).alias("gap"), n.alias("n"), m.alias("m")).groupBy("feature").agg(F.max("gap").alias("ks"), F.max("n").alias("n"), F.max("m").alias("m"))
+    upto = running_totals(g, {"r_so": "r", "c_so": "c"}, ["p"], ["feature"])
+    d = upto.join(F.broadcast(upto.groupBy("feature").agg(F.sum("r").alias("n"), F.sum("c").alias("m"))), "feature")  # a row a feature
+    d = d.groupBy("feature", "n", "m").agg(F.max(F.abs(F.try_divide("r_so", "n") - F.try_divide("c_so", "m"))).alias("ks"))
     en = F.sqrt(F.try_divide(F.col("n") * F.col("m"), F.col("n") + F.col("m")))
     x = (en + 0.12 + F.try_divide(F.lit(0.11), en)) * F.col("ks")
     series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(F.lit(-2.0) * k * k * x * x))

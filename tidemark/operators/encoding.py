@@ -46,6 +46,22 @@ def target_encode(df: DataFrame, keys: Sequence[str], label: str, order_by: Sequ
     return seen.unionByName(scored)
 
 
+def encoding_map(df: DataFrame, key: str, label: str, order_by: Sequence[str], ident: str, split: str = "dataset_split", m: float = 20.0, cold: float = 0.005) -> DataFrame:
+    """(ident, <key>_risk, <key>_risk_serving): one map of one encoding for all rows, training and scoring parts united.
+
+    For callers that keep maps as tables; ``join_maps`` puts them back on rows.
+    """
+    d = df.select(ident, key, label, split, *[c for c in order_by if c not in (ident, key, label, split)])
+    return target_encode(d, [key], label, order_by, split, m, cold).select(ident, f"{key}_risk", f"{key}_risk_serving")
+
+
+def join_maps(df: DataFrame, maps: Sequence[DataFrame], ident: str) -> DataFrame:
+    """``df`` with the columns of each map, null where a map doesn't have the row."""
+    for one in maps:
+        df = df.join(one, ident, "left")
+    return df
+
+
 def in_sample_mean(rows: DataFrame, train: DataFrame, key: str, label: str) -> DataFrame:
     """The leaky encoding, kept to show that the gates catch it: a level's own mean, 0 if unseen."""
     means = train.groupBy(key).agg(F.avg(label).alias("__mean"))

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.functions.scalars import canonical_json, hours_between, quoted
+from pyspark.sql import types as T
+
+from tidemark.functions.scalars import canonical_json, canonical_text, hours_between, quoted
+from tidemark.storage import n_partitions
 
 # The paths a case may take, and which permission an event asks for.
 TRANSITIONS = (("", "alert_open"), ("alert_open", "under_review"), ("under_review", "under_review"), ("under_review", "rgs_reached"), ("under_review", "rgs_not_reached"))
 TERMINAL = ("rgs_reached", "rgs_not_reached")
-PERMISSION_OF = (("alert_created", "create_alert"), ("review_started", "start_review"), ("evidence_attached", "attach_evidence"), ("rgs_decision", "record_rgs_decision"))
+PERMISSION_OF = (("alert_created", "create_alert"), ("review_started", "start_review"), ("evidence_attached", "attach_evidence"), ("rgs_reached", "record_rgs_decision"), ("rgs_not_reached", "record_rgs_decision"))
+COMMITTED = ("evidence_type", "sha256", "byte_size", "media_type", "local_path", "archive_receipt")  # what an evidence event repeats of its record
 ROLE_PERMISSIONS = {
     "investigator": ("read_case", "create_alert", "start_review", "attach_evidence", "verify_integrity"),
     "authorized_rgs_reviewer": ("read_case", "create_alert", "start_review", "attach_evidence", "record_rgs_decision", "verify_integrity"),
@@ -74,11 +82,19 @@ def version_conflicts(events: DataFrame) -> DataFrame:
     return events.select("case_id", "sequence", "expected_version", prev.cast("long").alias("actual_version")).where("expected_version <> actual_version")
 
 
+def event_body(prev: Column) -> Column:
+    """The JSON text that an event's hash covers: its twelve fields with sorted keys, the metadata as parsed JSON.
+
+    prev: the previous hash as JSON text.
+    """
+    text = ("event_id", "case_id", "event_type", "to_status", "actor", "actor_role", "rationale", "occurred_at")
+    fields = {c: quoted(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in text}
+    return canonical_json(**fields, from_status=quoted(F.col("from_status")), metadata=canonical_text(F.col("metadata_json")), previous_event_hash=prev, sequence=F.col("sequence").cast("string"))
+
+
 def event_digest(prev: Column) -> Column:
     """The hash that an event should have after ``prev``."""
-    fields = {c: quoted(F.coalesce(F.col(c), F.lit(""))) for c in ("case_id", "event_type", "to_status", "actor", "actor_role", "occurred_at", "metadata_json")}
-    body = canonical_json(previous_event_hash=quoted(prev), sequence=F.col("sequence").cast("string"), **fields)
-    return F.sha2(body, 256)
+    return F.sha2(event_body(quoted(prev)), 256)
 
 
 def verify_chain(events: DataFrame) -> DataFrame:
@@ -90,25 +106,66 @@ def verify_chain(events: DataFrame) -> DataFrame:
     return d.select("case_id", "sequence", problem.alias("problem")).where("problem is not null")
 
 
-def build_chain(rows: DataFrame, key: str, order: str, content: Column) -> DataFrame:
-    """(key, order, event_hash): each hash covers the one before and its row's content, in order inside each key.
+def build_chain(rows: DataFrame, key: str, order: str, head: Column, tail: Column) -> DataFrame:
+    """``rows`` with ``previous_event_hash`` ('' for a key's first row) and ``event_hash``, the SHA-256 of head, previous
+    hash and tail, in order inside each key; rows of one place go by their tail. Null heads and tails are empty.
 
-    A chain is sequential by definition; one key's rows fold in one task, keys in parallel.
+    A chain is sequential by definition: a key's rows stream by in order, so that its length costs no memory; keys are
+    dealt over tasks. A null key has a chain of its own.
+    """
+    schema = T.StructType([*rows.schema, T.StructField("previous_event_hash", T.StringType()), T.StructField("event_hash", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, prev = object(), ""
+        for batch in batches:
+            before, after = [], []
+            for k, h, t in zip(*(batch.column(c).to_pylist() for c in ("__key", "__head", "__tail")), strict=True):
+                if k != at:
+                    at, prev = k, ""
+                before.append(prev)
+                prev = hashlib.sha256(f"{h}{prev}{t}".encode()).hexdigest()
+                after.append(prev)
+            yield batch.drop_columns(["__key", "__head", "__tail"]).append_column("previous_event_hash", pa.array(before, pa.string())).append_column("event_hash", pa.array(after, pa.string()))
+
+    none = F.lit("")
+    d = rows.withColumns({"__key": F.col(key).cast("string"), "__head": F.coalesce(head, none), "__tail": F.coalesce(tail, none)})
+    return d.repartition(n_partitions(rows.sparkSession), "__key").sortWithinPartitions("__key", order, "__tail").mapInArrow(run, schema)
+
+
+def chain_events(events: DataFrame) -> DataFrame:
+    """``events`` with the hashes that a writer stores, each over the one before."""
+    mark = "\u0001"  # stands for the previous hash: escaped JSON text has no such character
+    parts = F.split(event_body(F.lit(f'"{mark}"')), mark)
+    return build_chain(events, "case_id", "sequence", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))
+
+
+def reconcile(recorded: DataFrame, stored: DataFrame, key: str = "evidence_id", events: DataFrame | None = None) -> DataFrame:
+    """(key, problem), a row a problem: entries on one side alone, hashes or sizes that differ from the content.
+
+    stored has the ``content`` itself. With ``events`` (key, metadata_json of the evidence events) also: events without
+    a record, records without an event, ``<field>_differs`` for each committed field that isn't as recorded, and
+    archive receipts that aren't verified (``archive_receipt`` is JSON text).
     """
-    body = rows.select(key, F.col(order).alias("__o"), content.alias("__c")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("__o", "__c"))).alias("__rows"))
-    step = lambda h, x: F.concat(h, F.array(F.sha2(F.concat(F.coalesce(F.element_at(h, -1), F.lit("")), F.lit("\n"), F.coalesce(x["__c"], F.lit(""))), 256)))
-    hashes = F.aggregate("__rows", F.array(F.lit("")).cast("array<string>"), step)
-    d = body.withColumn("__h", F.slice(hashes, F.lit(2), F.size("__rows")))
-    return d.select(key, F.explode(F.arrays_zip("__rows", "__h")).alias("x")).select(key, F.col("x.__rows.__o").alias(order), F.col("x.__h").alias("event_hash"))
-
-
-def reconcile(recorded: DataFrame, stored: DataFrame, key: str = "evidence_id") -> DataFrame:
-    """(key, problem): entries on one side alone, and hashes or sizes that differ. stored has the ``content`` itself."""
     s = stored.select(key, F.sha2(F.col("content").cast("binary"), 256).alias("actual_sha"), F.octet_length("content").cast("long").alias("actual_size"), F.lit(True).alias("__s"))
-    r = recorded.select(key, F.col("sha256"), F.col("byte_size"), F.lit(True).alias("__r"))
-    d = r.join(s, key, "full_outer")
-    problem = F.when(F.col("__s").isNull(), "record_without_content").when(F.col("__r").isNull(), "content_without_record").when(F.col("sha256") != F.col("actual_sha"), "hash_mismatch").when(F.col("byte_size") != F.col("actual_size"), "size_mismatch")
-    return d.select(key, problem.alias("problem")).where("problem is not null")
+    d = recorded.withColumn("__r", F.lit(True)).join(s, key, "full_outer")
+    both = F.col("__r") & F.col("__s")
+    problems = [
+        F.when(F.col("__s").isNull() & F.col("__r"), "record_without_content"),
+        F.when(F.col("__r").isNull(), "content_without_record"),
+        F.when(both & ~F.col("sha256").eqNullSafe(F.col("actual_sha")), "hash_mismatch"),
+        F.when(both & ~F.col("byte_size").eqNullSafe(F.col("actual_size")), "size_mismatch"),
+    ]
+    if events is not None:
+        d = d.join(events.select(key, F.col("metadata_json").alias("__meta"), F.lit(True).alias("__e")), key, "full_outer")
+        problems += [F.when(F.col("__e") & F.col("__r").isNull(), "event_without_record"), F.when(F.col("__r") & F.col("__e").isNull(), "record_without_event")]
+        for c in COMMITTED:
+            have = canonical_text(F.col(c)) if c == "archive_receipt" else F.col(c).cast("string")
+            told = F.get_json_object("__meta", f"$.{c}")
+            told = canonical_text(told) if c == "archive_receipt" else told
+            problems.append(F.when(F.col("__e") & F.col("__r") & ~have.eqNullSafe(told), f"{c}_differs"))
+        receipt = F.col("archive_receipt")
+        problems.append(F.when(F.col("__r") & receipt.isNotNull() & (F.coalesce(F.get_json_object(receipt, "$.verified"), F.lit("")) != "true"), "unverified_receipt"))
+    return d.select(key, F.explode(F.array_compact(F.array(*problems))).alias("problem"))
 
 
 def audit_permissions(events: DataFrame, cases: DataFrame | None = None) -> DataFrame:
@@ -138,8 +195,10 @@ def organization_mismatches(cases: DataFrame, events: DataFrame) -> DataFrame:
 
 def feedback_report(cases: DataFrame, events: DataFrame, min_cohort: int = 5) -> DataFrame:
     """Per model version: cases, terminal share, confirmed share and median review hours; small cohorts are blanked."""
-    start = F.min(F.when(F.col("event_type") == "review_started", F.col("occurred_at"))).alias("started")
-    done = F.min(F.when(F.col("event_type") == "rgs_decision", F.col("occurred_at"))).alias("decided")
+    begins = F.col("event_type") == "review_started"
+    start = F.min_by(F.when(begins, F.col("occurred_at")), F.when(begins, F.col("sequence"))).alias("started")
+    ends = F.col("event_type").isin(*TERMINAL)
+    done = F.min_by(F.when(ends, F.col("occurred_at")), F.when(ends, F.col("sequence"))).alias("decided")
     per = events.groupBy("case_id").agg(start, done, F.max_by("to_status", "sequence").alias("status"))
     d = cases.select("case_id", "model_version").join(per, "case_id", "left").withColumn("hours", hours_between(F.col("started"), F.col("decided")))
     ended = F.col("status").isin(*TERMINAL)

@@ -1,7 +1,8 @@
 """Exact metrics of scored rows: ranking, thresholds, costs, calibration, subgroups.
 
-Scored rows are first grouped by score; everything cumulative then runs over distinct scores. Where scores are distinct
-for nearly every row, ``score_table`` can be given rounded scores; its running sums are per group of ``by``.
+Scored rows are first grouped by score; everything cumulative then runs over distinct scores, cut into ranges: totals a
+range are summed first, then the rows inside each, so scores may be as many as rows. Groups (``by``) are few; rows
+without a group are left out.
 """
 
 from __future__ import annotations
@@ -12,14 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.operators.priors import quantiles, running_totals
+
 
 def score_table(scores: DataFrame, by: Sequence[str] = (), p: str = "p", y: str = "y", weight: str | None = None) -> DataFrame:
     """(by, p, pos, n, tp, seen, total_pos, total): counts a distinct score, and cumulative ones at or above it."""
     w = F.lit(1).cast("long") if weight is None else F.col(weight)
     g = scores.groupBy(*by, F.col(p).alias("p")).agg(F.sum(F.col(y) * w).alias("pos"), F.sum(w).alias("n"))
-    down = W.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy(*by)
-    return g.withColumns({"tp": F.sum("pos").over(down), "seen": F.sum("n").over(down), "total_pos": F.sum("pos").over(every), "total": F.sum("n").over(every)})
+    d = running_totals(g.withColumn("__down", -F.col("p")), {"tp": "pos", "seen": "n"}, ["__down"], by).drop("__down")
+    totals = d.groupBy(*by).agg(F.sum("pos").alias("total_pos"), F.sum("n").alias("total"))
+    return d.join(F.broadcast(totals), list(by)) if by else d.crossJoin(F.broadcast(totals))  # a row a group; one row
 
 
 def average_precision(scores: DataFrame, by: Sequence[str] = (), **cols) -> DataFrame:
@@ -65,10 +68,16 @@ def cost_at(scores: DataFrame, threshold: float, review_cost: float = 25.0, by:
     return d.withColumn("total_cost", F.col("missed_amt") + F.col("review")).drop("tn", "f1")
 
 
+def _cuts(df: DataFrame, column: str, shares: Sequence[float]) -> list[float]:
+    """The distinct quantiles in order: as many numbers as shares at most."""
+    found = quantiles(df, column, shares).first()
+    return sorted(set(found.q)) if found else []
+
+
 def threshold_grid(scores: DataFrame, n: int = 400, low: float = 0.90, high: float = 0.9999, p: str = "p") -> list[float]:
     """Distinct quantiles of the score: ``n`` numbers at most."""
     share = [low + (high - low) * i / (n - 1) for i in range(n)]
-    return sorted(set(scores.agg(F.percentile(p, share)).first()[0] or []))
+    return _cuts(scores, p, share)
 
 
 def cost_curve(scores: DataFrame, grid: Sequence[float], review_cost: float = 25.0, p: str = "p", y: str = "y", amt: str = "amt") -> DataFrame:
@@ -99,8 +108,7 @@ def uniform_edges(bins: int) -> list[float]:
 
 def quantile_edges(scores: DataFrame, bins: int, p: str = "p") -> list[float]:
     """Interior edges at the score's quantiles, without repeats."""
-    got = scores.agg(F.percentile(p, [i / bins for i in range(1, bins)])).first()[0] or []
-    return sorted(set(got))
+    return _cuts(scores, p, [i / bins for i in range(1, bins)])
 
 
 def reliability(scores: DataFrame, edges: Sequence[float], by: Sequence[str] = (), p: str = "p", y: str = "y") -> DataFrame:
@@ -124,22 +132,24 @@ def alert_region(scores: DataFrame, threshold: float, p: str = "p") -> DataFrame
 
 def amount_bands(scores: DataFrame, amt: str = "amt", bands: int = 4) -> DataFrame:
     """``scores`` with ``amount_band``: quantile bands closed above, the least value in the first, equal edges merged."""
-    cuts = scores.agg(F.percentile(amt, [i / bands for i in range(1, bands)])).first()[0] or []
-    edges = sorted(set(cuts))
+    edges = _cuts(scores, amt, [i / bands for i in range(1, bands)])
     return scores.withColumn("amount_band", F.concat(F.lit("q"), (F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col(amt))) + 1).cast("string")) if edges else F.lit("q1"))
 
 
 def subgroups(scores: DataFrame, threshold: float, slices: Sequence[str], min_rows: int = 100, min_positives: int = 5, p: str = "p", y: str = "y") -> DataFrame:
-    """(slice_name, slice_value, n, positives, precision, recall, brier) of groups with enough support; all slices in one pass."""
+    """(slice_name, slice_value, n, positives, alert_rate, precision, recall, brier) of groups with enough support; all slices in one pass."""
     pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("slice_name"), F.coalesce(F.col(s).cast("string"), F.lit("<missing>")).alias("slice_value")) for s in slices])).alias("s")
     d = scores.select(p, y, pairs).select(p, y, "s.*")
     hit, pos = F.col(p) >= threshold, F.col(y) == 1
     g = d.groupBy("slice_name", "slice_value").agg(F.count("*").alias("n"), F.sum(y).alias("positives"), F.sum((hit & pos).cast("long")).alias("tp"), F.sum(hit.cast("long")).alias("alerts"), F.avg(F.pow(F.col(p) - F.col(y), F.lit(2.0))).alias("brier"))
-    return g.where((F.col("n") >= min_rows) & (F.col("positives") >= min_positives)).select("slice_name", "slice_value", "n", "positives", F.coalesce(F.try_divide("tp", "alerts"), F.lit(0.0)).alias("precision"), F.try_divide("tp", "positives").alias("recall"), "brier")
+    return g.where((F.col("n") >= min_rows) & (F.col("positives") >= min_positives)).select("slice_name", "slice_value", "n", "positives", (F.col("alerts") / F.col("n")).alias("alert_rate"), F.coalesce(F.try_divide("tp", "alerts"), F.lit(0.0)).alias("precision"), F.try_divide("tp", "positives").alias("recall"), "brier")
 
 
 def score_summary(scores: DataFrame, by: Sequence[str] = (), p: str = "p") -> DataFrame:
-    return scores.groupBy(*by).agg(F.min(p).alias("min_p"), F.max(p).alias("max_p"), F.avg(p).alias("mean_p"), F.percentile(p, F.lit(0.5)).alias("median_p"), F.stddev_pop(p).alias("std_p"))
+    one = scores.groupBy(*by).agg(F.min(p).alias("min_p"), F.max(p).alias("max_p"), F.avg(p).alias("mean_p"), F.stddev_pop(p).alias("std_p"))
+    mid = quantiles(scores, p, [0.5], by).select(*by, F.get("q", F.lit(0)).alias("median_p"))
+    d = one.join(F.broadcast(mid), list(by), "left") if by else one.join(F.broadcast(mid), how="left")  # a row a group
+    return d.select(*by, "min_p", "max_p", "mean_p", "median_p", "std_p")
 
 
 def histogram(scores: DataFrame, bins: int = 10, p: str = "p") -> DataFrame:

@@ -66,3 +66,29 @@ def percent_rank(df: DataFrame, order_by: Sequence[str], within: Sequence[str])
     """``df`` with ``percent_rank`` inside ``within``; ``order_by`` must be a total order there."""
     d = global_row_number(df, order_by, within)
     return d.withColumn("percent_rank", F.when(F.col("rows_in_all") > 1, (F.col("row_no") - 1) / (F.col("rows_in_all") - 1)).otherwise(0.0)).drop("row_no", "rows_in_all")
+
+
+def running_totals(df: DataFrame, sums: dict[str, str], order_by: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the sums up to and with each row in the order of ``order_by``, a total order inside ``within``.
+
+    sums: name of the running sum -> column. Rows where a column of ``within`` is null are left out.
+    """
+    d = _with_prior(chunked(df, [*within, *order_by]), list(within), order_by, sums, {n: n for n in sums})
+    return d.withColumns({n: F.col(n) + F.col(c) for n, c in sums.items()}).drop("chunk")
+
+
+def quantiles(df: DataFrame, column: str, shares: Sequence[float], within: Sequence[str] = ()) -> DataFrame:
+    """(within, ``q``): the exact quantiles of the column's values, by linear interpolation, as an array in order of
+    ``shares``; nulls don't count. Works on counts of distinct values in ranges: no task holds all of them."""
+    g = df.where(F.col(column).isNotNull()).groupBy(*within, F.col(column).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    d = running_totals(g, {"__upto": "__n"}, ["__v"], within)
+    totals = d.groupBy(*within).agg(F.sum("__n").alias("__all"))
+    d = d.join(F.broadcast(totals), list(within)) if within else d.crossJoin(F.broadcast(totals))  # a few groups; one row
+    every = F.transform(F.array(*[F.lit(float(x)) for x in shares]), lambda x, i: F.struct(i.alias("i"), (x * (F.col("__all") - 1)).alias("h")))
+    near = F.filter(every, lambda s: (F.floor(s.h) < F.col("__upto")) & (F.ceil(s.h) >= F.col("__upto") - F.col("__n")))
+    x = d.select(*within, "__v", "__n", "__upto", F.explode(near).alias("s"))
+    here = lambda at: (at < F.col("__upto")) & (at >= F.col("__upto") - F.col("__n"))
+    low, high = F.floor("s.h"), F.ceil("s.h")
+    one = x.groupBy(*within, F.col("s.i").alias("i"), F.col("s.h").alias("h")).agg(F.max(F.when(here(low), F.col("__v"))).alias("lo"), F.max(F.when(here(high), F.col("__v"))).alias("hi"))
+    value = F.when(F.floor("h") == F.ceil("h"), F.col("lo")).otherwise((F.ceil("h") - F.col("h")) * F.col("lo") + (F.col("h") - F.floor("h")) * F.col("hi"))
+    return one.groupBy(*within).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))), lambda s: s.v).alias("q"))

@@ -6,9 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from tidemark.operators import card
-from tidemark.operators.priors import prior_sums
+from tidemark.settings import DAY_US
+from tidemark.sources.transactions import micros
 
 #: The runtime contract's ranges (fixed values): column -> (least, most), None for no bound.
 RANGES: dict[str, tuple[float | None, float | None]] = {
@@ -63,17 +64,25 @@ def row_count_gap(df: DataFrame, expected: int) -> DataFrame:
     return df.agg(F.count("*").alias("actual")).withColumn("expected", F.lit(expected).cast("long")).where("actual <> expected")
 
 
-def history_not_prior(mart: DataFrame, key: str = "cc_num", ts: str = "trans_date_trans_time", amt: str = "amt") -> DataFrame:
-    """Rows whose card count isn't that of the 90 days before them, or whose first event has velocity."""
-    again = card.card_history(mart.select(key, ts, amt, "trans_num", F.col("card_txn_cnt").alias("recorded"), "txns_24h", "txns_7d"), key, ts, amt)
-    first = again.withColumn("first_ts", F.min(ts).over(_by(key)))
-    return first.where((F.col("recorded") != F.col("card_txn_cnt")) | ((F.col(ts) == F.col("first_ts")) & ((F.col("txns_24h") != 0) | (F.col("txns_7d") != 0)))).select("trans_num", "recorded", F.col("card_txn_cnt").alias("expected"))
+def counts_before(df: DataFrame, key: str, ts: str, ident: str, days: int) -> DataFrame:
+    """(ident, expected): how many rows of the key lie in the ``days`` before each row, itself and its peers left out.
 
+    Not by range frames: each row asks at its time and at ``days`` before how many rows came earlier; the running count
+    over rows and questions in time answers both, and the difference is the window's count.
+    """
+    us = micros(ts)
+    d = df.select(key, F.col(ident).alias("ident"), us.alias("at"))
+    asks = d.select(key, "ident", F.explode(F.array(F.struct(F.col("at").alias("at"), F.lit(1).alias("sign")), F.struct((F.col("at") - days * DAY_US).alias("at"), F.lit(-1).alias("sign")))).alias("q"))
+    line = d.select(key, "ident", "at", F.lit(1).alias("mark"), F.lit(0).alias("sign")).unionByName(asks.select(key, "ident", "q.at", F.lit(0).alias("mark"), "q.sign"))
+    so = F.sum("mark").over(W.partitionBy(key).orderBy("at", "mark").rowsBetween(W.unboundedPreceding, 0))  # questions before rows of the same time
+    return line.withColumn("so", so).where("mark = 0").groupBy("ident").agg(F.sum(F.col("so") * F.col("sign")).alias("expected")).withColumnRenamed("ident", ident)
 
-def _by(key: str):
-    from pyspark.sql import Window as W
 
-    return W.partitionBy(key)
+def history_not_prior(mart: DataFrame, key: str = "cc_num", ts: str = "trans_date_trans_time", ident: str = "trans_num") -> DataFrame:
+    """Rows whose card count isn't that of the 90 days before them, or whose key's first event has velocity."""
+    d = mart.select(key, ts, ident, F.col("card_txn_cnt").alias("recorded"), "txns_24h", "txns_7d").join(counts_before(mart, key, ts, ident, 90), ident)
+    first = d.join(mart.groupBy(key).agg(F.min(ts).alias("first_ts")), key)
+    return first.where((F.col("recorded") != F.col("expected")) | ((F.col(ts) == F.col("first_ts")) & ((F.col("txns_24h") != 0) | (F.col("txns_7d") != 0)))).select(ident, "recorded", "expected")
 
 
 def window_bounds(mart: DataFrame, ts: str = "trans_date_trans_time") -> DataFrame:
@@ -98,15 +107,24 @@ def degenerate_scale(mart: DataFrame, limit: float = 1000.0, least: int = 5) ->
     return mart.where(((F.col("card_txn_cnt") < least) & (z != 0)) | (F.abs(z) > limit) | (F.abs(r) > limit)).select("trans_num", "card_txn_cnt", "amt_z_card", "amt_over_mean_card")
 
 
-def encoding_not_temporal(mart: DataFrame, key: str, label: str = "is_fraud", ts: str = "trans_date_trans_time", recorded: str | None = None, m: float = 20.0, cold: float = 0.005, tolerance: float = 1e-10) -> DataFrame:
-    """Training rows whose encoding differs from its reconstruction, and those that have none."""
-    from tidemark.operators.encoding import smoothed
+def encoding_not_temporal(mart: DataFrame, key: str, label: str = "is_fraud", ts: str = "trans_date_trans_time", recorded: str | None = None, m: float = 20.0, cold: float = 0.005, tolerance: float = 1e-10, ident: str = "trans_num") -> DataFrame:
+    """Training rows whose encoding differs from its reconstruction, and those that have none.
 
+    The reconstruction shares nothing with the encoder: a level's earlier rows by a window over the level, all earlier
+    rows by totals a day and a window inside each day, the smoothing written out.
+    """
     recorded = recorded or f"{key}_risk"
-    train = mart.where("dataset_split = 'train'")
-    d = prior_sums(train, label, [ts, "trans_num"], [key])
-    again = smoothed(F.col(f"{key}_{'value'}_prior"), F.col(f"{key}_count_prior"), F.coalesce(F.try_divide("value_prior", "count_prior"), F.lit(cold)), m)
-    return d.withColumn("expected", again).where(F.col(recorded).isNull() | (F.abs(F.col(recorded) - F.col("expected")) > tolerance)).select("trans_num", F.col(recorded).alias("recorded"), "expected")
+    train = mart.where("dataset_split = 'train'").withColumn("__day", F.to_date(ts))
+    days = train.groupBy("__day").agg(F.sum(label).alias("s"), F.count("*").alias("c"))
+    earlier = W.orderBy("__day").rowsBetween(W.unboundedPreceding, -1)  # one row a day
+    days = days.select("__day", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("s0"), F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("c0"))
+    in_day, of_level = (W.partitionBy(c).orderBy(ts, ident).rowsBetween(W.unboundedPreceding, -1) for c in ("__day", key))
+    none = F.lit(0)
+    d = train.withColumns({"s1": F.coalesce(F.sum(label).over(in_day), none), "c1": F.count("*").over(in_day), "ks": F.coalesce(F.sum(label).over(of_level), none), "kc": F.count("*").over(of_level)})
+    d = d.join(F.broadcast(days), "__day")
+    rate = F.coalesce(F.try_divide((F.col("s0") + F.col("s1")).cast("double"), F.col("c0") + F.col("c1")), F.lit(cold))
+    d = d.withColumn("expected", (F.col("ks") + F.lit(m) * rate) / (F.col("kc") + F.lit(m)))
+    return d.where(F.col(recorded).isNull() | (F.abs(F.col(recorded) - F.col("expected")) > tolerance)).select(ident, F.col(recorded).alias("recorded"), "expected")
 
 
 def split_stats(df: DataFrame, features: Sequence[str], split: str = "dataset_split") -> DataFrame:

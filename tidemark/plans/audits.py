@@ -12,40 +12,31 @@ from tidemark.operators import ledger, text
 from tidemark.plans.registry import query, rounded, table
 from tidemark.storage import shared_dir
 
-# A case log derived from the events table: a case a user, its first events in time, statuses by place in the case.
-_LOG = """(SELECT 'c' || user_id AS case_id, CAST(row_number() OVER w AS BIGINT) AS sequence, event_id, user_id, event_type AS kind, epoch_us(ts) AS us FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
-_KIND = "CASE WHEN sequence = 1 THEN 'alert_created' WHEN sequence = 2 THEN 'review_started' WHEN user_id % 3 = 0 AND sequence = 3 THEN 'rgs_decision' ELSE 'evidence_attached' END"
-_TO = "CASE WHEN sequence = 1 THEN 'alert_open' WHEN user_id % 3 = 0 AND sequence = 3 THEN CASE WHEN user_id % 2 = 0 THEN 'rgs_reached' ELSE 'rgs_not_reached' END ELSE 'under_review' END"
+# A case log derived from the events table: a case a user, all its events in time, statuses by place in the case. Every
+# third case ends with a decision, every ninth has one more event after it.
+_LOG = """(SELECT *, CASE WHEN user_id % 9 = 0 THEN n - 1 WHEN user_id % 3 = 0 THEN n END AS d FROM (SELECT 'c' || user_id AS case_id, CAST(row_number() OVER w AS BIGINT) AS sequence, count(*) OVER (PARTITION BY user_id) AS n, event_id, user_id, epoch_us(ts) AS us FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)))"""
+_END = "sequence > 2 AND sequence = d"
+_OUTCOME = "CASE WHEN user_id % 2 = 0 THEN 'rgs_reached' ELSE 'rgs_not_reached' END"
+_KIND = f"CASE WHEN sequence = 1 THEN 'alert_created' WHEN sequence = 2 THEN 'review_started' WHEN {_END} THEN {_OUTCOME} ELSE 'evidence_attached' END"
+_TO = f"CASE WHEN sequence = 1 THEN 'alert_open' WHEN {_END} THEN {_OUTCOME} ELSE 'under_review' END"
 _ROLE = "CASE event_id % 4 WHEN 0 THEN 'investigator' WHEN 1 THEN 'authorized_rgs_reviewer' WHEN 2 THEN 'alert_ingestor' ELSE 'model_governance_reviewer' END"
-LOG_SQL = f"(SELECT case_id, sequence, user_id, event_id, us, {_KIND} AS event_type, {_TO} AS to_status, 'u' || (event_id % 17) AS actor, {_ROLE} AS actor_role, user_id % 5 AS org FROM {_LOG} WHERE sequence <= 5)"
+LOG_SQL = f"(SELECT case_id, sequence, user_id, event_id, us, {_KIND} AS event_type, {_TO} AS to_status, 'u' || (event_id % 17) AS actor, {_ROLE} AS actor_role, user_id % 5 AS org FROM {_LOG})"
 
 
 def case_log(spark, d) -> DataFrame:
-    """The log without hashes: case_id, sequence, types, statuses, actors, times, metadata."""
+    """The log without hashes: case_id, sequence, types, statuses, actors, times, rationales, metadata."""
     e = table(spark, d, "events")
-    no = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
-    r = e.select("user_id", "event_id", F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("case_id"), no.alias("sequence"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("occurred_at")).where("sequence <= 5")
+    no, n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long"), F.count("*").over(W.partitionBy("user_id"))
+    r = e.select("user_id", "event_id", F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("case_id"), no.alias("sequence"), n.alias("n"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("occurred_at"))
+    r = r.withColumn("d", F.expr("CASE WHEN user_id % 9 = 0 THEN n - 1 WHEN user_id % 3 = 0 THEN n END"))
     org = (F.col("user_id") % 5).cast("string")
-    r = r.selectExpr("*", f"{_KIND} AS event_type", f"{_TO} AS to_status", "concat('u', CAST(event_id % 17 AS STRING)) AS actor", f"{_ROLE} AS actor_role")
-    return r.withColumns({"from_status": F.lag("to_status").over(W.partitionBy("case_id").orderBy("sequence")), "organization_id": F.concat(F.lit("o"), org), "metadata_json": F.concat(F.lit('{"identity":{"organization_id":"o'), org, F.lit('"}}'))})
+    r = r.selectExpr("*", f"{_KIND} AS event_type", f"{_TO} AS to_status", "concat('u', CAST(event_id % 17 AS STRING)) AS actor", f"{_ROLE} AS actor_role", "concat('reason ', CAST(event_id % 31 AS STRING)) AS rationale").drop("n", "d")
+    return r.withColumns({"from_status": F.lag("to_status").over(W.partitionBy("case_id").orderBy("sequence")), "organization_id": F.concat(F.lit("o"), org), "metadata_json": F.concat(F.lit('{"source": "events", "identity": {"organization_id": "o'), org, F.lit('"}}'))})
 
 
 def hashed_log(spark, d) -> DataFrame:
     """The log with each event's own digest and the one before, as a writer would have stored them."""
-    rows = case_log(spark, d)
-    chain = F.aggregate("rows", F.array(F.lit("")), lambda h, x: F.concat(h, F.array(_digest(F.element_at(h, -1), x))))
-    cols = [c for c in rows.columns if c != "case_id"]
-    g = rows.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("sequence", *[c for c in cols if c != "sequence"]))).alias("rows")).withColumn("h", chain)
-    x = g.select("case_id", F.posexplode("rows").alias("i", "r"), "h")
-    return x.select("case_id", "r.*", F.get("h", F.col("i")).alias("previous_event_hash"), F.get("h", F.col("i") + 1).alias("event_hash"))
-
-
-def _digest(prev, x):
-    from tidemark.functions.scalars import canonical_json, quoted
-
-    get = lambda c: x[c]
-    fields = {c: quoted(F.coalesce(get(c), F.lit(""))) for c in ("event_type", "to_status", "actor", "actor_role", "occurred_at", "metadata_json")}
-    return F.sha2(canonical_json(previous_event_hash=quoted(prev), sequence=get("sequence").cast("string"), case_id=quoted(F.concat(F.lit("c"), get("user_id").cast("string"))), **fields), 256)
+    return ledger.chain_events(case_log(spark, d))
 
 
 @query("evt1_ingest_accepted", "SELECT organization_id, trans_num, alert_id FROM (SELECT user_id % 5 AS organization_id, event_id % 4000 AS trans_num, event_id AS alert_id, (event_id * 7919) % 1000 / 1e3 AS s, row_number() OVER (PARTITION BY user_id % 5, event_id % 4000, (event_id * 7919) % 1000 / 1e3 >= 0.4 ORDER BY event_id) AS r FROM events) WHERE s >= 0.4 AND r = 1")
@@ -83,27 +74,40 @@ def evt4(spark, d):
     return ledger.version_conflicts(e)
 
 
-@query("evt5_win10_scl12_verify_chain", f"SELECT case_id, sequence, 'content_changed' AS problem FROM {LOG_SQL} WHERE event_id % 50 = 0")
+@query("evt5_win10_scl12_verify_chain", f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY sequence) AS r FROM {LOG_SQL} WHERE event_id % 50 <> 7)
+ SELECT case_id, sequence, CASE WHEN sequence <> r THEN 'sequence_gap' WHEN event_id % 50 = 3 THEN 'broken_link' ELSE 'content_changed' END AS problem FROM l WHERE sequence <> r OR event_id % 50 IN (0, 1, 2, 3)""")
 def evt5(spark, d):
-    e = hashed_log(spark, d)  # and some contents changed afterwards
-    return ledger.verify_chain(e.withColumn("actor", F.when(F.col("event_id") % 50 == 0, "intruder").otherwise(F.col("actor"))))
+    k = F.col("event_id") % 50  # afterwards some events go, some contents and links are changed
+    e = hashed_log(spark, d).where(k != 7)
+    changed = {"actor": F.when(k == 0, "intruder"), "rationale": F.when(k == 1, "another"), "from_status": F.when(k == 2, "nowhere"), "previous_event_hash": F.when(k == 3, F.lit("0" * 64))}
+    return ledger.verify_chain(e.withColumns({c: F.coalesce(v, F.col(c)) for c, v in changed.items()}))
 
 
 @query("evt6_build_chain", """WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
  h AS (SELECT conv_id, turn, r, sha256(chr(10) || x) AS event_hash FROM t WHERE r = 1 UNION ALL SELECT t.conv_id, t.turn, t.r, sha256(h.event_hash || chr(10) || t.x) FROM h JOIN t ON t.conv_id = h.conv_id AND t.r = h.r + 1) SELECT conv_id, turn, event_hash FROM h""")
 def evt6(spark, d):
-    return ledger.build_chain(table(spark, d, "conversations"), "conv_id", "turn", F.col("text"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return ledger.build_chain(rows, "conv_id", "turn", F.lit(""), F.concat(F.lit("\n"), F.coalesce("text", F.lit("")))).select("conv_id", "turn", "event_hash")
 
 
-@query("evt7_jn11_reconcile", "SELECT doc_id AS evidence_id, CASE WHEN doc_id % 10 = 3 THEN 'hash_mismatch' WHEN doc_id % 10 = 5 THEN 'size_mismatch' WHEN doc_id % 10 = 7 THEN 'content_without_record' END AS problem FROM documents WHERE doc_id % 10 IN (3, 5, 7)")
-def evt7(spark, d):
-    k = F.col("doc_id")
-    stored = table(spark, d, "documents").select(k.alias("evidence_id"), F.col("text").alias("content"))
-    rec = table(spark, d, "documents").where(k % 10 != 7).select(k.alias("evidence_id"), F.sha2(F.when(k % 10 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")).cast("binary"), 256).alias("sha256"), (F.octet_length("text") + F.when(k % 10 == 5, 1).otherwise(0)).cast("long").alias("byte_size"))
-    return ledger.reconcile(rec, stored)
+_EVIDENCE = {3: "hash_mismatch", 5: "size_mismatch", 7: "content_without_record", 9: "record_without_event", 11: "sha256_differs", 12: "byte_size_differs", 13: "media_type_differs", 14: "local_path_differs", 15: "evidence_type_differs", 16: "unverified_receipt", 17: "archive_receipt_differs", 18: "record_without_content"}
 
 
-@query("evt8_audit_permissions", f"""WITH g AS (SELECT unnest(['investigator','investigator','investigator','authorized_rgs_reviewer','authorized_rgs_reviewer','authorized_rgs_reviewer','authorized_rgs_reviewer','alert_ingestor']) AS actor_role, unnest(['alert_created','review_started','evidence_attached','alert_created','review_started','evidence_attached','rgs_decision','alert_created']) AS event_type)
+@query("evt7_jn11_reconcile", f"""SELECT doc_id AS evidence_id, problem FROM documents JOIN (SELECT unnest([{', '.join(map(str, _EVIDENCE))}, 3, 5, 7]) AS r, unnest([{', '.join(f"'{x}'" for x in _EVIDENCE.values())}, 'sha256_differs', 'byte_size_differs', 'event_without_record']) AS problem) ON doc_id % 20 = r WHERE text IS NOT NULL""")
+def evt7(spark, d):
+    """Records, contents and evidence events of every document, with one kind of fault a residue of its id."""
+    k = F.col("doc_id") % 20
+    docs = table(spark, d, "documents").where("doc_id is not null and text is not null").withColumns({"sha": F.sha2(F.col("text").cast("binary"), 256), "size": F.octet_length("text").cast("long")})
+    receipt = F.when(k >= 16, F.concat(F.lit('{"verified": '), F.when(k == 16, "false").otherwise("true"), F.lit(', "store": "a"}')))
+    rec = docs.where(k != 7).select(F.col("doc_id").alias("evidence_id"), F.col("lang").alias("evidence_type"), F.when(k == 3, F.sha2("sha", 256)).otherwise(F.col("sha")).alias("sha256"), (F.col("size") + (k == 5).cast("long")).alias("byte_size"), F.lit("text/plain").alias("media_type"), F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("local_path"), receipt.alias("archive_receipt"))
+    odd = lambda r, c: F.when(k == r, "other").otherwise(c)
+    told = F.when(k >= 16, F.concat(F.lit('{"store":"a","verified":'), F.when((k == 16) | (k == 17), "false").otherwise("true"), F.lit("}")))
+    meta = F.to_json(F.struct(odd(15, F.col("lang")).alias("evidence_type"), odd(11, F.col("sha")).alias("sha256"), (F.col("size") + (k == 12).cast("long")).alias("byte_size"), odd(13, F.lit("text/plain")).alias("media_type"), odd(14, F.concat(F.lit("d/"), F.col("doc_id").cast("string"))).alias("local_path"), F.from_json(told, "store string, verified boolean").alias("archive_receipt")))
+    events = docs.where(k != 9).select(F.col("doc_id").alias("evidence_id"), meta.alias("metadata_json"))
+    return ledger.reconcile(rec, docs.where(k != 18).select(F.col("doc_id").alias("evidence_id"), F.col("text").alias("content")), events=events)
+
+
+@query("evt8_audit_permissions", f"""WITH g AS (SELECT unnest(['investigator','investigator','investigator','authorized_rgs_reviewer','authorized_rgs_reviewer','authorized_rgs_reviewer','authorized_rgs_reviewer','authorized_rgs_reviewer','alert_ingestor']) AS actor_role, unnest(['alert_created','review_started','evidence_attached','alert_created','review_started','evidence_attached','rgs_reached','rgs_not_reached','alert_created']) AS event_type)
  SELECT case_id, sequence, 'not_permitted' AS problem FROM {LOG_SQL} l WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.actor_role = l.actor_role AND g.event_type = l.event_type)""")
 def evt8(spark, d):
     return ledger.audit_permissions(case_log(spark, d))
@@ -122,7 +126,7 @@ def evt10(spark, d):
     return ledger.organization_mismatches(cases, log)
 
 
-@query("agg18_win9_feedback_report", f"""WITH l AS {LOG_SQL}, p AS (SELECT case_id, any_value(user_id) AS u, min(CASE WHEN event_type = 'review_started' THEN us END) AS s, min(CASE WHEN event_type = 'rgs_decision' THEN us END) AS e, max_by(to_status, sequence) AS st FROM l GROUP BY 1),
+@query("agg18_win9_feedback_report", f"""WITH l AS {LOG_SQL}, p AS (SELECT case_id, any_value(user_id) AS u, min(CASE WHEN event_type = 'review_started' THEN us END) AS s, min(CASE WHEN event_type LIKE 'rgs%' THEN us END) AS e, max_by(to_status, sequence) AS st FROM l GROUP BY 1),
  g AS (SELECT 'v' || (u % 4) AS model_version, count(*) AS cases, count(*) FILTER (WHERE st LIKE 'rgs%') AS t, count(*) FILTER (WHERE st = 'rgs_reached') AS c, median(greatest(e - s, 0) / 3600000000.0) AS m FROM p GROUP BY 1)
  SELECT model_version, cases, cases < 38 AS suppressed, CASE WHEN cases >= 38 THEN round(t / cases, 6) END AS terminal_rate, CASE WHEN cases >= 38 THEN round(c / nullif(t, 0), 6) END AS confirmed_rate, CASE WHEN cases >= 38 THEN round(m, 6) END AS median_hours FROM g""")
 def agg18(spark, d):
@@ -148,9 +152,9 @@ def narratives(spark, d) -> DataFrame:
     return t.select("trans_num", (F.col("cc_num") + 4_000_000).alias("cc_num"), "amt", "card_mean_amt", "card_std_amt", "amt_z_card", "txns_24h", "txns_7d", "trans_date_trans_time", body.alias("narrative"))
 
 
-@query("txt1_txt3_txt4_txt5_grounding", "SELECT event_id AS trans_num, event_id % 5 <> 0 AND event_id % 7 <> 0 AS ok, CAST(event_id % 5 = 0 AS BIGINT) AS n_ungrounded, CAST(event_id % 7 = 0 AS BIGINT) AS n_claims FROM events WHERE value >= 40")
+@query("txt1_txt3_txt4_txt5_grounding", "SELECT event_id AS trans_num, event_id % 5 <> 0 AND event_id % 7 <> 0 AS ok, CAST(event_id % 5 = 0 AS BIGINT) AS n_ungrounded, CAST(event_id % 7 = 0 AS BIGINT) AS n_claims FROM events")
 def txt1(spark, d):
-    g = text.ground(narratives(spark, d).where("amt >= 40"))
+    g = text.ground(narratives(spark, d))
     return g.select("trans_num", "ok", F.size("ungrounded").cast("long").alias("n_ungrounded"), F.size("claims").cast("long").alias("n_claims"))
 
 

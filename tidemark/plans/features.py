@@ -123,6 +123,14 @@ def enc1(spark, d):
     return rounded(encoding.target_encode(t, mart.KEYS, "is_fraud", ["ts", "trans_num"]).drop("ts", "category", "state", "merchant", "is_fraud", "dataset_split"), 9)
 
 
+@query("jn2_set2_encoding_maps", f"WITH {encoding_sql(O, ('category', 'state', 'merchant'))} SELECT trans_num, {', '.join(f'round({k}_risk{s}, 9) AS {k}_risk{s}' for k in ('category', 'state', 'merchant') for s in ('', '_serving'))} FROM enc")
+def jn2(spark, d):
+    """Encodings kept as maps by row, training and scoring rows united, then joined back to the rows."""
+    t = order_transactions(spark, d).select("trans_num", "ts", "category", "state", "merchant", "is_fraud", "dataset_split")
+    maps = [encoding.encoding_map(t, k, "is_fraud", ["ts", "trans_num"], "trans_num") for k in mart.KEYS]
+    return rounded(encoding.join_maps(t.select("trans_num"), maps, "trans_num"), 9)
+
+
 @query("enc4_in_sample_mean", f"SELECT trans_num, round(coalesce(m, 0), 9) AS category_leaky FROM {O} LEFT JOIN (SELECT category, avg(is_fraud) AS m FROM {O} WHERE dataset_split = 'train' GROUP BY 1) USING (category)")
 def enc4(spark, d):
     t = order_transactions(spark, d)
@@ -176,10 +184,9 @@ def scl15(spark, d):
     return table(spark, d, "documents").select("doc_id", S.redact(F.col("text")).alias("redacted"))
 
 
-@query("scl15_redacted_documents", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^0-9])(?:[0-9][ -]?){12,19}($|[^0-9])') AND NOT regexp_matches(text, '[0-9][ -]?(?:[0-9][ -]?){19}')")
+@query("scl15_redacted_documents", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^0-9])(?:[0-9][ -]?){12,19}($|[^0-9])')")
 def scl15_docs(spark, d):
-    long_run = F.col("text").rlike(r"[0-9][ -]?(?:[0-9][ -]?){19}")
-    return table(spark, d, "documents").where((S.redact(F.col("text")) != F.col("text")) & ~long_run).select("doc_id")
+    return table(spark, d, "documents").where(S.redact(F.col("text")) != F.col("text")).select("doc_id")
 
 
 @query("scl16_hours_between", "SELECT event_id, round(greatest(epoch_us(ts) - epoch_us(lag_ts), 0) / 3600000000.0, 6) AS hours FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS lag_ts FROM events) WHERE lag_ts IS NOT NULL")
@@ -258,14 +265,14 @@ def jn9(spark, d):
     return table(spark, d, "orders").join(s, F.col("o_orderkey") == F.col("l_orderkey")).where(F.abs(F.col("o_totalprice") - F.col("s")) > 1e3).select("o_orderkey")
 
 
-# graph: customers and suppliers over lines of large quantity, so that two hops don't reach everyone
-_EDGES = "(SELECT DISTINCT o_custkey AS cc_num, l_suppkey AS merchant FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 48)"
-_LINES = "(SELECT o_custkey AS cc_num, l_suppkey AS merchant, CAST(l_returnflag = 'R' AS INTEGER) AS is_fraud FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 48)"
-_BAD = f"(SELECT DISTINCT cc_num FROM {_LINES} WHERE is_fraud = 1)"
+# graph: customers and suppliers over all lines
+_EDGES = "(SELECT DISTINCT o_custkey AS cc_num, l_suppkey AS merchant FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
+GRAPH_LINES_SQL = "(SELECT o_custkey AS cc_num, l_suppkey AS merchant, CAST(l_returnflag = 'R' AS INTEGER) AS is_fraud FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
+_BAD = f"(SELECT DISTINCT cc_num FROM {GRAPH_LINES_SQL} WHERE is_fraud = 1)"
 
 
 def graph_lines(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity >= 48").select("l_orderkey", "l_suppkey", "l_returnflag")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag")
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("cc_num"), F.col("l_suppkey").alias("merchant"), (F.col("l_returnflag") == "R").cast("int").alias("is_fraud"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import bootstrap, drift, gates, metrics, models, quality, splits
-from tidemark.plans.features import MART_SQL, graph_lines, orders_mart
+from tidemark.plans.features import GRAPH_LINES_SQL, MART_SQL, graph_lines, orders_mart
 from tidemark.plans.registry import query, rounded, table
 from tidemark.settings import Settings
 from tidemark.sources.transactions import EVT_SQL, ORD_SQL, event_transactions, micros, order_transactions
@@ -53,6 +53,14 @@ def agg13(spark, d):
     return quality.row_count_gap(table(spark, d, "orders"), Settings().expected_row_count)
 
 
+@query("src3_parameters", "SELECT 'orders' AS name, count(*) AS actual, CAST(1000 AS BIGINT) AS expected, count(*) = 1000 AS passed FROM orders")
+def src3(spark, d):
+    """A source read where the settings say, and held against the row count that they expect."""
+    s = Settings(raw_data_dir=d, expected_row_count=1000)
+    rows = spark.read.parquet(f"{s.raw_data_dir}/orders.parquet")
+    return rows.agg(F.lit("orders").alias("name"), F.count("*").alias("actual"), F.lit(s.expected_row_count).cast("long").alias("expected"), (F.count("*") == s.expected_row_count).alias("passed"))
+
+
 @query("agg14_score_summary", f"SELECT dataset_split, min(p) AS min_p, max(p) AS max_p, round(avg(p), 9) AS mean_p, round(median(p), 9) AS median_p, round(stddev_pop(p), 9) AS std_p FROM {E} GROUP BY 1")
 def agg14(spark, d):
     return rounded(metrics.score_summary(event_transactions(spark, d), ["dataset_split"]), 9)
@@ -131,9 +139,10 @@ def set4(spark, d):
     return r.join(c, "category", "full_outer").na.fill(0)
 
 
-@query("set5_set_difference", "SELECT c_custkey FROM customer EXCEPT ALL SELECT o_custkey FROM (SELECT DISTINCT o_custkey FROM orders)")
+@query("set5_set_difference", "SELECT c_custkey FROM customer EXCEPT ALL SELECT o_custkey FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def set5(spark, d):
-    return table(spark, d, "customer").select("c_custkey").exceptAll(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct())
+    pending = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    return table(spark, d, "customer").select("c_custkey").exceptAll(pending)
 
 
 # ---- quality gates
@@ -141,14 +150,19 @@ def set5(spark, d):
 _M = f"({MART_SQL})"
 
 
-@query("qa1_unique_not_null", f"SELECT trans_num, count(*) AS n FROM {O} GROUP BY 1 HAVING count(*) > 1")
+# the gates run over rows in which some violations are planted
+
+
+@query("qa1_unique_not_null", f"SELECT trans_num, count(*) AS n FROM (SELECT trans_num FROM {O} UNION ALL SELECT trans_num FROM {O} WHERE trans_num % 97 = 0) GROUP BY 1 HAVING count(*) > 1")
 def qa1(spark, d):
-    return quality.duplicates(order_transactions(spark, d), "trans_num")
+    t = order_transactions(spark, d).select("trans_num")
+    return quality.duplicates(t.unionByName(t.where("trans_num % 97 = 0")), "trans_num")
 
 
-@query("qa2_history_not_prior")
+@query("qa2_history_not_prior", f"SELECT trans_num, CAST(card_txn_cnt AS BIGINT) + 1 AS recorded, CAST(card_txn_cnt AS BIGINT) AS expected FROM {_M} WHERE trans_num % 41 = 0")
 def qa2(spark, d):
-    return quality.history_not_prior(written(orders_mart(spark, d), "mart"))
+    m = orders_mart(spark, d).withColumn("card_txn_cnt", F.col("card_txn_cnt") + (F.col("trans_num") % 41 == 0).cast("int"))
+    return rounded(quality.history_not_prior(written(m, "mart")))
 
 
 @query("qa3_agg8_window_bounds", f"SELECT max(CASE WHEN evaluation_role = 'development_holdout' THEN trans_date_trans_time END) AS last_development, min(CASE WHEN evaluation_role = 'locked_evaluation' THEN trans_date_trans_time END) AS first_locked, CAST(sum(CAST(evaluation_role = 'development_holdout' AS INTEGER)) AS BIGINT) AS development_rows, CAST(sum(CAST(evaluation_role = 'locked_evaluation' AS INTEGER)) AS BIGINT) AS locked_rows, CAST(0 AS BIGINT) AS train_in_test_roles FROM {_M}")
@@ -161,10 +175,11 @@ def qa4(spark, d):
     return quality.degenerate_scale(rounded(orders_mart(spark, d), 4), limit=1.5)
 
 
-@query("qa6_encoding_not_temporal")
+@query("qa6_encoding_not_temporal", f"SELECT trans_num, round(category_risk + 0.01, 4) AS recorded, category_risk AS expected FROM {_M} WHERE trans_num % 43 = 0 AND dataset_split = 'train'")
 def qa6(spark, d):
     keys = order_transactions(spark, d).select("trans_num", "category")
-    return quality.encoding_not_temporal(written(orders_mart(spark, d).join(keys, "trans_num"), "mart"), "category")
+    m = orders_mart(spark, d).withColumn("category_risk", F.col("category_risk") + F.when(F.col("trans_num") % 43 == 0, 0.01).otherwise(0.0))
+    return rounded(quality.encoding_not_temporal(written(m.join(keys, "trans_num"), "mart"), "category"), 4)
 
 
 @query("qa7_serving_skew", f"""WITH s AS (SELECT f, avg(v) FILTER (WHERE dataset_split = 'train') AS tr, avg(v) FILTER (WHERE dataset_split = 'test') AS te, avg(CAST(v = 0 AS INTEGER)) FILTER (WHERE dataset_split = 'train') AS ztr, avg(CAST(v = 0 AS INTEGER)) FILTER (WHERE dataset_split = 'test') AS zte
@@ -214,12 +229,24 @@ def drf3(spark, d):
     return rounded(drift.ks_two_sample(*_drift_sides(spark, d), ["l_quantity", "l_extendedprice"]).select("feature", "ks"), 9)
 
 
-@query("drf4_drf5_srt2_compare")
-def drf4(spark, d):
-    return drift.compare(*_drift_sides(spark, d), ["l_quantity", "l_extendedprice", "l_discount"], {"l_discount": "l_discount"})
+_DISC = "u AS (SELECT l_discount AS v, l_shipdate < TIMESTAMP '1998-01-01' AS r FROM lineitem WHERE l_discount IS NOT NULL)"
 
 
-_DISC = "u AS (SELECT l_discount AS v, l_shipdate < TIMESTAMP '1998-01-01' AS r FROM lineitem WHERE l_discount IS NOT NULL)"
+def _compare_sql(name: str, cte: str) -> str:
+    return f"""SELECT p.feature, psi, CASE WHEN psi >= 0.25 THEN 'SIGNIFICANT' WHEN psi >= 0.1 THEN 'MODERATE' ELSE 'stable' END AS status, degenerate, round(ks, 6) AS ks, round(rm, 6) AS ref_mean, round(cm, 6) AS cur_mean, round(cm / rm, 6) AS mean_ratio,
+ round(CASE WHEN x < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, list_sum(list_transform(generate_series(1, 100), lambda k: CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * k * k * x * x))))) END, 4) AS p_value
+ FROM ({_psi_sql(name, cte)}) p, (SELECT *, (en + 0.12 + 0.11 / en) * ks AS x FROM (SELECT k.ks, m.*, sqrt(n1 * n2 / (n1 + n2)) AS en FROM ({_ks_sql(name, cte)}) k, (SELECT CAST(count(*) FILTER (WHERE r) AS DOUBLE) AS n1, CAST(count(*) FILTER (WHERE NOT r) AS DOUBLE) AS n2, avg(v) FILTER (WHERE r) AS rm, avg(v) FILTER (WHERE NOT r) AS cm FROM {cte}) m))"""
+
+
+_SERVED = "w AS (SELECT CASE WHEN r THEN v + 0.01 ELSE v END AS v, r FROM u)"
+
+
+@query("drf4_drf5_srt2_compare", f"WITH {_SIDES}, {_DISC}, {_SERVED} {_compare_sql('l_quantity', 's')} UNION ALL {_compare_sql('l_extendedprice', 't')} UNION ALL {_compare_sql('l_discount', 'w')}")
+def drf4(spark, d):
+    """The reference side reads the discount from what would have been served in its place: a cent more."""
+    ref, cur = _drift_sides(spark, d)
+    ref = ref.withColumn("l_discount_served", F.col("l_discount") + 0.01)
+    return rounded(drift.compare(ref, cur, ["l_quantity", "l_extendedprice", "l_discount"], {"l_discount": "l_discount_served"}).withColumn("p_value", F.round("p_value", 4)))
 
 
 @query("drf6_gate", f"WITH {_SIDES}, {_DISC}, x AS ({_psi_sql('l_quantity', 's')} UNION ALL {_psi_sql('l_discount', 'u')}) SELECT count(*) FILTER (WHERE psi >= 0.25) AS significant, count(*) FILTER (WHERE psi >= 0.1 AND psi < 0.25) AS moderate, count(*) FILTER (WHERE psi >= 0.25) = 0 AS passed FROM x")
@@ -268,11 +295,11 @@ def met5(spark, d):
     return rounded(c.withColumns({k: F.round(k, 2) for k in ("missed_amt", "recovered_amt", "total_cost")}))
 
 
-@query("met6_srt5_operating_points", f"""WITH e AS {_EV}, g AS (SELECT DISTINCT unnest(quantile_cont(p, [{', '.join(str(0.90 + (0.9999 - 0.90) * i / 39) for i in range(40))}])) AS t FROM e),
+@query("met6_srt5_operating_points", f"""WITH e AS {_EV}, g AS (SELECT DISTINCT unnest(quantile_cont(p, [{', '.join(str(0.90 + (0.9999 - 0.90) * i / 399) for i in range(400))}])) AS t FROM e),
  c AS (SELECT t AS threshold, count(*) FILTER (WHERE p >= t) AS alerts, count(*) FILTER (WHERE p >= t AND is_fraud = 1) AS tp, coalesce(sum(amt) FILTER (WHERE p < t AND is_fraud = 1), 0) AS missed FROM g, e GROUP BY 1), k AS (SELECT *, missed + alerts * 25.0 AS total FROM c)
  SELECT * FROM (SELECT 'cost_minimising' AS point, round(threshold, 9) AS threshold, alerts, tp, round(total, 2) AS total_cost FROM k ORDER BY round(total, 6), k.threshold LIMIT 1) UNION ALL SELECT * FROM (SELECT 'alert_budget', round(threshold, 9), alerts, tp, round(total, 2) FROM k ORDER BY abs(alerts - 100.0), k.threshold LIMIT 1)""")
 def met6(spark, d):
-    o = metrics.operating_points(_test_scores(spark, d), days=10, n=40).select("point", "threshold", "alerts", "tp", F.round("total_cost", 2).alias("total_cost"))
+    o = metrics.operating_points(_test_scores(spark, d), days=10).select("point", "threshold", "alerts", "tp", F.round("total_cost", 2).alias("total_cost"))
     return rounded(o, 9)
 
 
@@ -296,7 +323,7 @@ def met9(spark, d):
     return rounded(metrics.alert_region(_test_scores(spark, d), 0.6).select("rows", "ece", "mce", "brier"), 6)
 
 
-_SUB = "SELECT '{n}' AS slice_name, coalesce(CAST({c} AS VARCHAR), '<missing>') AS slice_value, count(*) AS n, CAST(sum(is_fraud) AS BIGINT) AS positives, round(coalesce(count(*) FILTER (WHERE p >= 0.5 AND is_fraud = 1) / nullif(count(*) FILTER (WHERE p >= 0.5), 0), 0), 6) AS precision, round(count(*) FILTER (WHERE p >= 0.5 AND is_fraud = 1) / sum(is_fraud), 6) AS recall, round(avg(pow(p - is_fraud, 2)), 6) AS brier FROM e GROUP BY 2 HAVING count(*) >= 100 AND sum(is_fraud) >= 5"
+_SUB = "SELECT '{n}' AS slice_name, coalesce(CAST({c} AS VARCHAR), '<missing>') AS slice_value, count(*) AS n, CAST(sum(is_fraud) AS BIGINT) AS positives, round(count(*) FILTER (WHERE p >= 0.5) / count(*), 6) AS alert_rate, round(coalesce(count(*) FILTER (WHERE p >= 0.5 AND is_fraud = 1) / nullif(count(*) FILTER (WHERE p >= 0.5), 0), 0), 6) AS precision, round(count(*) FILTER (WHERE p >= 0.5 AND is_fraud = 1) / sum(is_fraud), 6) AS recall, round(avg(pow(p - is_fraud, 2)), 6) AS brier FROM e GROUP BY 2 HAVING count(*) >= 100 AND sum(is_fraud) >= 5"
 
 
 @query("met10_met11_subgroups", f"WITH q AS (SELECT quantile_cont(amt, [0.25, 0.5, 0.75]) AS q FROM {_EV}), e AS (SELECT *, 'q' || CAST(len(list_filter(list_distinct(q), lambda x: x < amt)) + 1 AS VARCHAR) AS amount_band, strftime(ts, '%Y-%m') AS calendar_month FROM {_EV}, q) {_SUB.format(n='category', c='category')} UNION ALL {_SUB.format(n='amount_band', c='amount_band')} UNION ALL {_SUB.format(n='calendar_month', c='calendar_month')}")
@@ -307,13 +334,13 @@ def met10(spark, d):
 
 @query("met12_day_block_ci")
 def met12(spark, d):
-    return bootstrap.day_block_ci(written(_test_scores(spark, d).select("day", "p", "y"), "scores"), 200)
+    return bootstrap.day_block_ci(written(_test_scores(spark, d).select("day", "p", "y"), "scores"), 500)
 
 
 @query("met13_paired_delta_ci")
 def met13(spark, d):
     s = _test_scores(spark, d).withColumn("q", F.round(1 - F.col("p"), 3))
-    return bootstrap.paired_delta_ci(written(s.select("day", "p", "q", "y"), "scores"), "p", "q", 100)
+    return bootstrap.paired_delta_ci(written(s.select("day", "p", "q", "y"), "scores"), "p", "q", 500)
 
 
 @query("met14_operating_metrics", f"WITH c AS (SELECT {_CONF.format(t=0.9)}, avg(pow(p - is_fraud, 2)) AS b, greatest((max(epoch_us(ts)) - min(epoch_us(ts))) // 86400000000, 1) AS dd FROM {_EV}) SELECT (SELECT round(sum(pos / tot * tp / seen), 6) FROM ({_CUM.format(v=_EV)})) AS average_precision, round(b, 6) AS brier, tp + fp AS alerts, round((tp + fp) / dd, 6) AS alerts_per_day, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall FROM c")
@@ -333,10 +360,15 @@ def met15(spark, d):
     return rounded(metrics.model_comparison(both))
 
 
-@query("grf8_univariate_power")
+_POWER = "SELECT 'merchant' AS feature, CAST(merchant AS DOUBLE) AS p, is_fraud FROM {g} UNION ALL SELECT 'merchant_mod', CAST(merchant % 10 AS DOUBLE), is_fraud FROM {g}".format(g=GRAPH_LINES_SQL)
+
+
+@query("grf8_univariate_power", f"""WITH l AS ({_POWER}), c AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS seen, sum(pos) OVER (PARTITION BY feature) AS tot, sum(n) OVER (PARTITION BY feature) AS al FROM (SELECT feature, p, sum(is_fraud) AS pos, count(*) AS n FROM l GROUP BY 1, 2) WINDOW w AS (PARTITION BY feature ORDER BY p DESC)),
+ m AS (SELECT feature, sum(pos / tot * tp / seen) AS ap, sum(pos * ((al - tot) - (seen - tp) + (n - pos) / 2.0)) / (max(tot) * max(al - tot)) AS auc, max(tot) / max(al) AS base, count(*) AS levels FROM c GROUP BY 1)
+ SELECT feature, round(auc, 6) AS roc_auc, round(ap, 6) AS pr_auc, round(ap / base, 6) AS lift, CASE WHEN levels < 2 THEN 'no signal' WHEN abs(auc - 0.5) < 0.02 THEN 'none' WHEN abs(auc - 0.5) < 0.1 THEN 'weak' ELSE 'useful' END AS verdict FROM m""")
 def grf8(spark, d):
     lines = graph_lines(spark, d).withColumn("merchant_mod", F.col("merchant") % 10)
-    return metrics.univariate_power(lines, ["merchant", "merchant_mod"], "is_fraud")
+    return rounded(metrics.univariate_power(lines, ["merchant", "merchant_mod"], "is_fraud"))
 
 
 # ---- splits
@@ -400,8 +432,29 @@ def ml9(spark, d):
 
 @query("ml11_training_record")
 def ml11(spark, d):
-    t = event_transactions(spark, d)
-    return models.training_record(t.where("dataset_split = 'train'"), t.where("dataset_split = 'test'"), 0.5, "is_fraud")
+    """The record of a stacked fit on the first rows and its scores of the held-out ones."""
+    m = written(orders_mart(spark, d), "mart")
+    parts = splits.chronological_split(m.where("dataset_split = 'train'"), ["trans_date_trans_time", "trans_num"])
+    fit = parts.where("part = 'fit'")
+    fitted = models.fit_stacked(fit, parts.where("part = 'blend'"), fast=True)
+    scored = written(models.score_ensemble(parts.where("part = 'holdout'"), fitted).select("p", "is_fraud"), "scores")
+    return models.training_record(fit, scored, 0.5, "is_fraud", fitted)
+
+
+@query("ml10_legacy_baselines")
+def ml10(spark, d):
+    """The notebook's single models, each with its own threshold: average precision, ROC AUC and confusion at it."""
+    m = written(orders_mart(spark, d), "mart")
+    parts = splits.chronological_split(m.where("dataset_split = 'train'"), ["trans_date_trans_time", "trans_num"])
+    return models.legacy_baselines(parts.where("part = 'fit'"), parts.where("part <> 'fit'"), "is_fraud", "trans_num", ["amt", "distance_km", "night", "category_risk", "txns_24h", "card_mean_amt"])
+
+
+@query("ml12_locked_window", f"SELECT evaluation_role, count(*) AS n FROM {_M} WHERE dataset_split = 'test' AND evaluation_role <> 'locked_evaluation' GROUP BY 1 UNION ALL SELECT 'locked_evaluation (final)', count(*) FROM {_M} WHERE evaluation_role = 'locked_evaluation'")
+def ml12(spark, d):
+    """Rows that may be scored: the held-out ones, the locked ones only for the final evaluation."""
+    m = written(orders_mart(spark, d).where("dataset_split = 'test'").select("trans_num", "evaluation_role"), "mart")
+    final = models.scorable(m, final=True).where("evaluation_role = 'locked_evaluation'").withColumn("evaluation_role", F.lit("locked_evaluation (final)"))
+    return models.scorable(m, final=False).unionByName(final).groupBy("evaluation_role").agg(F.count("*").alias("n"))
 
 
 @query("met16_rolling_metrics", f"""WITH r AS (SELECT p, is_fraud, row_number() OVER (ORDER BY ts, trans_num) AS r, count(*) OVER () AS n FROM {E}), f AS (SELECT r.*, k + 1 AS fold, trunc(trunc(n * 0.5) + (n - trunc(n * 0.1) - trunc(n * 0.5)) * k / 2) AS e FROM r, (SELECT unnest([0, 1, 2]) AS k)), v AS (SELECT * FROM f WHERE r > e AND r <= e + trunc(n * 0.1)),
@@ -418,7 +471,7 @@ def met16(spark, d):
 @query("gov1_promotion_gates")
 def gov1(spark, d):
     s = _test_scores(spark, d).withColumn("q", F.round(1 - F.col("p"), 3))
-    return gates.promotion_gates(written(s.select("day", "ts_us", "p", "q", "y"), "scores"), "p", "q", 0.9, replicates=60)
+    return gates.promotion_gates(written(s.select("day", "ts_us", "p", "q", "y"), "scores"), "p", "q", 0.9, replicates=500)
 
 
 _REPORTS = """SELECT c_custkey AS version, (c_custkey % 7 - 3) / 1e2 AS delta_low, 6e-1 AS champion_recall, 6e-1 - (c_custkey % 5) / 1e2 AS candidate_recall, 1e-1 AS champion_brier, 1e-1 + (c_custkey % 4) / 1e2 AS candidate_brier, CAST(c_custkey % 13 AS DOUBLE) AS candidate_alerts_per_day FROM customer"""
