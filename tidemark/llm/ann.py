@@ -152,9 +152,15 @@ def nearest(vectors: DataFrame, queries: str, k: int = 5, pivots: int = PIVOTS,
     length = min(length, len(fitted))
     index = tmp.write(blocks(rows, fitted, length, PART_ROWS, True), "index")
     asked = tmp.write(blocks(rows.where(F.expr(queries)), fitted, length, QUERY_ROWS, False), "queries")
-    parts = index.select("part")
-    pairs = asked.drop("part").join(parts.groupBy(F.lit(1).alias("one")).agg(F.collect_list("part").alias("parts")), F.lit(True))  # a number a part
-    both = index.withColumn("kind", F.lit(0)).unionByName(pairs.select(F.explode("parts").alias("part"), *[c for c in asked.columns if c != "part"], F.lit(1).alias("kind")))
+    # parts are numbered without gaps, so that a block of queries knows all of them: a number a task
+    first, total = {}, 0
+    for r in index.groupBy(F.shiftright("part", 32).alias("task")).count().orderBy("task").collect():
+        first[r.task] = total
+        total += r["count"]
+    offset = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in first.items() for x in pair]), F.shiftright("part", 32))
+    index = index.withColumn("part", offset + F.col("part").bitwiseAND(F.lit((1 << 32) - 1)) - 1)
+    every = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(total - 1).cast("long"))))
+    both = index.withColumn("kind", F.lit(0)).unionByName(every.withColumn("kind", F.lit(1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, at = None, None
