@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import SF
 from tidemark.llm import ann
@@ -34,6 +35,23 @@ def test_odd_vectors(spark):
     assert ann.nearest(df.limit(0), "vec_id % 50 = 0").count() == 0
 
 
+def test_parts_and_blocks_of_any_size(spark):
+    """All pairs by brute force where everything is reranked, over many parts and query blocks; vectors without loss."""
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(size=(700, 8)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(9)
+    got = {}
+    for r in ann.nearest(df, "vec_id % 3 = 0", k=4, share=1.0).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, 700, 3):
+        s = u @ u[i]
+        s[i] = -9
+        best = np.lexsort((np.arange(700), -s))[:4]
+        assert [got[i][k + 1][0] for k in range(4)] == best.tolist()
+        assert np.allclose([got[i][k + 1][1] for k in range(4)], s[best], atol=1e-12)
+
+
 def test_equal_vectors_tie_to_smaller_ids(spark):
     df = spark.range(3000).selectExpr("id as vec_id", "array(1.0, 2.0, 0.5) as embedding")
     got = [r.vec_id for r in ann.nearest(df, "vec_id = 0").orderBy("rank").collect()]
@@ -68,3 +86,28 @@ def test_pipeline_of_an_empty_table(spark):
     for _, stage in p.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, odd):
+    """Nulls, empty and very long texts, repeated rows and clashing names through all five stages."""
+    import corpus_pipeline as p
+    from tidemark.llm.common import written
+
+    docs = odd.withColumns({"lang": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long")})
+    columns = docs.columns
+    for i, (name, stage) in enumerate(p.STAGES):
+        docs = written(stage(spark, docs, SF), "test-odd")
+        if i < len(p.STAGES) - 1:
+            assert docs.columns == columns, name
+        rows = docs.select("doc_id", *(["text"] if "text" in docs.columns else [])).collect()
+        ids = [r.doc_id for r in rows]
+        if name == "quality classifier":
+            assert {1, 2, None} <= set(ids)  # without words: weight 0, as likely good as not
+        if name == "line dedup":
+            text = {r.doc_id: r.text for r in rows}
+            assert text[1] is None and text[2] == "" and text.get(7, "") == ""
+        if name == "n-gram Jaccard join":
+            assert 1 in ids and 7 not in ids and ids.count(2) == 1
+        if name == "mixing sources to target weights":
+            assert ids.count(1) == ids.count(2) == 1  # without words: once
+    assert {"n_tokens", "ids_sha256"} <= set(docs.columns)

@@ -219,6 +219,22 @@ def test_a_long_chain(spark):
     assert len(r) == 1 and [t.text for t in r[0].turns] == [f"t{i}" for i in range(300)]
 
 
+def test_chats_of_odd_rows(spark):
+    """Repeated rows are turns of their own, in order of role and text; a very long text comes back whole."""
+    long = "# < \\ word " * 60_000
+    rows = [(1, 0, "user", "hello"), (1, 0, "user", "hello"), (1, 1, "assistant", long), (1, None, "assistant", None), (2, 3, None, None), (2, 3, None, None), (3, 1, "assistant", ""), (None, 1, "user", "nobody's")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"msg_id": F.lit("clash"), "score": F.lit("x"), "leaf": F.lit(1)})
+    linear = chat.linear_messages(df.where("conv_id is not null").fillna("", ["role", "text"]))
+    got = {r.conv_id: r for r in chat.format_chats(linear).withColumn("turns", chat.parse_turns(F.col("formatted"))).collect()}
+    assert {i: [(t.role, t.text) for t in r.turns] for i, r in got.items()} == {
+        1: [("assistant", ""), ("user", "hello"), ("user", "hello"), ("assistant", long)],
+        2: [("", ""), ("", "")],
+        3: [("assistant", "")],
+    }
+    learnt = ["".join(chr(c) for c in map(ord, got[1].formatted[x.start : x.start + x.n])) for x in got[1].loss_spans]
+    assert [x.replace("\\h", "#").replace("\\l", "<").replace("\\b", "\\") for x in learnt] == ["", long]
+
+
 # The contract's patterns, as Python has them.
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
