@@ -14,12 +14,18 @@ from tidemark.llm.common import table, written
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Importance resampling against the labelled good documents; what isn't sampled goes."""
+    """Importance resampling against the labelled good documents; what isn't sampled goes.
+
+    Null and empty texts have weight 0 and compete like others; rows that share a doc_id draw the same noise.
+    """
     return importance.resample(docs, table(spark, sf_dir, "labels")).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated runs of lines out of the texts; every document stays, ``n_chars`` follows its text."""
+    """Takes repeated runs of lines out of the texts; every document stays, ``n_chars`` follows its text.
+
+    Null texts stay null; rows without a doc_id stay as they are; rows that share one keep what the first keeps.
+    """
     out = lines.drop_repeats(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -28,6 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps the least doc_id of each group linked by a Jaccard of 0.8 or more on five-word shingles.
 
     Copies of whole documents come here emptied by the stage before: of the empty texts the least doc_id stays as well.
+    Null texts and rows without a doc_id stay; rows that share a doc_id are one document.
     """
     least = docs.where("text = ''").agg(F.min("doc_id")).first()[0]
     docs = docs.where((F.coalesce(F.col("text"), F.lit("null")) != "") | F.col("doc_id").isNull() | (F.col("doc_id") == F.lit(least)))
@@ -35,12 +42,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixes the sources to their target weights: a row for each pass over a document's words."""
+    """Mixes the sources to their target weights: a row for each pass over a document's words.
+
+    Documents without words stay once; a null source is a source of its own; repeated rows are documents of their own.
+    """
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, as digests, and the text decoded from them."""
+    """Token ids of every text, as digests, and the text decoded from them. Null texts have no ids."""
     return bpe.encode_documents(docs, bpe.tokenizer_path("word_bpe_49k.json"))
 
 
