@@ -20,7 +20,7 @@ from tidemark.llm.common import Scratch, n_partitions, table
 
 PIVOTS = 128  # the sample that the index is fitted on: so many vectors, by a hash of their id
 LENGTH = 64  # pivots that a vector is posted under
-SHARE = 0.25  # of a part that is ranked again
+SHARE, LEAST = 0.08, 500  # of a part, and vectors of it at least, that are ranked again
 PART_ROWS, QUERY_ROWS = 16_384, 1024  # vectors in a part, queries in a block, at most
 
 
@@ -111,7 +111,7 @@ class _Part:
     def search(self, q: _Part, k: int, share: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(query_id, vec_id, score): the k best in this part of each query."""
         n, length = self.perm.shape
-        m = max(min(n, 4 * k), int(np.ceil(share * n)))
+        m = max(min(n, LEAST, 100 * k), int(np.ceil(share * n)))
         out = []
         for i in range(len(q.ids)):
             # footrule with absent pivots at rank `length`; it starts from nothing shared, up to a term all rows have
