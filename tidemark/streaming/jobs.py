@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,6 +25,16 @@ def rejected_alerts(alerts: DataFrame) -> DataFrame:
     return alerts.withColumn("reason", reject_reason()).where("reason is not null")
 
 
+def _other_batches(batch: DataFrame, path: str, number: int) -> DataFrame:
+    """What batches of other numbers have written to ``path``; without a table yet, no rows."""
+    try:
+        return batch.sparkSession.read.parquet(path).where(F.col("batch") != number)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return batch.limit(0)
+
+
 def ingest_stream(alerts: DataFrame, cases_path: str, checkpoint: str, delay: str = "1 day", ts: str = "event_time") -> StreamingQuery:
     """Appends the stream's valid alerts to the case table at ``cases_path`` unless their case is there already.
 
@@ -31,13 +42,8 @@ def ingest_stream(alerts: DataFrame, cases_path: str, checkpoint: str, delay: st
     """
 
     def save(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(cases_path).where(F.col("batch") != number).select("organization_id", "trans_num")
-            batch = batch.join(known, ["organization_id", "trans_num"], "left_anti")
-        except Exception as e:  # no case table yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        known = _other_batches(batch, cases_path, number).select("organization_id", "trans_num")
+        batch = batch.join(known, ["organization_id", "trans_num"], "left_anti")
         batch.write.mode("overwrite").parquet(f"{cases_path}/batch={number}")
 
     return valid_alerts(alerts, delay, ts).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -47,13 +53,7 @@ def velocity_stream(events: DataFrame, history_path: str, checkpoint: str, key:
     """Velocity of each micro-batch with look-back into what earlier batches appended to ``history_path``."""
 
     def save(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            past = spark.read.parquet(history_path).where(F.col("batch") != number).select(*batch.columns)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            past = batch.limit(0)
+        past = _other_batches(batch, history_path, number).select(*batch.columns)
         velocity_incremental(past, batch, key, ts).write.mode("overwrite").parquet(f"{history_path}/batch={number}")
 
     return events.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
