@@ -90,5 +90,5 @@ def quantiles(df: DataFrame, column: str, shares: Sequence[float], within: Seque
     here = lambda at: (at < F.col("__upto")) & (at >= F.col("__upto") - F.col("__n"))
     low, high = F.floor("s.h"), F.ceil("s.h")
     one = x.groupBy(*within, F.col("s.i").alias("i"), F.col("s.h").alias("h")).agg(F.max(F.when(here(low), F.col("__v"))).alias("lo"), F.max(F.when(here(high), F.col("__v"))).alias("hi"))
-    value = F.when(F.floor("h") == F.ceil("h"), F.col("lo")).otherwise((F.ceil("h") - F.col("h")) * F.col("lo") + (F.col("h") - F.floor("h")) * F.col("hi"))
+    value = F.when((F.floor("h") == F.ceil("h")) | (F.col("lo") == F.col("hi")), F.col("lo")).otherwise((F.ceil("h") - F.col("h")) * F.col("lo") + (F.col("h") - F.floor("h")) * F.col("hi"))
     return one.groupBy(*within).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))), lambda s: s.v).alias("q"))
