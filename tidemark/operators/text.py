@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Number and date patterns, structural constants, unsupported claims with their reasons, sections.
+# Number and date patterns, structural constants, unsupported claims with their reasons, sections, hedges, the payload's
+# numeric fields, risks and scores; further down the words of the summary.
 NUMBER = r"-?\$?\d[\d,]*(?:\.\d+)?%?"
 DATETIME = r"\d{4}-\d{2}-\d{2}|\d{1,2}:\d{2}(?::\d{2})?"
 STATUTE = r"(?i)(section|s\.|subsection|part|paragraph)\s*[\d.()]+"
