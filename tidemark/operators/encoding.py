@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.priors import prior_sums
+from tidemark.operators.priors import with_priors
 
 
 def smoothed(total: Column, n: Column, prior: Column, m: float) -> Column:
@@ -18,32 +18,32 @@ def level_totals(train: DataFrame, key: str, label: str) -> DataFrame:
     return train.groupBy(key).agg(F.sum(label).alias("level_sum"), F.count("*").alias("level_n"))
 
 
-def prequential(train: DataFrame, keys: Sequence[str], label: str, order_by: Sequence[str], m: float = 20.0, cold: float = 0.005) -> DataFrame:
-    """``<key>_risk`` of training rows: from strictly earlier rows only, shrunk to the earlier overall rate."""
-    d = prior_sums(train, label, order_by, keys)
-    rate = F.coalesce(F.try_divide("value_prior", "count_prior"), F.lit(cold))
-    d = d.withColumns({f"{k}_risk": smoothed(F.col(f"{k}_value_prior"), F.col(f"{k}_count_prior"), rate, m) for k in keys})
-    return d.drop("value_prior", "count_prior", *[f"{k}_{x}_prior" for k in keys for x in ("value", "count")])
+def train_sums(label: str, split: str = "dataset_split") -> dict[str, Column]:
+    """What ``with_priors`` sums for the encodings: labels, rows and labelled rows of the training part."""
+    train = F.col(split) == "train"
+    return {"value": F.when(train, F.col(label)), "count": train.cast("long"), "known": (train & F.col(label).isNotNull()).cast("long")}
 
 
-def serving(rows: DataFrame, train: DataFrame, keys: Sequence[str], label: str, m: float = 20.0, suffix: str = "_risk_serving") -> DataFrame:
-    """The frozen map of the whole training part on any rows; an unseen level gets the overall rate.
+def encoded(d: DataFrame, keys: Sequence[str], split: str = "dataset_split", m: float = 20.0, cold: float = 0.005) -> DataFrame:
+    """``d``, which has the priors of ``train_sums`` over all rows and each key, with ``<key>_risk`` and ``<key>_risk_serving``.
 
-    The overall rate is one row; level maps join by key, so that Spark broadcasts them only while they are small.
+    Training rows are encoded from strictly earlier training rows, shrunk to the earlier overall rate; all rows by the
+    frozen map of the whole training part for serving, where an unseen level gets the overall rate.
     """
-    d = rows.crossJoin(F.broadcast(train.agg(F.avg(label).alias("__g"))))
+    rate, overall = F.coalesce(F.try_divide("value_prior", "count_prior"), F.lit(cold)), F.try_divide("value_all", "known_all")
+    out = {}
     for k in keys:
-        levels = level_totals(train, k, label).select(F.col(k).alias("__k"), "level_sum", "level_n")
-        d = d.join(levels, F.col(k) == F.col("__k"), "left").withColumn(f"{k}{suffix}", F.coalesce(smoothed(F.col("level_sum"), F.col("level_n"), F.col("__g"), m), "__g")).drop("__k", "level_sum", "level_n")
-    return d.drop("__g")
+        frozen = F.when(F.col(f"{k}_count_all") > 0, smoothed(F.col(f"{k}_value_all"), F.col(f"{k}_count_all"), overall, m))
+        out[f"{k}_risk_serving"] = F.coalesce(frozen, overall)
+        out[f"{k}_risk"] = F.when(F.col(split) == "train", smoothed(F.col(f"{k}_value_prior"), F.col(f"{k}_count_prior"), rate, m)).otherwise(out[f"{k}_risk_serving"])
+    return d.withColumns(out)
 
 
 def target_encode(df: DataFrame, keys: Sequence[str], label: str, order_by: Sequence[str], split: str = "dataset_split", m: float = 20.0, cold: float = 0.005) -> DataFrame:
-    """All rows with ``<key>_risk`` (prequential in train, frozen elsewhere) and ``<key>_risk_serving`` (frozen)."""
-    train, rest = df.where(F.col(split) == "train"), df.where(F.col(split) != "train")
-    seen = serving(prequential(train, keys, label, order_by, m, cold), train, keys, label, m)
-    scored = serving(rest, train, keys, label, m).withColumns({f"{k}_risk": F.col(f"{k}_risk_serving") for k in keys})
-    return seen.unionByName(scored)
+    """All rows with ``<key>_risk`` (prequential in train, frozen elsewhere) and ``<key>_risk_serving`` (frozen); one
+    exchange of rows for all keys. Rows of no split are left out."""
+    d = with_priors(df.where(F.col(split).isNotNull()), order_by, train_sums(label, split), {"": None, **{k: F.col(k) for k in keys}})
+    return encoded(d, keys, split, m, cold).select(*df.columns, *[f"{k}_risk{x}" for k in keys for x in ("", "_serving")])
 
 
 def encoding_map(df: DataFrame, key: str, label: str, order_by: Sequence[str], ident: str, split: str = "dataset_split", m: float = 20.0, cold: float = 0.005) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import card, encoding, graph
-from tidemark.operators.priors import percent_rank
+from tidemark.operators.priors import percent_rank, rank_share, with_priors
 from tidemark.settings import Settings
 from tidemark.storage import written
 
@@ -39,20 +39,27 @@ def interactions(df: DataFrame) -> DataFrame:
     return df.withColumns({"amt_x_catRisk": F.col("amt") * F.col("category_risk"), "dist_x_online": F.col("distance_km") * F.col("is_online"), "amt_x_night": F.col("amt") * F.col("night")})
 
 
-def evaluation_role(df: DataFrame, ts: str, key: str, fraction: float = 0.75) -> DataFrame:
+def role(rank: Column, fraction: float = 0.75, split: str = "dataset_split") -> Column:
     """Train rows develop the model; of the test rows the first ``fraction`` in time is held out, the rest is locked."""
+    return F.when(F.col(split) == "train", "model_development").when(rank < fraction, "development_holdout").otherwise("locked_evaluation")
+
+
+def evaluation_role(df: DataFrame, ts: str, key: str, fraction: float = 0.75) -> DataFrame:
     d = percent_rank(df, [ts, key], ["dataset_split"])
-    role = F.when(F.col("dataset_split") == "train", "model_development").when(F.col("percent_rank") < fraction, "development_holdout").otherwise("locked_evaluation")
-    return d.withColumn("evaluation_role", role).drop("percent_rank")
+    return d.withColumn("evaluation_role", role(F.col("percent_rank"), fraction)).drop("percent_rank")
 
 
 def build_mart(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """37 columns from staged rows of both splits (raw columns, ``dataset_split``)."""
+    """37 columns from staged rows of both splits (raw columns, ``dataset_split``).
+
+    Rows move twice: by card for history and velocity, by time for encodings and role together; node features join.
+    """
     ts = "trans_date_trans_time"
-    # read by the encodings, the graph and the join of both: written once, as each would compute the windows again
-    d = written(card.history_and_velocity(core_features(stage(df)), ts=ts), "mart-base")
+    # read by the graph, the borders, the totals and the rows of the encodings: written once, as each would compute the windows again
+    d = written(card.history_and_velocity(core_features(stage(df)), ts=ts), "mart-base").where("dataset_split is not null")
     nodes = graph.graph_features(d.where("dataset_split = 'train'").select("cc_num", "merchant", "is_fraud"))
-    d = encoding.target_encode(d, KEYS, "is_fraud", [ts, "trans_num"], m=settings.smoothing, cold=settings.cold_start_prior)
-    d = interactions(d)
-    d = graph.with_graph(d, nodes)
-    return evaluation_role(d, ts, "trans_num", settings.development_holdout_fraction).select(*MART)
+    sums = encoding.train_sums("is_fraud") | {"rows": F.lit(1).cast("long")}
+    d = with_priors(d, [ts, "trans_num"], sums, {"": None, **{k: F.col(k) for k in KEYS}, "split": F.col("dataset_split")})
+    d = encoding.encoded(d, KEYS, m=settings.smoothing, cold=settings.cold_start_prior)
+    d = d.withColumn("evaluation_role", role(rank_share(F.col("split_rows_prior"), F.col("split_rows_all")), settings.development_holdout_fraction))
+    return graph.with_graph(interactions(d), nodes).select(*MART)

@@ -110,17 +110,19 @@ def degenerate_scale(mart: DataFrame, limit: float = 1000.0, least: int = 5) ->
 def encoding_not_temporal(mart: DataFrame, key: str, label: str = "is_fraud", ts: str = "trans_date_trans_time", recorded: str | None = None, m: float = 20.0, cold: float = 0.005, tolerance: float = 1e-10, ident: str = "trans_num") -> DataFrame:
     """Training rows whose encoding differs from its reconstruction, and those that have none.
 
-    The reconstruction shares nothing with the encoder: a level's earlier rows by a window over the level, all earlier
-    rows by totals a day and a window inside each day, the smoothing written out.
+    The reconstruction shares nothing with the encoder: totals a day, and a day and level, summed over the days before,
+    and windows inside a day for the rest, the smoothing written out. No task holds a level's rows.
     """
     recorded = recorded or f"{key}_risk"
     train = mart.where("dataset_split = 'train'").withColumn("__day", F.to_date(ts))
-    days = train.groupBy("__day").agg(F.sum(label).alias("s"), F.count("*").alias("c"))
-    earlier = W.orderBy("__day").rowsBetween(W.unboundedPreceding, -1)  # one row a day
-    days = days.select("__day", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("s0"), F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("c0"))
-    in_day, of_level = (W.partitionBy(c).orderBy(ts, ident).rowsBetween(W.unboundedPreceding, -1) for c in ("__day", key))
-    none = F.lit(0)
-    d = train.withColumns({"s1": F.coalesce(F.sum(label).over(in_day), none), "c1": F.count("*").over(in_day), "ks": F.coalesce(F.sum(label).over(of_level), none), "kc": F.count("*").over(of_level)})
+    none, before = F.lit(0), lambda *of: W.partitionBy(*of).orderBy("__day").rowsBetween(W.unboundedPreceding, -1)  # noqa: E731  # a row a day
+    running = lambda d, s, c, w: [F.coalesce(F.sum("s").over(w), none).alias(s), F.coalesce(F.sum("c").over(w), none).alias(c)]
+    per = train.groupBy("__day", F.col(key).alias("__level")).agg(F.sum(label).alias("s"), F.count("*").alias("c"))
+    days = per.groupBy("__day").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    days, levels = days.select("__day", *running(days, "s0", "c0", before())), per.select(F.col("__day").alias("__of"), "__level", *running(per, "k0", "n0", before("__level")))
+    in_day, in_level = (W.partitionBy("__day", *c).orderBy(ts, ident).rowsBetween(W.unboundedPreceding, -1) for c in ((), (key,)))
+    d = train.repartition("__day").withColumns({"s1": F.coalesce(F.sum(label).over(in_day), none), "c1": F.count("*").over(in_day), "k1": F.coalesce(F.sum(label).over(in_level), none), "n1": F.count("*").over(in_level)})
+    d = d.join(levels, (F.col("__day") == F.col("__of")) & F.col(key).eqNullSafe(F.col("__level"))).withColumns({"ks": F.col("k0") + F.col("k1"), "kc": F.col("n0") + F.col("n1")})
     d = d.join(F.broadcast(days), "__day")
     rate = F.coalesce(F.try_divide((F.col("s0") + F.col("s1")).cast("double"), F.col("c0") + F.col("c1")), F.lit(cold))
     d = d.withColumn("expected", (F.col("ks") + F.lit(m) * rate) / (F.col("kc") + F.lit(m)))
