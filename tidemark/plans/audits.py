@@ -206,3 +206,18 @@ def str2(spark, d):
     return rounded(spark.read.parquet(out).select("event_id", "txns_24h", "txns_7d"))
 
 
+@query("str2_velocity_state", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1 DAY' PRECEDING AND INTERVAL '1 MICROSECOND' PRECEDING) AS txns_24h, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '7 DAYS' PRECEDING AND INTERVAL '1 MICROSECOND' PRECEDING) AS txns_7d FROM events")
+def str2_state(spark, d):
+    """The events in three parts in order of time, each a batch; a row behind all others moves the watermark past the last."""
+    from tidemark.streaming import jobs
+
+    e = table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    source, out = _unique(spark, "arrivals"), _unique(spark, "state")
+    us = F.unix_micros("ts")
+    cuts = e.agg(F.percentile_approx(us, [1 / 3, 2 / 3])).first()[0]
+    for part in (us < cuts[0], us.between(cuts[0], cuts[1] - 1), us >= cuts[1]):  # files are taken in order of their times
+        e.where(part).coalesce(1).write.mode("append").parquet(source)
+    e.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("user_id"), (F.col("ts") + F.expr("interval 2 hours")).alias("ts")).write.mode("append").parquet(source)
+    stream = jobs.state_session(spark).readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    jobs.velocity_state_stream(stream, out, _unique(spark, "late"), _unique(spark, "ck"), key="user_id", ident="event_id").awaitTermination()
+    return rounded(spark.read.parquet(out).where("event_id is not null").select("event_id", "txns_24h", "txns_7d"))
