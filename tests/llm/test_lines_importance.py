@@ -154,17 +154,29 @@ def test_resampling_keeps_good_and_rejects_junk(spark):
 
 def test_long_good_documents_leave_short_junk_no_room(spark):
     """On a table with long documents, junk goes at every length; good documents that the model never saw stay."""
-    sf = SF.replace("sf0.001", "check_s")
+    sf = SF.replace("sf0.001", "sf0.1")
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").join(docs.select("doc_id"), "doc_id", "left_semi")
+    # every eighth good document becomes a long one of thirty others of its kind, one after another
+    good = labels.where("quality = 1 and toxic = 0").join(docs, "doc_id").select("doc_id", "text").orderBy("doc_id").toPandas()
+    many = [("\n".join(good.text[(i + j) % len(good)] for j in range(30)), int(good.doc_id[i])) for i in range(0, len(good), 8)]
+    long = spark.createDataFrame(many, "text string, doc_id long")
+    docs = docs.join(F.broadcast(long.select("doc_id")), "doc_id", "left_anti").unionByName(long)
     held = labels.where("doc_id % 3 = 0").toPandas()
     kept = {r.doc_id for r in importance.resample(docs, labels.where("doc_id % 3 <> 0")).select("doc_id").collect()}
     words = {r.doc_id: len((r.text or "").split()) for r in docs.join(F.broadcast(labels.where("quality = 0").select("doc_id").distinct()), "doc_id").collect()}
-    good, junk = held[(held.quality == 1) & (held.toxic == 0)], held[held.quality == 0]
-    short = junk[junk.doc_id.map(words) <= 200]
-    print("kept good, junk, short junk, toxic", *(x.doc_id.isin(kept).mean() for x in (good, junk, short, held[held.toxic == 1])))
-    assert good.doc_id.isin(kept).mean() >= 0.99
-    assert junk.doc_id.isin(kept).mean() <= 0.1 and short.doc_id.isin(kept).mean() <= 0.15
+    fine, junk = held[(held.quality == 1) & (held.toxic == 0)], held[held.quality == 0]
+    short, far = junk[junk.doc_id.map(words) <= 200], fine[fine.doc_id.isin([d for _, d in many])]
+    print("kept good, long good, junk, short junk", *(x.doc_id.isin(kept).mean() for x in (fine, far, junk, short)), len(far), len(short))
+    assert fine.doc_id.isin(kept).mean() >= 0.98 and far.doc_id.isin(kept).mean() >= 0.98
+    assert junk.doc_id.isin(kept).mean() <= 0.2 and short.doc_id.isin(kept).mean() <= 0.25
+
+
+def test_unlike_rows_that_share_an_id_lose_only_what_is_theirs(spark):
+    """A cut stays in the row that it was found in; characters of several bytes stay whole."""
+    rows = [(1, "p\nq\nr"), (5, "p\nq\nzz"), (5, "own words that stand nowhere else\nand more\nééé"), (5, "p\nq\nzz"), (6, "first\nsecond")]
+    got = lines.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, "p\nq\nr"), (5, "own words that stand nowhere else\nand more\nééé"), (5, "zz"), (5, "zz"), (6, "first\nsecond")]
 
 
 def test_spread_of_weights():

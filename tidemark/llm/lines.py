@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,11 +49,17 @@ def chunks_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[:-1][keep], s[keep], e[keep], np.full(len(a), 2), mix(a * _ODD ^ b), mix(b * _ODD ^ mix(a))
 
 
-CHUNK = "doc_id long, start long, size long, lines int, h1 long, h2 long"
+
+def _own() -> Column:
+    """With doc_id, the name of a row: rows that share both are copies of one place."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+CHUNK = "doc_id long, own long, start long, size long, lines int, h1 long, h2 long"
 
 
 def line_chunks(docs: DataFrame) -> DataFrame:
-    """The chunks of every text: doc_id, byte start and size, lines, a 128-bit hash."""
+    """The chunks of every text: doc_id and a hash of the text, which name the row; byte start and size, lines, a 128-bit hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,13 +67,14 @@ def line_chunks(docs: DataFrame) -> DataFrame:
                 data, offs = view(part.column("text"))
                 row, s, e, lines, h1, h2 = chunks_of(data, offs)
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)[row]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids.astype(np.int64), s - offs[row], e - s, lines.astype(np.int32), h1.view(np.int64), h2.view(np.int64))], ["doc_id", "start", "size", "lines", "h1", "h2"])
+                own = part.column("own").to_numpy(zero_copy_only=False)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids.astype(np.int64), own.astype(np.int64), s - offs[row], e - s, lines.astype(np.int32), h1.view(np.int64), h2.view(np.int64))], ["doc_id", "own", "start", "size", "lines", "h1", "h2"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(run, CHUNK)
+    return docs.select(F.col("doc_id").cast("long"), _own().alias("own"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(run, CHUNK)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, cut): start and size of every chunk that equals an earlier one byte for byte and doesn't overlap it.
+    """(doc_id, own, cut): start and size of every chunk that equals an earlier one byte for byte and doesn't overlap it.
 
     What is known of a chunk's first occurrence is grouped by a struct, so that its join deals both sides anew and
     Spark may split the rows of a chunk that is everywhere.
@@ -75,19 +82,19 @@ def repeats(docs: DataFrame) -> DataFrame:
     tmp = Scratch(docs.sparkSession, "op3")
     key = ["h1", "h2", "size"]
     chunks = tmp.write(line_chunks(docs), "chunks")
-    first = chunks.groupBy(F.struct(*key).alias("key")).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").select("key.*", "first")
+    first = chunks.groupBy(F.struct(*key).alias("key")).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "own", "start")).alias("first")).where("n > 1").select("key.*", "first")
     wanted = tmp.write(chunks.hint("merge").join(first, key), "wanted")
     tmp.drop("chunks")
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", *key, "first")).alias("__want"))
-    bodies = docs.select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8").alias("raw")).join(lists, "doc_id")
-    bodies = bodies.select("doc_id", "raw", F.explode("__want").alias("w")).select("doc_id", "w.*", F.substring("raw", F.col("w.start").cast("int") + 1, F.col("w.size").cast("int")).alias("body"))
+    lists = wanted.groupBy("doc_id", "own").agg(F.collect_set(F.struct("start", *key, "first")).alias("__want"))
+    bodies = docs.select(F.col("doc_id").cast("long"), _own().alias("own"), F.encode("text", "UTF-8").alias("raw")).join(lists, ["doc_id", "own"])
+    bodies = bodies.select("doc_id", "own", "raw", F.explode("__want").alias("w")).select("doc_id", "own", "w.*", F.substring("raw", F.col("w.start").cast("int") + 1, F.col("w.size").cast("int")).alias("body"))
     bodies = tmp.write(bodies, "bodies")
     tmp.drop("wanted")
-    at = F.struct("doc_id", "start")
+    at = F.struct("doc_id", "own", "start")
     kept = bodies.where(at == F.col("first")).groupBy(F.struct(*key).alias("key")).agg(F.min("body").alias("kept")).select("key.*", "kept")
-    later = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") > F.col("first.start") + F.col("size"))
+    later = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("own") != F.col("first.own")) | (F.col("start") > F.col("first.start") + F.col("size"))
     same = bodies.where(later).hint("merge").join(kept, key).where("body = kept")
-    cut = tmp.write(same.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("cut")), "cuts")
+    cut = tmp.write(same.groupBy("doc_id", "own").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("cut")), "cuts")
     tmp.drop("bodies")
     return cut
 
@@ -97,10 +104,12 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
     The line feed after a removed run goes with it. Null texts stay null, empty ones empty; a text without line feed
     has no run of two lines and stays. Rows with a null doc_id stay as they are and are no one's first occurrence.
-    Rows that share a doc_id are copies of one place: all keep what the first keeps. Other columns pass through.
+    Rows that share doc_id and text are copies of one place: all keep what the first keeps; rows that share a doc_id alone
+    are rows of their own. Other columns pass through.
     """
     cut = repeats(docs).withColumnRenamed("cut", "__cut")
-    joined = docs.drop("removed_chunks", "removed_lines", "__cut").join(cut, "doc_id", "left").withColumns({"removed_chunks": F.lit(0), "removed_lines": F.lit(0).cast("long")})
+    named = docs.drop("removed_chunks", "removed_lines", "__cut").withColumn("__own", _own())
+    joined = named.join(cut.withColumnRenamed("own", "__own"), ["doc_id", "__own"], "left").drop("__own").select(*[c for c in docs.columns if c not in ("removed_chunks", "removed_lines", "__cut")], "__cut").withColumns({"removed_chunks": F.lit(0), "removed_lines": F.lit(0).cast("long")})
     schema = T.StructType([f for f in joined.schema if f.name != "__cut"])
     at, runs_at, lines_at = (joined.schema.names.index(c) for c in ("text", "removed_chunks", "removed_lines"))
 
@@ -119,7 +128,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                         else:  # goes on with a run: its first line is the last one's second, or the next
                             k += 1 + (x["start"] == done)
                         done = max(done, min(len(raw), x["start"] + x["size"] + 1))
-                    t = b"".join([*out, raw[done:]]).decode(errors="replace")
+                    t = b"".join([*out, raw[done:]]).decode()
                 texts.append(t)
                 runs.append(n)
                 lines.append(k)
