@@ -343,3 +343,16 @@ def test_pii_of_odd_rows(odd, none):
     assert sorted(((key(r.doc_id), r.text) for r in got)) == sorted(((key(i), t or "") for i, t, _ in ODD))
     assert all(r.b == r.s == "" for r in got)
     assert pii.redactions(none).count() == 0
+
+
+def test_mixing_does_not_depend_on_the_session(spark):
+    """The same words are taken of every document under any number of shuffle partitions."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text")
+    held, taken = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("4", "9"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            taken.append(sorted(map(str, mixing.mix(docs).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert taken[0] == taken[1]

@@ -20,7 +20,7 @@ SHARD_SLOTS = 4096  # on average
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
 ROUNDS = 16
-CHUNKS = 4  # a source, times the number of shuffle partitions
+CHUNK_WORDS, LEAST_CHUNKS = 1 << 20, 64  # of all sources, about; the data alone decide how many chunks a source has
 SEED = 29
 
 
@@ -53,12 +53,13 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, swap)
 
 
-def placed(rows: DataFrame, tags: DataFrame) -> DataFrame:
+def placed(rows: DataFrame, tags: DataFrame, words: int) -> DataFrame:
     """``rows`` (source, doc_id, size, tie) with their source's columns and ``at``, the source's words before them.
 
     Two phases, so that no source needs a task of its own: totals of hashed chunks, then running sums within a chunk.
+    ``words`` is the size of all rows: the same rows have the same places in any session.
     """
-    chunk = F.pmod(F.xxhash64("doc_id", "tie"), F.lit(CHUNKS * n_partitions(rows.sparkSession)))
+    chunk = F.pmod(F.xxhash64("doc_id", "tie"), F.lit(max(LEAST_CHUNKS, words // CHUNK_WORDS)))
     r = rows.join(tags, rows.source.eqNullSafe(tags.source)).drop(tags.source).withColumn("chunk", chunk)
     totals = r.groupBy("no", "chunk").agg(F.sum("size").alias("words"))
     totals = totals.withColumn("before", F.sum("words").over(W.partitionBy("no").orderBy("chunk")) - F.col("words")).drop("words")
@@ -107,10 +108,11 @@ def shard_pieces(docs: DataFrame) -> DataFrame:
     tags = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     blocks = F.ceil(F.col("source_size") / BLOCK)
     tags = tmp.write(tags.withColumns({"n_blocks": blocks, "n_slots": F.coalesce(F.round(F.try_divide(F.col("target") * blocks, F.col("source_size"))), F.lit(0)).cast("long")}), "sources")
-    shards = max(1, (tags.agg(F.sum("n_slots")).first()[0] or 0) // SHARD_SLOTS)
+    all_slots, all_words = (x or 0 for x in tags.agg(F.sum("n_slots"), F.sum("source_size")).first())
+    shards = max(1, all_slots // SHARD_SLOTS)
     drawn = tmp.write(slots(tags, shard_counts(tags, shards)), "shards")
     span = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("at") / BLOCK), F.floor((F.col("at") + F.col("size") - 1) / BLOCK)))
-    pieces = placed(rows, tags).withColumn("block", F.explode_outer(span))
+    pieces = placed(rows, tags, all_words).withColumn("block", F.explode_outer(span))
     first = F.greatest(F.col("block") * BLOCK, F.col("at"))
     pieces = pieces.withColumns({"first": first - F.col("at"), "n": F.least((F.col("block") + 1) * BLOCK, F.col("at") + F.col("size")) - first})
     return pieces.hint("merge").join(drawn, ["no", "block"], "left")
