@@ -26,6 +26,26 @@ def test_recall_against_brute_force(spark):
     assert hit / total >= 0.9
 
 
+def test_recall_at_every_size_of_a_part(spark):
+    """The shipped share alone, of small and large parts, against brute force."""
+    e = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/embeddings.parquet")
+    for n in (300, 1000, 2000):
+        part = e.orderBy(F.xxhash64("vec_id")).limit(n)
+        rows = part.collect()
+        ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        got = {}
+        for r in ann.nearest(part.coalesce(1), "vec_id % 10 = 0").collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        hit = total = 0
+        for i in np.flatnonzero(ids % 10 == 0):
+            s = u @ u[i]
+            s[i] = -9
+            hit += len({*ids[np.argsort(-s)[:5]]} & got[ids[i]])
+            total += 5
+        assert hit / total >= 0.9, (n, hit / total)
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, None]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (50, [0.0, 1.0]), (100, []), (9, [1e-30, 1e-30])]

@@ -20,7 +20,7 @@ from tidemark.llm.common import Scratch, n_partitions, table
 
 PIVOTS = 128  # the sample that the index is fitted on: so many vectors, by a hash of their id
 LENGTH = 64  # pivots that a vector is posted under
-SHARE, LEAST = 0.08, 500  # of a part, and vectors of it at least, that are ranked again
+SHARE, FLOOR = 0.25, 20  # of a part, and neighbours asked for times so many at least, that are ranked again
 PART_ROWS, QUERY_ROWS = 16_384, 1024  # vectors in a part, queries in a block, at most
 
 
@@ -111,7 +111,7 @@ class _Part:
     def search(self, q: _Part, k: int, share: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(query_id, vec_id, score): the k best in this part of each query."""
         n, length = self.perm.shape
-        m = max(min(n, LEAST, 100 * k), int(np.ceil(share * n)))
+        m = min(n, max(FLOOR * k, int(np.ceil(share * n))))
         out = []
         for i in range(len(q.ids)):
             # footrule with absent pivots at rank `length`; it starts from nothing shared, up to a term all rows have
@@ -152,13 +152,11 @@ def nearest(vectors: DataFrame, queries: str, k: int = 5, pivots: int = PIVOTS,
     length = min(length, len(fitted))
     index = tmp.write(blocks(rows, fitted, length, PART_ROWS, True), "index")
     asked = tmp.write(blocks(rows.where(F.expr(queries)), fitted, length, QUERY_ROWS, False), "queries")
-    # parts are numbered without gaps, so that a block of queries knows all of them: a number a task
-    first, total = {}, 0
-    for r in index.groupBy(F.shiftright("part", 32).alias("task")).count().orderBy("task").collect():
-        first[r.task] = total
-        total += r["count"]
-    offset = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in first.items() for x in pair]), F.shiftright("part", 32))
-    index = index.withColumn("part", offset + F.col("part").bitwiseAND(F.lit((1 << 32) - 1)) - 1)
+    # parts are numbered without gaps, so that a block of queries knows all of them: a row a task
+    tasks = index.groupBy(F.shiftright("part", 32).alias("task")).count()
+    tasks = tasks.select("task", (F.sum("count").over(W.orderBy("task")) - F.col("count") - 1).alias("before"))
+    total = index.count()
+    index = index.join(F.broadcast(tasks), F.shiftright("part", 32) == F.col("task")).withColumn("part", F.col("before") + F.col("part").bitwiseAND(F.lit((1 << 32) - 1))).drop("task", "before")
     every = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(total - 1).cast("long"))))
     both = index.withColumn("kind", F.lit(0)).unionByName(every.withColumn("kind", F.lit(1)))
 
