@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, importance, jaccard, lines, mixing
-from tidemark.llm.common import table, written
+from tidemark.llm.common import Scratch, table
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,9 +67,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. A stage's table goes when the next one is written; the last one's is read lazily."""
+    tmp = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{i}")
+            docs = tmp.write(docs, str(i))
+            if i:
+                tmp.drop(str(i - 1))
     return docs
