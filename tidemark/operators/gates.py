@@ -33,10 +33,11 @@ def derived(report: DataFrame) -> DataFrame:
     return d.withColumn("eligible", F.col("gate_ranking") & F.col("gate_recall") & F.col("gate_brier") & F.col("gate_capacity"))
 
 
-def promotion_gates(scores: DataFrame, champion: str, candidate: str, threshold: float, policy: Policy = Policy(), replicates: int = 500, seed: int = 42) -> DataFrame:
-    """One row from paired scores (both columns on the same rows; y, day, ts_us)."""
+def promotion_gates(scores: DataFrame, champion: str, candidate: str, threshold: float, policy: Policy = Policy(), replicates: int = 500, seed: int = 42, candidate_threshold: float | None = None) -> DataFrame:
+    """One row from paired scores (both columns on the same rows; y, day, ts_us), each model at its own threshold; the
+    candidate's is the champion's where none is given."""
     a = operating_metrics(scores, threshold, p=champion).select(F.col("recall").alias("champion_recall"), F.col("brier").alias("champion_brier"))
-    b = operating_metrics(scores, threshold, p=candidate).select(F.col("recall").alias("candidate_recall"), F.col("brier").alias("candidate_brier"), F.col("alerts_per_day").alias("candidate_alerts_per_day"))
+    b = operating_metrics(scores, threshold if candidate_threshold is None else candidate_threshold, p=candidate).select(F.col("recall").alias("candidate_recall"), F.col("brier").alias("candidate_brier"), F.col("alerts_per_day").alias("candidate_alerts_per_day"))
     ci = paired_delta_ci(scores, champion, candidate, replicates, seed).select(F.col("low").alias("delta_low"), F.col("high").alias("delta_high"), "valid")
     d = a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(ci))  # one row each
     return derived(d.withColumns({k: F.lit(v) for k, v in vars(policy).items()}))

@@ -333,15 +333,29 @@ def met10(spark, d):
     return rounded(metrics.subgroups(s, 0.5, ["category", "amount_band", "calendar_month"]))
 
 
-@query("met12_day_block_ci")
+# the draws are MD5 digits, so SQL draws the same days and repeats each day's rows as often as a replicate takes it
+_DRAWN = f"""e AS (SELECT CAST(ts AS DATE) AS day, p, round(1 - p, 3) AS q, is_fraud AS y FROM {_EV}), dd AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i FROM (SELECT DISTINCT day FROM e)),
+ rr AS (SELECT r, CAST('0x' || substr(md5('42:' || r || ':' || k), 1, 13) AS BIGINT) % (SELECT count(*) FROM dd) AS i FROM (SELECT unnest(range(500)) AS r), (SELECT i AS k FROM dd)),
+ t AS (SELECT r, day, count(*) AS w FROM rr JOIN dd USING (i) GROUP BY 1, 2)"""
+
+
+def _replicates_sql(c: str) -> str:
+    return f"""(SELECT r, sum(pos / tot * tp / seen) AS ap FROM (SELECT *, sum(pos) OVER (PARTITION BY r ORDER BY x DESC) AS tp, sum(n) OVER (PARTITION BY r ORDER BY x DESC) AS seen, sum(pos) OVER (PARTITION BY r) AS tot, sum(n) OVER (PARTITION BY r) AS al
+ FROM (SELECT r, x, sum(pos * w) AS pos, sum(n * w) AS n FROM (SELECT day, {c} AS x, sum(y) AS pos, count(*) AS n FROM e GROUP BY 1, 2) JOIN t USING (day) GROUP BY 1, 2)) WHERE tot > 0 AND tot < al GROUP BY 1)"""
+
+
+_PAIRED = f"(SELECT quantile_cont(b.ap - a.ap, 0.025) AS low, quantile_cont(b.ap - a.ap, 0.975) AS high, count(*) AS valid FROM {_replicates_sql('p')} a JOIN {_replicates_sql('q')} b USING (r))"
+
+
+@query("met12_day_block_ci", f"WITH {_DRAWN} SELECT round(quantile_cont(ap, 0.025), 9) AS low, round(quantile_cont(ap, 0.975), 9) AS high, count(*) AS valid FROM {_replicates_sql('p')}")
 def met12(spark, d):
-    return bootstrap.day_block_ci(written(_test_scores(spark, d).select("day", "p", "y"), "scores"), 500)
+    return rounded(bootstrap.day_block_ci(_test_scores(spark, d).select("day", "p", "y"), 500), 9)
 
 
-@query("met13_paired_delta_ci")
+@query("met13_paired_delta_ci", f"WITH {_DRAWN} SELECT round(low, 9) AS low, round(high, 9) AS high, valid, valid >= 125 AS enough FROM {_PAIRED}")
 def met13(spark, d):
     s = _test_scores(spark, d).withColumn("q", F.round(1 - F.col("p"), 3))
-    return bootstrap.paired_delta_ci(written(s.select("day", "p", "q", "y"), "scores"), "p", "q", 500)
+    return rounded(bootstrap.paired_delta_ci(s.select("day", "p", "q", "y"), "p", "q", 500), 9)
 
 
 @query("met14_operating_metrics", f"WITH c AS (SELECT {_CONF.format(t=0.9)}, avg(pow(p - is_fraud, 2)) AS b, greatest((max(epoch_us(ts)) - min(epoch_us(ts))) // 86400000000, 1) AS dd FROM {_EV}) SELECT (SELECT round(sum(pos / tot * tp / seen), 6) FROM ({_CUM.format(v=_EV)})) AS average_precision, round(b, 6) AS brier, tp + fp AS alerts, round((tp + fp) / dd, 6) AS alerts_per_day, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall FROM c")
@@ -469,10 +483,17 @@ def met16(spark, d):
 # ---- promotion
 
 
-@query("gov1_promotion_gates")
+_AT = "(SELECT CAST(count(*) FILTER (WHERE {c} >= {t} AND is_fraud = 1) AS DOUBLE) / count(*) FILTER (WHERE is_fraud = 1) AS recall, avg(pow({c} - is_fraud, 2)) AS brier, CAST(count(*) FILTER (WHERE {c} >= {t}) AS DOUBLE) / greatest((max(epoch_us(ts)) - min(epoch_us(ts))) // 86400000000, 1) AS per_day FROM {v})"
+_CQ = f"(SELECT *, round(1 - p, 3) AS q FROM {_EV})"
+
+
+@query("gov1_promotion_gates", f"""WITH {_DRAWN}, g AS (SELECT a.recall AS champion_recall, round(a.brier, 9) AS champion_brier, b.recall AS candidate_recall, round(b.brier, 9) AS candidate_brier, b.per_day AS candidate_alerts_per_day, round(low, 9) AS delta_low, round(high, 9) AS delta_high, valid,
+ low >= -1e-2 AS gate_ranking, b.recall >= a.recall - 2e-2 AS gate_recall, b.brier <= a.brier + 2e-2 AS gate_brier, b.per_day <= 10.0 AS gate_capacity FROM {_AT.format(c='p', t=0.9, v=_CQ)} a, {_AT.format(c='q', t=0.85, v=_CQ)} b, {_PAIRED})
+ SELECT * REPLACE (round(champion_recall, 9) AS champion_recall, round(candidate_recall, 9) AS candidate_recall, round(candidate_alerts_per_day, 9) AS candidate_alerts_per_day), -1e-2 AS min_delta, 2e-2 AS max_recall_drop, 2e-2 AS max_brier_rise, 1e1 AS max_alerts_per_day, gate_ranking AND gate_recall AND gate_brier AND gate_capacity AS eligible FROM g""")
 def gov1(spark, d):
+    """The champion at 0.9, the candidate at its own threshold of 0.85."""
     s = _test_scores(spark, d).withColumn("q", F.round(1 - F.col("p"), 3))
-    return gates.promotion_gates(written(s.select("day", "ts_us", "p", "q", "y"), "scores"), "p", "q", 0.9, replicates=500)
+    return rounded(gates.promotion_gates(written(s.select("day", "ts_us", "p", "q", "y"), "scores"), "p", "q", 0.9, replicates=500, candidate_threshold=0.85), 9)
 
 
 _REPORTS = """SELECT c_custkey AS version, (c_custkey % 7 - 3) / 1e2 AS delta_low, 6e-1 AS champion_recall, 6e-1 - (c_custkey % 5) / 1e2 AS candidate_recall, 1e-1 AS champion_brier, 1e-1 + (c_custkey % 4) / 1e2 AS candidate_brier, CAST(c_custkey % 13 AS DOUBLE) AS candidate_alerts_per_day FROM customer"""
