@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.functions.kolmogorov import p_value
 from tidemark.functions.scalars import substituted
 from tidemark.operators.metrics import melt
 from tidemark.operators.priors import quantiles, running_totals
@@ -47,16 +48,23 @@ def psi(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10,
     return term.groupBy("feature", "degenerate").agg(F.sum("term").alias("psi")).select("feature", F.when(F.col("degenerate"), 0.0).otherwise(F.col("psi")).alias("psi"), "degenerate").withColumn("status", classify(F.col("psi")))
 
 
-def ks_two_sample(ref: DataFrame, cur: DataFrame, features: Sequence[str], terms: int = 100) -> DataFrame:
-    """(feature, ks, p_value): the exact statistic over distinct values, the asymptotic Kolmogorov series."""
+def ks_two_sample(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature, ks, p_value): the statistic over all distinct values, and its two-sided probability, exact up to 10,000
+    values a side. Rows are not sampled, so large sides have the p-values of their own sizes."""
     g = _long(ref, cur, features).groupBy("feature", "p").agg(F.sum((F.col("side") == "r").cast("long")).alias("r"), F.sum((F.col("side") == "c").cast("long")).alias("c"))
     upto = running_totals(g, {"r_so": "r", "c_so": "c"}, ["p"], ["feature"])
     d = upto.join(F.broadcast(upto.groupBy("feature").agg(F.sum("r").alias("n"), F.sum("c").alias("m"))), "feature")  # a row a feature
     d = d.groupBy("feature", "n", "m").agg(F.max(F.abs(F.try_divide("r_so", "n") - F.try_divide("c_so", "m"))).alias("ks"))
-    en = F.sqrt(F.try_divide(F.col("n") * F.col("m"), F.col("n") + F.col("m")))
-    x = (en + 0.12 + F.try_divide(F.lit(0.11), en)) * F.col("ks")
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(F.lit(-2.0) * k * k * x * x))
-    return d.select("feature", "ks", F.when(x < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series))).alias("p_value"))
+    return d.select("feature", "ks", _p_values(F.col("n"), F.col("m"), F.col("ks")).alias("p_value"))
+
+
+def _p_values(n: Column, m: Column, ks: Column) -> Column:
+    """Null where a side has no values."""
+
+    def each(n: pd.Series, m: pd.Series, ks: pd.Series) -> pd.Series:
+        return pd.Series([p_value(int(a), int(b), float(d)) if d == d and d is not None else None for a, b, d in zip(n, m, ks, strict=True)], dtype="float64")
+
+    return F.pandas_udf(each, "double")(n, m, ks)  # a row a feature
 
 
 def compare(ref: DataFrame, cur: DataFrame, features: Sequence[str], serving: dict[str, str] | None = None) -> DataFrame:
@@ -75,8 +83,3 @@ def gate(report: DataFrame) -> DataFrame:
     """One row: how many features drift significantly, and whether the gate holds."""
     bad = F.coalesce(F.sum((F.col("status") == "SIGNIFICANT").cast("long")), F.lit(0))
     return report.agg(bad.alias("significant"), F.coalesce(F.sum((F.col("status") == "MODERATE").cast("long")), F.lit(0)).alias("moderate")).withColumn("passed", F.col("significant") == 0)
-
-
-def kolmogorov(x: float, terms: int = 100) -> float:
-    """The series as plain arithmetic, for tests."""
-    return min(1.0, max(0.0, sum((-1) ** (k - 1) * 2 * math.exp(-2 * k * k * x * x) for k in range(1, terms + 1))))
