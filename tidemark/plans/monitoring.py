@@ -436,6 +436,18 @@ def ml1(spark, d):
     return models.score_ensemble(m.where("dataset_split = 'test'"), fitted).select("trans_num", *models.NAMES, "p", "triggered", "is_fraud")
 
 
+@query("ml2_second_order_boosting")
+def ml2(spark, d):
+    """Ten rounds on the training part of the events, scores of the test part."""
+    from tidemark.operators import boosting
+
+    t = card.velocity(event_transactions(spark, d)).select("trans_num", "dataset_split", "is_fraud", "amt", F.hour("ts").alias("hour"), F.length("category").alias("kind"), "txns_24h", "txns_7d", "p")
+    t = written(t, "features")
+    feats = ["amt", "hour", "kind", "txns_24h", "txns_7d", "p"]
+    fitted = boosting.fit(t.where("dataset_split = 'train'"), "is_fraud", feats, "trans_num", boosting.Boosting(rounds=10, depth=4, rate=0.1, pos_weight=10.0))
+    return fitted.score(t.where("dataset_split = 'test'").select("trans_num", *feats), "score").select("trans_num", "score")
+
+
 @query("ml7_simple_baseline")
 def ml7(spark, d):
     feats = ["amt", "distance_km", "hour_sin", "category_risk", "txns_24h", "card_mean_amt"]

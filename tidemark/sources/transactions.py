@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.util import MLWritable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +46,10 @@ def write_report(df: DataFrame, path: str) -> None:
 def save_models(models: dict, metrics: DataFrame, path: str) -> None:
     """Fitted models under ``path``/<name>, and a row of metrics appended to the table beside them."""
     for name, model in models.items():
-        model.write().overwrite().save(f"{path}/{name}")
+        if isinstance(model, MLWritable):
+            model.write().overwrite().save(f"{path}/{name}")
+        else:
+            model.save(metrics.sparkSession, f"{path}/{name}")
     metrics.write.mode("append").parquet(f"{path}/metrics")
 
 
