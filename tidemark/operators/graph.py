@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SPARSE = 256  # fraud cards of a merchant and bucket that are kept as a list, at most
+
 
 def positive_keys(train: DataFrame, key: str, label: str) -> DataFrame:
     return train.where(F.col(label) == 1).select(key).distinct()
@@ -26,17 +28,24 @@ def left_nodes(e: DataFrame, bad: DataFrame, left: str) -> DataFrame:
     return flagged.groupBy(left).agg(F.count("*").alias("card_merchant_degree"), F.max(F.coalesce("__bad", F.lit(0))).alias("card_is_fraud"))
 
 
-def two_hop(e: DataFrame, bad: DataFrame, left: str, right: str) -> DataFrame:
+def two_hop(e: DataFrame, bad: DataFrame, left: str, right: str, sparse: int = SPARSE) -> DataFrame:
     """Per card: distinct other fraud cards that share a merchant.
 
-    Fraud cards get dense numbers and a merchant's fraud cards become bitmaps a bucket of numbers; a card ORs the
-    bitmaps of its merchants. No pair of cards is ever made, and a bitmap's size is fixed.
+    Fraud cards get dense numbers. A merchant holds its fraud cards of a bucket of 32,768 numbers as a list of two-byte
+    places where they are SPARSE at most, as a bitmap of 4,096 bytes where they are more. A card joins the lists of its
+    merchants, ORs their bitmaps, and counts the listed places that no bitmap has. No pair of cards is ever made.
     """
     from tidemark.operators.priors import global_row_number
 
     ids = global_row_number(bad, [left]).select(left, (F.col("row_no") - 1).alias("__no"))
-    marks = e.join(ids, left).groupBy(right, F.bitmap_bucket_number("__no").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__no")).alias("__bits"))
-    per = e.join(marks, right).groupBy(left, "__bucket").agg(F.bitmap_count(F.bitmap_or_agg("__bits")).alias("__n")).groupBy(left).agg(F.sum("__n").alias("__n"))
+    lists = e.join(ids, left).groupBy(right, F.bitmap_bucket_number("__no").alias("__bucket")).agg(F.collect_list(F.bitmap_bit_position("__no").cast("short")).alias("__few"))
+    dense = lists.where(F.size("__few") > sparse).select(right, "__bucket", F.explode("__few").alias("__at")).groupBy(right, "__bucket").agg(F.bitmap_construct_agg(F.col("__at").cast("long")).alias("__bits"))
+    few = e.join(lists.where(F.size("__few") <= sparse), right).groupBy(left, "__bucket").agg(F.array_distinct(F.flatten(F.collect_list("__few"))).alias("__few"))
+    many = e.join(dense, right).groupBy(left, "__bucket").agg(F.bitmap_or_agg("__bits").alias("__bits"))
+    byte = lambda at: F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    unseen = F.filter("__few", lambda at: F.col("__bits").isNull() | (F.getbit(byte(at), at % 8) == 0))
+    n = F.coalesce(F.bitmap_count("__bits"), F.lit(0)) + F.coalesce(F.size(unseen), F.lit(0))
+    per = few.join(many, [left, "__bucket"], "full_outer").groupBy(left).agg(F.sum(F.when(F.col("__few").isNull(), F.bitmap_count("__bits")).otherwise(n)).alias("__n"))
     own = e.join(bad, left, "left_semi").select(left).distinct().withColumn("__own", F.lit(1))
     out = e.select(left).distinct().join(per, left, "left").join(own, left, "left")
     return out.select(left, (F.coalesce("__n", F.lit(0)) - F.coalesce("__own", F.lit(0))).cast("long").alias("card_2hop_fraud_cards"))

@@ -23,25 +23,25 @@ SAMPLE = 20_000  # rows from which borders are taken; they decide how even chunk
 CHUNKS_A_PARTITION = 2
 
 
-def _borders(df: DataFrame, order_by: Sequence[str], chunks: int) -> DataFrame:
-    """One row: ``__borders``, up to chunks - 1 ascending values of the order columns, of a sample chosen by hash."""
+def _borders(df: DataFrame, order_by: Sequence[str], chunks: int, sample: int) -> DataFrame:
+    """One row: ``__borders``, up to chunks - 1 ascending values of the order columns, of a sample of about so many rows, chosen by hash."""
     names = [f"o{i}" for i in range(len(order_by))]
     o = df.select(*[F.col(c).alias(n) for c, n in zip(order_by, names, strict=True)])
-    every = max(1, o.count() // SAMPLE)
+    every = max(1, o.count() // sample)
     picked = o.where(F.pmod(F.xxhash64(*names), F.lit(every)) == 0) if every > 1 else o
-    held = F.sort_array(F.collect_list(F.struct(*names)))  # of SAMPLE rows, about
+    held = F.sort_array(F.collect_list(F.struct(*names)))  # of the sample
     step = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(chunks - 1)), lambda i: F.element_at("held", F.greatest(F.lit(1), (i * F.size("held") / chunks).cast("int"))))) if chunks > 1 else None
     one = picked.agg(held.alias("held"))
     return one.select(F.when(F.size("held") > 0, step).alias("__borders") if chunks > 1 else F.lit(None).cast(f"array<{one.schema['held'].dataType.elementType.simpleString()}>").alias("__borders"))
 
 
-def with_chunks(df: DataFrame, order_by: Sequence[str], chunks: int | None = None) -> DataFrame:
+def with_chunks(df: DataFrame, order_by: Sequence[str], chunks: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """``df`` with ``__chunk``: the number of borders at or before the row, by halving. Ordered as ``order_by``, nulls first."""
     chunks = chunks or CHUNKS_A_PARTITION * n_partitions(df.sparkSession)
     here = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order_by)])
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(chunks.bit_length()))])
     found = F.aggregate(steps, F.lit(0), lambda n, s: F.when(F.coalesce(F.get("__borders", n + s - 1) <= F.col("__here"), F.lit(False)), n + s).otherwise(n))
-    d = df.withColumn("__here", here).join(F.broadcast(_borders(df, order_by, chunks)))  # one row
+    d = df.withColumn("__here", here).join(F.broadcast(_borders(df, order_by, chunks, max(sample, SAMPLE))))  # one row
     return d.withColumn("__chunk", found).drop("__here", "__borders")
 
 

@@ -459,7 +459,7 @@ def ml7(spark, d):
 @query("ml9_oversampled_minority")
 def ml9(spark, d):
     t = event_transactions(spark, d).where("dataset_split = 'train'").select("trans_num", "is_fraud", "amt", F.hour("ts").cast("double").alias("hour"))
-    return models.oversample_minority(t, "is_fraud", "trans_num", ["amt", "hour"], bucket=0.5)
+    return models.oversample_minority(t, "is_fraud", "trans_num", ["amt", "hour"])
 
 
 @query("ml11_training_record")
@@ -478,7 +478,7 @@ def ml10(spark, d):
     """The notebook's single models, each with its own threshold: average precision, ROC AUC and confusion at it."""
     m = written(orders_mart(spark, d), "mart")
     parts = splits.chronological_split(m.where("dataset_split = 'train'"), ["trans_date_trans_time", "trans_num"])
-    return models.legacy_baselines(parts.where("part = 'fit'"), parts.where("part <> 'fit'"), "is_fraud", "trans_num", ["amt", "distance_km", "night", "category_risk", "txns_24h", "card_mean_amt"])
+    return models.legacy_baselines(parts.where("part = 'fit'"), parts.where("part <> 'fit'"), "is_fraud", "trans_num", ["amt", "distance_km", "night", "category_risk", "txns_24h", "card_mean_amt"], ["trans_date_trans_time", "trans_num"])
 
 
 @query("ml12_locked_window", f"SELECT evaluation_role, count(*) AS n FROM {_M} WHERE dataset_split = 'test' AND evaluation_role <> 'locked_evaluation' GROUP BY 1 UNION ALL SELECT 'locked_evaluation (final)', count(*) FROM {_M} WHERE evaluation_role = 'locked_evaluation'")
