@@ -10,11 +10,22 @@ from tidemark.llm.flat import view
 
 
 def chunks(text):
+    """Every two neighbouring lines that aren't both blank: (bytes, start, end, 2)."""
+    raw, at, spans = text.encode(), 0, []
+    for line in raw.split(b"\n"):
+        spans.append((at, at + len(line)))
+        at += len(line) + 1
+    if spans[-1][0] == len(raw):
+        spans.pop()
+    both = [(raw[a:d], a, d, 2) for (a, _), (_, d) in zip(spans, spans[1:], strict=False)]
+    return [(x.decode(), a, d, n) for x, a, d, n in both if x.strip(b" \t\n\v\f\r")]
+
+
+def pieces(*texts):
     import pyarrow as pa
 
-    data, offs = view(pa.array([text]))
-    _, s, e, n, h1, h2 = lines.chunks_of(data, offs)
-    return [(text.encode()[a:b].decode(), int(a), int(b), int(k)) for a, b, k in zip(s, e, n, strict=True)]
+    data, offs = view(pa.array(texts))
+    return data, *lines.line_chunks_of(data, offs)
 
 
 def plain(rows):
@@ -37,17 +48,38 @@ def plain(rows):
 def test_chunks_cover_whole_lines():
     rnd = random.Random(1)
     text = "\n".join(f"line {rnd.randrange(10**6)}" for _ in range(200)) + "\n"
-    got = chunks(text)
-    assert len(got) > 20
-    for body, a, b, n in got:
-        assert body.count("\n") == n - 1 and (a == 0 or text[a - 1] == "\n") and text[b] == "\n"
+    data, c, w = pieces("one\ntwo", text, "", "\n\n")
+    bodies = [data[a : a + k].tobytes().decode() for a, k in zip(c["start"], c["size"], strict=True)]
+    assert "\n".join(b for b, r in zip(bodies, c["row"], strict=True) if r == 1) + "\n" == text
+    assert [b.count("\n") + 1 for b, r in zip(bodies, c["row"], strict=True) if r == 1] == c["lines"][c["row"] == 1].tolist()
+    assert 30 < (c["row"] == 1).sum() < 75 and set(c["lines"][c["row"] == 3]) == {1}
+    assert [x[:2] for x in chunks(text)] == [(data[a : a + k].tobytes().decode(), a - c["start"][c["row"] == 1][0]) for a, k, r in zip(w["start"], w["size"], c["row"][w["chunk"]], strict=True) if r == 1]
+    inner = np.bincount(w["chunk"], w["inner"], len(c["lines"]))
+    assert (inner[c["row"] == 1] == c["lines"][c["row"] == 1] - 1).all()
 
 
 def test_boundaries_resist_shifts():
     rnd = random.Random(2)
-    text = "\n".join(f"line {rnd.randrange(10**6)}" for _ in range(120))
-    a, b = {c[0] for c in chunks(text)}, {c[0] for c in chunks("new one\nand two\n" + text)}
-    assert len(a - b) <= 2
+    text = "\n".join(f"line {rnd.randrange(10**6)}" for _ in range(400))
+    cut = text.split("\n")
+    moved = "\n".join(["new one", "and two", *cut[:200], "in between", *cut[200:]])
+    _, a, _ = pieces(text)
+    _, b, _ = pieces(moved)
+    keys = [set(zip(x["h1"].tolist(), x["h2"].tolist(), x["size"].tolist(), strict=True)) for x in (a, b)]
+    assert len(keys[0] - keys[1]) <= 3 and len(keys[0]) > 60
+
+
+def test_large_chunks_carry_most_of_a_repeated_run(spark):
+    """Copies of a long run: few windows are left to look at, and a wrong chunk hash changes nothing in the result."""
+    rnd = random.Random(3)
+    shared = [f"shared {rnd.randrange(10**6)}" for _ in range(80)]
+    df = spark.createDataFrame([(i, "\n".join([f"own {i}", *shared[i:], f"end {i}"])) for i in range(12)], "doc_id long, text string")
+    rows = {r.doc_id: r.text for r in df.collect()}
+    want = plain(sorted(rows.items()))
+    assert {r.doc_id: r.text for r in lines.drop_repeats(df).collect()} == want
+    assert {(r.doc_id, r.own): len(r.cut) for r in lines.repeats(df, coarse=False).collect()}.keys() == {(r.doc_id, r.own) for r in lines.repeats(df).collect()}
+    few, many = (sum(len(r.cut) for r in lines.repeats(df, coarse=c).collect()) for c in (True, False))
+    assert few < many / 1.5
 
 
 def test_removal_equals_the_plain_walk(spark):
@@ -172,6 +204,13 @@ def test_long_good_documents_leave_short_junk_no_room(spark):
     assert junk.doc_id.isin(kept).mean() <= 0.2 and short.doc_id.isin(kept).mean() <= 0.25
 
 
+def test_a_pair_across_two_runs_that_go(spark):
+    """Its lines stay where the runs stood first; the pair itself stands in neither of its documents."""
+    rows = [(0, "x\na"), (1, "b\ny"), (2, "x\na\nb\ny"), (3, "a\nb")]
+    got = {r.doc_id: r.text for r in lines.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: "x\na", 1: "b\ny", 2: "", 3: ""}
+
+
 def test_unlike_rows_that_share_an_id_lose_only_what_is_theirs(spark):
     """A cut stays in the row that it was found in; characters of several bytes stay whole."""
     rows = [(1, "p\nq\nr"), (5, "p\nq\nzz"), (5, "own words that stand nowhere else\nand more\nééé"), (5, "p\nq\nzz"), (6, "first\nsecond")]
