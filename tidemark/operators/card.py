@@ -81,19 +81,28 @@ def _grouped_moments(x: str) -> Column:
 def _line(d: DataFrame, key: str, asked: _Asked, cols: list[str], chunked: bool) -> DataFrame:
     """``cols`` of ``d`` (which has __us, __x, weights __w<i>, and __cuts, __last where ``chunked``) with the results."""
     part = ["__chunk"] if chunked else []
-    names, block = list(asked.counts), None
+    names, block, blocked = list(asked.counts), None, []
     if chunked:
         d = d.withColumn("__chunk", _chunk_of(F.col("__us")))
     if asked.amt:
         block = lambda at: ((at - F.pmod(at, F.lit(asked.length))) / asked.length).cast("long")
         d = d.withColumn("__block", block(F.col("__us")))
         unit = W.partitionBy(key, "__block", *part)
+        # counts run over blocks as well, if no window is longer: a block's seed brings what is in the windows at its start
+        if max(n for n, _ in asked.counts.values()) <= asked.length:
+            blocked = ["block"]
+            alive = {n: F.when(F.col("__us") + length >= (F.col("__block") + 1) * asked.length, F.col(f"__w{i}")) for i, (n, (length, _)) in enumerate(asked.counts.items())}
+            if not chunked:
+                d = d.withColumns({f"__in{i}": F.coalesce(F.sum(alive[n]).over(unit), F.lit(0)) for i, n in enumerate(names)})
         d = d.withColumn("__left", _moments(F.col("__x"), unit.orderBy(F.desc("__us")).rangeBetween(_BEGIN, -1))).withColumn("__all", _moments(F.col("__x"), unit))
-        first = F.col("__us") == F.min("__us").over(unit)
+        first = F.row_number().over(unit.orderBy(F.desc("__us"))) == F.count("*").over(unit)  # one row, also among peers
         if chunked:
-            later = _carried(d.groupBy(key, "__block", "__chunk").agg(_grouped_moments("__x").alias("m")), [key, "__block"], [F.desc("__chunk")], "__later")
-            opens = F.col("__chunk") == F.min("__chunk").over(W.partitionBy(key, "__block"))
-            later = later.select(F.col(key).alias("__k"), F.col("__block").alias("__b"), F.col("__chunk").alias("__c"), opens.alias("__opens"), "__later")
+            ins = [F.sum(alive[n]).alias(f"__in{i}") for i, n in enumerate(names)] if blocked else []
+            later = _carried(d.groupBy(key, "__block", "__chunk").agg(_grouped_moments("__x").alias("m"), *ins), [key, "__block"], [F.desc("__chunk")], "__later")
+            of_block = W.partitionBy(key, "__block")
+            opens = F.col("__chunk") == F.min("__chunk").over(of_block)
+            ins = [F.coalesce(F.sum(f"__in{i}").over(of_block), F.lit(0)).alias(f"__in{i}") for i in range(len(names))] if blocked else []
+            later = later.select(F.col(key).alias("__k"), F.col("__block").alias("__b"), F.col("__chunk").alias("__c"), opens.alias("__opens"), "__later", *ins)
             d = d.withColumn("__first", first).join(later, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__block") == F.col("__b")) & (F.col("__chunk") == F.col("__c"))).drop("__k", "__b", "__c")
             d = d.withColumns({"__left": _merged(F.col("__left"), F.col("__later")), "__all": _merged(F.col("__all"), F.col("__later"))})
             first = F.col("__first") & F.col("__opens")
@@ -113,24 +122,26 @@ def _line(d: DataFrame, key: str, asked: _Asked, cols: list[str], chunked: bool)
         left = F.col("__left").cast(_KIND) if asked.amt and length == asked.length else none
         entries.append(entry(2 * (us + length) + 1, mine, nil, no_x, left, block(us + length) if asked.amt else no_block))
     if asked.amt:
-        seed = entry(2 * (F.col("__block") + 1) * asked.length, {}, nil, no_x, F.col("__all").cast(_KIND), F.col("__block") + 1)
+        brought = {n: F.col(f"__in{i}") for i, n in enumerate(names)} if blocked else {}
+        seed = entry(2 * (F.col("__block") + 1) * asked.length, brought, nil, no_x, F.col("__all").cast(_KIND), F.col("__block") + 1)
         entries.append(F.when(F.col("__first"), seed))
     e = d.select(key, *(["__cuts", "__last"] if chunked else []), F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("e"))
     if chunked:  # what leaves after a card's last row matters to nobody
         e = e.where(F.col("e.kept").isNotNull() | (F.col("e.at") <= 2 * F.col("__last") + 1)).withColumn("__chunk", _chunk_of(F.floor(F.col("e.at") / 2))).drop("__cuts", "__last")
     e = e.select(key, *part, "e.*")
     end = 0 if asked.inclusive else -1
-    order = W.partitionBy(key, *part).orderBy("at").rangeBetween(_BEGIN, end)
+    order = W.partitionBy(key, *blocked, *part).orderBy("at").rangeBetween(_BEGIN, end)
     e = e.withColumns({f"__r{i}": F.coalesce(F.sum(f"d{i}").over(order), nothing) for i in range(len(names))})
     if asked.amt:
         inside = W.partitionBy(key, "block", *part).orderBy("at").rangeBetween(_BEGIN, end)
         e = e.withColumns({"__head": _moments(F.col("x"), inside), "__tail": F.last("left", ignorenulls=True).over(inside)})
     rows = e.where("kept is not null")
     if chunked:
-        sums = e.groupBy(key, "__chunk").agg(*[F.sum(f"d{i}").alias(f"d{i}") for i in range(len(names))])
-        before = W.partitionBy(key).orderBy("__chunk").rowsBetween(_BEGIN, -1)  # a row a chunk
-        sums = sums.select(F.col(key).alias("__k"), F.col("__chunk").alias("__c"), *[F.coalesce(F.sum(f"d{i}").over(before), nothing).alias(f"__o{i}") for i in range(len(names))])
-        rows = rows.join(sums, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__chunk") == F.col("__c"))).drop("__k", "__c")
+        sums = e.groupBy(key, *blocked, "__chunk").agg(*[F.sum(f"d{i}").alias(f"d{i}") for i in range(len(names))])
+        before = W.partitionBy(key, *blocked).orderBy("__chunk").rowsBetween(_BEGIN, -1)  # a row a chunk
+        sums = sums.select(F.col(key).alias("__k"), F.col("__chunk").alias("__c"), *[F.col(c).alias("__b") for c in blocked], *[F.coalesce(F.sum(f"d{i}").over(before), nothing).alias(f"__o{i}") for i in range(len(names))])
+        on = F.col(key).eqNullSafe(F.col("__k")) & (F.col("__chunk") == F.col("__c"))
+        rows = rows.join(sums, on & (F.col("block") == F.col("__b")) if blocked else on).drop("__k", "__c", "__b")
         rows = rows.withColumns({f"__r{i}": F.col(f"__r{i}") + F.col(f"__o{i}") for i in range(len(names))})
         if asked.amt:
             units = e.groupBy(key, "block", "__chunk").agg(_grouped_moments("x").alias("m"), F.max_by("left", F.when(F.col("left").isNotNull(), F.col("at"))).alias("left"))

@@ -63,7 +63,9 @@ def with_priors(df: DataFrame, order_by: Sequence[str], sums: dict[str, Column],
     )
     line = d.unionByName(seeds, allowMissingColumns=True).repartition("__chunk")
     for i, (key, level) in enumerate(zip(keys, levels, strict=True)):
-        before = W.partitionBy("__chunk", level).orderBy(F.asc_nulls_last("__seed"), *order_by).rowsBetween(*_BEFORE)
+        # a number first: rows are told apart by it before anything else is compared
+        line = line.withColumn("__h", F.xxhash64("__chunk", level))
+        before = W.partitionBy("__h", "__chunk", level).orderBy(F.asc_nulls_last("__seed"), *order_by).rowsBetween(*_BEFORE)
         mine = F.col("__seed").isNull() | (F.col("__seed") == i)
         head = f"{key}_" if key else ""
         line = line.withColumns({f"{head}{n}_prior": F.sum(F.when(mine, F.col(f"__s{j}"))).over(before) for j, n in enumerate(names)} | {f"{head}{n}_all": F.max(F.when(mine, F.col(f"__a{j}"))).over(before) for j, n in enumerate(names)})
