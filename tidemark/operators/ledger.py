@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from tidemark.functions.scalars import canonical_json, canonical_text, hours_between, quoted
+from tidemark.operators.priors import quantiles
 from tidemark.storage import n_partitions
 
 # The paths a case may take, and which permission an event asks for.
@@ -142,11 +143,11 @@ def chain_events(events: DataFrame) -> DataFrame:
 def reconcile(recorded: DataFrame, stored: DataFrame, key: str = "evidence_id", events: DataFrame | None = None) -> DataFrame:
     """(key, problem), a row a problem: entries on one side alone, hashes or sizes that differ from the content.
 
-    stored has the ``content`` itself. With ``events`` (key, metadata_json of the evidence events) also: events without
+    stored has the ``content`` itself; null content is none. With ``events`` (key, metadata_json of the evidence events) also: events without
     a record, records without an event, ``<field>_differs`` for each committed field that isn't as recorded, and
     archive receipts that aren't verified (``archive_receipt`` is JSON text).
     """
-    s = stored.select(key, F.sha2(F.col("content").cast("binary"), 256).alias("actual_sha"), F.octet_length("content").cast("long").alias("actual_size"), F.lit(True).alias("__s"))
+    s = stored.where("content is not null").select(key, F.sha2(F.col("content").cast("binary"), 256).alias("actual_sha"), F.octet_length("content").cast("long").alias("actual_size"), F.lit(True).alias("__s"))
     d = recorded.withColumn("__r", F.lit(True)).join(s, key, "full_outer")
     both = F.col("__r") & F.col("__s")
     problems = [
@@ -194,7 +195,8 @@ def organization_mismatches(cases: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def feedback_report(cases: DataFrame, events: DataFrame, min_cohort: int = 5) -> DataFrame:
-    """Per model version: cases, terminal share, confirmed share and median review hours; small cohorts are blanked."""
+    """Per model version: cases, terminal share, confirmed share and median review hours; small cohorts are blanked. The median is
+    exact, over ranges of hours; cases without a version are a cohort without one."""
     begins = F.col("event_type") == "review_started"
     start = F.min_by(F.when(begins, F.col("occurred_at")), F.when(begins, F.col("sequence"))).alias("started")
     ends = F.col("event_type").isin(*TERMINAL)
@@ -202,7 +204,9 @@ def feedback_report(cases: DataFrame, events: DataFrame, min_cohort: int = 5) ->
     per = events.groupBy("case_id").agg(start, done, F.max_by("to_status", "sequence").alias("status"))
     d = cases.select("case_id", "model_version").join(per, "case_id", "left").withColumn("hours", hours_between(F.col("started"), F.col("decided")))
     ended = F.col("status").isin(*TERMINAL)
-    g = d.groupBy("model_version").agg(F.count("*").alias("cases"), F.sum(F.when(ended, 1).otherwise(0)).alias("terminal"), F.sum(F.when(F.col("status") == TERMINAL[0], 1).otherwise(0)).alias("confirmed"), F.percentile("hours", F.lit(0.5)).alias("median_hours"))
+    g = d.groupBy("model_version").agg(F.count("*").alias("cases"), F.sum(F.when(ended, 1).otherwise(0)).alias("terminal"), F.sum(F.when(F.col("status") == TERMINAL[0], 1).otherwise(0)).alias("confirmed"))
+    middle = quantiles(d, "hours", [0.5], ["model_version"]).select(F.col("model_version").alias("__v"), F.col("q")[0].alias("median_hours"))
+    g = g.join(middle, F.col("model_version") == F.col("__v"), "left")
     shown = F.col("cases") >= min_cohort
     return g.select("model_version", "cases", (~shown).alias("suppressed"), F.when(shown, F.col("terminal") / F.col("cases")).alias("terminal_rate"), F.when(shown, F.try_divide("confirmed", "terminal")).alias("confirmed_rate"), F.when(shown, F.col("median_hours")).alias("median_hours"))
 

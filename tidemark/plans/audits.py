@@ -93,11 +93,11 @@ def evt6(spark, d):
 _EVIDENCE = {3: "hash_mismatch", 5: "size_mismatch", 7: "content_without_record", 9: "record_without_event", 11: "sha256_differs", 12: "byte_size_differs", 13: "media_type_differs", 14: "local_path_differs", 15: "evidence_type_differs", 16: "unverified_receipt", 17: "archive_receipt_differs", 18: "record_without_content"}
 
 
-@query("evt7_jn11_reconcile", f"""SELECT doc_id AS evidence_id, problem FROM documents JOIN (SELECT unnest([{', '.join(map(str, _EVIDENCE))}, 3, 5, 7]) AS r, unnest([{', '.join(f"'{x}'" for x in _EVIDENCE.values())}, 'sha256_differs', 'byte_size_differs', 'event_without_record']) AS problem) ON doc_id % 20 = r WHERE text IS NOT NULL""")
+@query("evt7_jn11_reconcile", f"""SELECT doc_id AS evidence_id, problem FROM documents JOIN (SELECT unnest([{', '.join(map(str, _EVIDENCE))}, 3, 5, 7]) AS r, unnest([{', '.join(f"'{x}'" for x in _EVIDENCE.values())}, 'sha256_differs', 'byte_size_differs', 'event_without_record']) AS problem) ON doc_id % 20 = r""")
 def evt7(spark, d):
     """Records, contents and evidence events of every document, with one kind of fault a residue of its id."""
     k = F.col("doc_id") % 20
-    docs = table(spark, d, "documents").where("doc_id is not null and text is not null").withColumns({"sha": F.sha2(F.col("text").cast("binary"), 256), "size": F.octet_length("text").cast("long")})
+    docs = table(spark, d, "documents").where("doc_id is not null").withColumns({"sha": F.sha2(F.col("text").cast("binary"), 256), "size": F.octet_length("text").cast("long")})
     receipt = F.when(k >= 16, F.concat(F.lit('{"verified": '), F.when(k == 16, "false").otherwise("true"), F.lit(', "store": "a"}')))
     rec = docs.where(k != 7).select(F.col("doc_id").alias("evidence_id"), F.col("lang").alias("evidence_type"), F.when(k == 3, F.sha2("sha", 256)).otherwise(F.col("sha")).alias("sha256"), (F.col("size") + (k == 5).cast("long")).alias("byte_size"), F.lit("text/plain").alias("media_type"), F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("local_path"), receipt.alias("archive_receipt"))
     odd = lambda r, c: F.when(k == r, "other").otherwise(c)

@@ -179,7 +179,19 @@ def scl14(spark, d):
     return table(spark, d, "customer").select("c_custkey", S.mask_name(F.col("c_name"), F.col("c_mktsegment")).alias("masked"))
 
 
-@query("scl15_redact")
+def _redact_sql() -> str:
+    """The same patterns without looking around: a card's neighbours are captured and kept; a second pass finds a card
+    whose left neighbour was the right one of another."""
+    text = "text"
+    for p in S.SECRETS:
+        text = f"regexp_replace({text}, '{p}', '[REDACTED]', 'g')"
+    text = f"regexp_replace({text}, '{S.BEARER}', '\\1[REDACTED]', 'g')"
+    for _ in range(2):
+        text = f"regexp_replace({text}, '(^|[^0-9])(?:[0-9][ -]?){{12,19}}($|[^0-9])', '\\1[REDACTED_PAN]\\2', 'g')"
+    return f"SELECT doc_id, {text} AS redacted FROM documents"
+
+
+@query("scl15_redact", _redact_sql())
 def scl15(spark, d):
     return table(spark, d, "documents").select("doc_id", S.redact(F.col("text")).alias("redacted"))
 
