@@ -39,10 +39,11 @@ def with_chunks(df: DataFrame, order_by: Sequence[str], chunks: int | None = Non
     """``df`` with ``__chunk``: the number of borders at or before the row, by halving. Ordered as ``order_by``, nulls first."""
     chunks = chunks or CHUNKS_A_PARTITION * n_partitions(df.sparkSession)
     here = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order_by)])
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(chunks.bit_length()))])
-    found = F.aggregate(steps, F.lit(0), lambda n, s: F.when(F.coalesce(F.get("__borders", n + s - 1) <= F.col("__here"), F.lit(False)), n + s).otherwise(n))
-    d = df.withColumn("__here", here).join(F.broadcast(_borders(df, order_by, chunks, max(sample, SAMPLE))))  # one row
-    return d.withColumn("__chunk", found).drop("__here", "__borders")
+    d = df.withColumn("__here", here).join(F.broadcast(_borders(df, order_by, chunks, max(sample, SAMPLE)))).withColumn("__chunk", F.lit(0))  # one row
+    for step in [1 << i for i in reversed(range(chunks.bit_length()))]:
+        further = F.col("__chunk") + step
+        d = d.withColumn("__chunk", F.when(F.coalesce(F.get("__borders", further - 1) <= F.col("__here"), F.lit(False)), further).otherwise(F.col("__chunk")))
+    return d.drop("__here", "__borders")
 
 
 def with_priors(df: DataFrame, order_by: Sequence[str], sums: dict[str, Column], keys: dict[str, Column | None], chunks: int | None = None) -> DataFrame:
@@ -61,7 +62,8 @@ def with_priors(df: DataFrame, order_by: Sequence[str], sums: dict[str, Column],
         "__chunk", F.col("i").alias("__seed"), *[F.when(F.col("i") == i, F.col("level")).alias(k) for i, k in enumerate(levels)],
         *[F.coalesce(F.sum(f"__s{j}").over(every.orderBy("__chunk").rowsBetween(*_BEFORE)), F.lit(0)).alias(f"__s{j}") for j in range(len(names))], *[F.sum(f"__s{j}").over(every).alias(f"__a{j}") for j in range(len(names))],
     )
-    line = d.unionByName(seeds, allowMissingColumns=True).repartition("__chunk")
+    n_chunks = chunks or CHUNKS_A_PARTITION * n_partitions(df.sparkSession)
+    line = d.unionByName(seeds, allowMissingColumns=True).repartitionById(n_chunks, F.col("__chunk"))  # a task a chunk
     for i, (key, level) in enumerate(zip(keys, levels, strict=True)):
         # a number first: rows are told apart by it before anything else is compared
         line = line.withColumn("__h", F.xxhash64("__chunk", level))
