@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.conftest import ODD, SF
 from tidemark.llm import chat, fingerprint, mixing, pii
+from tidemark.llm.common import Scratch
 
 PYTHON = re.compile("Python|Pandas|Arrow")
 
@@ -318,6 +319,74 @@ def test_forms_beyond_the_base_are_added_and_clean_texts_left_alone(spark):
     assert set(shares) == set(pii.ALL_KINDS) and min(shares.values()) >= 0.9
 
 
+def lookalikes():
+    """(kind, text, value, whether it is personal data): the same forms where words tell what they are, in new sentences."""
+    import random
+
+    rnd = random.Random(8)
+    number = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+
+    def card():
+        d = "5" + number(14)
+        c = next(c for c in range(10) if (sum(int(x) if i % 2 else sum(divmod(2 * int(x), 10)) for i, x in enumerate(d)) + c) % 10 == 0)
+        return ".".join(re.findall("....", d + str(c)))
+
+    forms = {
+        "ip": lambda: "[.]".join(str(rnd.randint(1, 255)) for _ in range(4)),
+        "card": card,
+        "phone": lambda: f"({number(3)}) {number(3)}-{number(4)}",
+        "bare": lambda: number(10),
+        "secret": lambda: rnd.randbytes(20).hex(),
+    }
+    says = {
+        "ip": (("The host was {} all day.", "Seen from {} twice."), ("Now on firmware {} everywhere.", "Upgrade to version {} first.")),
+        "card": (("Please use my visa {} for it.", "Her credit card is {} I think."), ("Your order no. {} has left.", "See invoice {} attached.")),
+        "phone": (("You may call me at {} later.", "My mobile is {} at work."), ("Ask for part no. {} there.", "The sku is {} in red.")),
+        "bare": (("Then dial {} and wait.", "Her phone is {} since May."), ("It took {} steps to end.", "Some {} grains were counted.")),
+        "secret": (("The password is {} for now.", "Set the token to {} today."), ("Reverted in commit {} again.", "Its checksum is {} still.")),
+    }
+    rows = []
+    for i in range(600):
+        kind = [*forms][i % 5]
+        yes = i // 5 % 2 == 0
+        value = forms[kind]()
+        rows.append(("phone" if kind == "bare" else kind, says[kind][not yes][i // 10 % 2].format(value), value, yes))
+    return rows
+
+
+def test_context_decides_where_form_cannot(spark):
+    """Trees fitted on the given documents, on sentences they never saw: better than the rule on forms alone."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = lookalikes()
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, kind string, text string, value string, yes boolean")
+    rule = F.lit(None).cast("boolean")
+    for k in pii.ALL_KINDS:
+        rule = F.when(F.col("kind") == k, pii.plausible(k, F.col("value"))).otherwise(rule)
+    by_rule = {r.doc_id: r.rule for r in df.select("doc_id", rule.alias("rule")).collect()}
+    got = {r.doc_id: r.s for r in pii.redactions(df, fitted=pii.fit(docs)).select("doc_id", pii.spelled("spans").alias("s")).collect()}
+    right, ruled = {}, {}
+    for i, (kind, text, value, yes) in enumerate(rows):
+        at = text.index(value)
+        hit = f"{kind}:{at}:{at + len(value)}" in got[i].split(",")
+        right.setdefault((kind, yes), []).append(hit == yes)
+        ruled.setdefault((kind, yes), []).append(by_rule[i] == yes)
+    share = lambda d: sum(map(sum, d.values())) / len(rows)
+    print({k: sum(v) / len(v) for k, v in right.items()}, share(right), share(ruled))
+    assert share(right) >= 0.9 and share(right) > share(ruled) + 0.2
+    assert min(sum(v) / len(v) for v in right.values()) >= 0.8
+
+
+def test_plants_cover_every_kind_and_class(spark):
+    """Each plant is found by a generator of its kind, and no label comes from the rule on forms."""
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.lit("plain words on both sides of a plant, nothing else at all").alias("text"))
+    tmp, other = Scratch(spark, "plants"), Scratch(spark, "plants")
+    rows = pii.planted(docs, tmp).groupBy("no", "label").count().collect()
+    assert {(r.no, r.label) for r in rows} == {(i, y) for i in range(len(pii.ALL_KINDS)) for y in (0.0, 1.0)}
+    assert pii.planted(docs.limit(0), other).count() == 0
+    tmp.drop()
+    other.drop()
+
+
 def test_trees_as_a_column(spark):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
