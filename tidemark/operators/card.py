@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from tidemark.functions.scalars import over_mean, z_score
 from tidemark.settings import DAY_US
 from tidemark.sources.transactions import micros
+from tidemark.storage import n_partitions
 
 #: Default windows of the velocity features, in days.
 WINDOWS = {"txns_24h": 1, "txns_7d": 7}
@@ -182,12 +183,13 @@ def _trailing(df: DataFrame, key: str, ts: str, counts: dict[str, tuple[float, C
     timed = d.where("__us is not null")
     total, most = df.groupBy(key).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     at_most = max(chunk_rows or CHUNK_ROWS, total // CHUNKS)
+    tasks = max(n_partitions(df.sparkSession), -(-total // CHUNK_ROWS))  # a task's memory doesn't grow with the table
     if most <= at_most:
-        out = _line(timed.repartition(key), key, asked, cols, chunked=False)
+        out = _line(timed.repartition(tasks, key), key, asked, cols, chunked=False)
     else:
         marked = timed.join(F.broadcast(_cuts(timed, key, asked.lengths, most, at_most)), F.col(key).eqNullSafe(F.col("__k")), "left").drop("__k")  # CHUNKS borders at most
         rest = marked.where("__cuts is null").drop("__cuts", "__last")
-        out = _line(rest.repartition(key), key, asked, cols, chunked=False).unionByName(_line(marked.where("__cuts is not null"), key, asked, cols, chunked=True))
+        out = _line(rest.repartition(tasks, key), key, asked, cols, chunked=False).unionByName(_line(marked.where("__cuts is not null"), key, asked, cols, chunked=True))
     if not dict(df.dtypes)[ts].startswith("timestamp") or df.schema[ts].nullable:
         zero = {n: F.lit(0).cast("long") for n in counts} | ({"__m": F.lit(None).cast(_KIND)} if amt else {})
         out = out.unionByName(df.select(*[F.col(f"`{c}`") for c in cols]).where(F.col(ts).isNull()).withColumns(zero))

@@ -21,13 +21,20 @@ _BEGIN = W.unboundedPreceding
 _BEFORE = (_BEGIN, -1)
 SAMPLE = 20_000  # rows from which borders are taken; they decide how even chunks are, nothing else
 CHUNKS_A_PARTITION = 2
+CHUNK_ROWS = 1 << 17  # of a chunk, about, at most; larger tables have more chunks, so that a task's memory doesn't grow
 
 
-def _borders(df: DataFrame, order_by: Sequence[str], chunks: int, sample: int) -> DataFrame:
+def _n_chunks(df: DataFrame) -> tuple[int, int]:
+    """How many chunks ``df`` is cut into by default, and its rows."""
+    n = df.count()
+    return max(CHUNKS_A_PARTITION * n_partitions(df.sparkSession), -(-n // CHUNK_ROWS)), n
+
+
+def _borders(df: DataFrame, order_by: Sequence[str], chunks: int, sample: int, n: int) -> DataFrame:
     """One row: ``__borders``, up to chunks - 1 ascending values of the order columns, of a sample of about so many rows, chosen by hash."""
     names = [f"o{i}" for i in range(len(order_by))]
     o = df.select(*[F.col(c).alias(n) for c, n in zip(order_by, names, strict=True)])
-    every = max(1, o.count() // sample)
+    every = max(1, n // sample)
     picked = o.where(F.pmod(F.xxhash64(*names), F.lit(every)) == 0) if every > 1 else o
     held = F.sort_array(F.collect_list(F.struct(*names)))  # of the sample
     step = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(chunks - 1)), lambda i: F.element_at("held", F.greatest(F.lit(1), (i * F.size("held") / chunks).cast("int"))))) if chunks > 1 else None
@@ -35,11 +42,14 @@ def _borders(df: DataFrame, order_by: Sequence[str], chunks: int, sample: int) -
     return one.select(F.when(F.size("held") > 0, step).alias("__borders") if chunks > 1 else F.lit(None).cast(f"array<{one.schema['held'].dataType.elementType.simpleString()}>").alias("__borders"))
 
 
-def with_chunks(df: DataFrame, order_by: Sequence[str], chunks: int | None = None, sample: int = SAMPLE) -> DataFrame:
-    """``df`` with ``__chunk``: the number of borders at or before the row, by halving. Ordered as ``order_by``, nulls first."""
-    chunks = chunks or CHUNKS_A_PARTITION * n_partitions(df.sparkSession)
+def with_chunks(df: DataFrame, order_by: Sequence[str], chunks: int | None = None, sample: int = SAMPLE, n: int | None = None) -> DataFrame:
+    """``df`` of ``n`` rows, if known, with ``__chunk``: the number of borders at or before the row, by halving. Ordered as
+    ``order_by``, nulls first."""
+    if chunks is None:
+        chunks, n = _n_chunks(df)
+    n, sample = df.count() if n is None else n, max(sample, SAMPLE, 32 * chunks)
     here = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order_by)])
-    d = df.withColumn("__here", here).join(F.broadcast(_borders(df, order_by, chunks, max(sample, SAMPLE)))).withColumn("__chunk", F.lit(0))  # one row
+    d = df.withColumn("__here", here).join(F.broadcast(_borders(df, order_by, chunks, sample, n))).withColumn("__chunk", F.lit(0))  # one row
     for step in [1 << i for i in reversed(range(chunks.bit_length()))]:
         further = F.col("__chunk") + step
         d = d.withColumn("__chunk", F.when(F.coalesce(F.get("__borders", further - 1) <= F.col("__here"), F.lit(False)), further).otherwise(F.col("__chunk")))
@@ -54,7 +64,8 @@ def with_priors(df: DataFrame, order_by: Sequence[str], sums: dict[str, Column],
     must be a total order. An empty table gives no rows.
     """
     names, levels = list(sums), {f"__k{i}": F.lit(None).cast("string") if c is None else c.cast("string") for i, c in enumerate(keys.values())}
-    d = with_chunks(df, order_by, chunks).withColumns({**{f"__s{j}": F.coalesce(c, F.lit(0)) for j, c in enumerate(sums.values())}, **levels})
+    n_chunks, n = (chunks, None) if chunks else _n_chunks(df)
+    d = with_chunks(df, order_by, n_chunks, n=n).withColumns({**{f"__s{j}": F.coalesce(c, F.lit(0)) for j, c in enumerate(sums.values())}, **levels})
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(k).alias("level")) for i, k in enumerate(levels)])).alias("x")
     totals = d.select("__chunk", *[f"__s{j}" for j in range(len(names))], each).groupBy("__chunk", "x.i", "x.level").agg(*[F.sum(f"__s{j}").alias(f"__s{j}") for j in range(len(names))])
     every = W.partitionBy("i", "level")  # a row a chunk
@@ -62,7 +73,6 @@ def with_priors(df: DataFrame, order_by: Sequence[str], sums: dict[str, Column],
         "__chunk", F.col("i").alias("__seed"), *[F.when(F.col("i") == i, F.col("level")).alias(k) for i, k in enumerate(levels)],
         *[F.coalesce(F.sum(f"__s{j}").over(every.orderBy("__chunk").rowsBetween(*_BEFORE)), F.lit(0)).alias(f"__s{j}") for j in range(len(names))], *[F.sum(f"__s{j}").over(every).alias(f"__a{j}") for j in range(len(names))],
     )
-    n_chunks = chunks or CHUNKS_A_PARTITION * n_partitions(df.sparkSession)
     line = d.unionByName(seeds, allowMissingColumns=True).repartitionById(n_chunks, F.col("__chunk"))  # a task a chunk
     for i, (key, level) in enumerate(zip(keys, levels, strict=True)):
         # a number first: rows are told apart by it before anything else is compared
