@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +35,17 @@ SCORES = ("p_m2", "p_m3", "p_m4", "meta")
 NUMBERS = "array<double>"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, where lambdas in it find the value made instead of making it an element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _numbers_in(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0)), lambda x: x.try_cast("double"))
 
 
-def allowed_values(columns: list[str]) -> Column:
-    """array<double> of every quantity that a payload with these columns entitles a text to."""
+def entitled_values(columns: list[str]) -> Column:
+    """array<double> of the quantities that a payload with these columns entitles a text to, as they are."""
     here = set(columns)
     col = lambda c: F.col(c).try_cast("double") if c in here else F.lit(None).cast("double")
     base: list[Column] = [col(c) for c in NUMERIC_FIELDS if c in here]
@@ -57,8 +64,17 @@ def allowed_values(columns: list[str]) -> Column:
     raw = F.array(*[b.cast("double") for b in base])
     if "trans_date_trans_time" in here:
         raw = F.concat(raw, _numbers_in(F.coalesce(F.col("trans_date_trans_time").cast("string"), F.lit(""))))
-    shapes = F.flatten(F.transform(F.filter(raw, lambda v: v.isNotNull() & ~F.isnan(v)), lambda v: F.array(F.round(v, 4), F.round(v, 2), F.round(v, 1), F.bround(v, 0), F.abs(F.round(v, 2)))))
-    return F.array_distinct(shapes)
+    return F.filter(raw, lambda v: v.isNotNull() & ~F.isnan(v))
+
+
+def _shapes(v: Column) -> Column:
+    """What a text may write for a value."""
+    return F.array(F.round(v, 4), F.round(v, 2), F.round(v, 1), F.bround(v, 0), F.abs(F.round(v, 2)))
+
+
+def allowed_values(columns: list[str]) -> Column:
+    """array<double> of every quantity that a text may state for a payload with these columns."""
+    return F.array_distinct(F.flatten(F.transform(entitled_values(columns), _shapes)))
 
 
 def scrubbed(text: Column) -> Column:
@@ -66,26 +82,35 @@ def scrubbed(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, STATUTE, " "), ACT, " PCMLTFA ")
 
 
-def quantities(text: Column) -> Column:
-    """array<struct<token, value>> of a text's numbers that aren't structural constants; statutes, dates, times aside."""
-    clean = F.regexp_replace(scrubbed(text), DATETIME, " ")
+def quantities(text: Column, clean: Column | None = None) -> Column:
+    """array<struct<token, value>> of a text's numbers that aren't structural constants; statutes, dates, times aside.
+    ``clean``: the text ``scrubbed``, if it is at hand."""
+    clean = F.regexp_replace(scrubbed(text) if clean is None else clean, DATETIME, " ")
     tokens = F.regexp_extract_all(clean, F.lit(NUMBER), F.lit(0))
     parsed = F.transform(tokens, lambda t: F.struct(t.alias("token"), F.regexp_replace(t, "[$,%]", "").try_cast("double").alias("value")))
     return F.filter(parsed, lambda p: p.value.isNotNull() & ~p.value.isin(*[float(x) for x in STRUCTURAL]))
 
 
-def date_tokens(text: Column, ts: Column) -> Column:
+def date_tokens(text: Column, ts: Column, clean: Column | None = None) -> Column:
     """array<struct<token, ok>> of dates and times; ok: all their parts stand in the time, 12-hour forms included."""
     parts = _numbers_in(F.coalesce(ts.cast("string"), F.lit("")))
-    halves = F.transform(F.filter(parts, lambda x: x.between(0, 23)), lambda h: F.when(h % 12 == 0, 12.0).otherwise(h % 12))
-    known = F.concat(parts, halves)
-    return F.transform(F.regexp_extract_all(scrubbed(text), F.lit(DATETIME), F.lit(0)), lambda t: F.struct(t.alias("token"), F.forall(_numbers_in(t), lambda x: F.array_contains(known, x)).alias("ok")))
+    halves = lambda p: F.transform(F.filter(p, lambda x: x.between(0, 23)), lambda h: F.when(h % 12 == 0, 12.0).otherwise(h % 12))
+    known = _once(parts, lambda p: F.concat(p, halves(p)))
+    return _once(known, lambda known: F.transform(F.regexp_extract_all(scrubbed(text) if clean is None else clean, F.lit(DATETIME), F.lit(0)), lambda t: F.struct(t.alias("token"), F.forall(_numbers_in(t), lambda x: F.array_contains(known, x)).alias("ok"))))
 
 
 def is_grounded(value: Column, allowed: Column, rel: float = 0.01, abs_tol: float = 0.01) -> Column:
     return F.exists(allowed, lambda a: F.abs(value - a) <= F.greatest(F.lit(abs_tol), F.abs(a) * rel))
 
 
+def is_entitled(value: Column, entitled: Column, rel: float = 0.01, abs_tol: float = 0.01) -> Column:
+    """``is_grounded`` by what the ``entitled_values`` may be written as. A shape is less than 0.6 from its value or the
+    value's amount, so values farther off than that and the tolerance are passed over before anything is rounded."""
+    reach = lambda v: 0.6 + abs_tol + 2 * rel * (F.abs(v) + 1)
+    near = F.filter(entitled, lambda v: (F.abs(value - v) <= reach(v)) | (F.abs(value - F.abs(v)) <= reach(v)))
+    return F.exists(near, lambda v: is_grounded(value, _shapes(v), rel, abs_tol))
+
+
 def unsupported_claims(text: Column) -> Column:
     """array<struct<phrase, reason>>, the first match of each pattern."""
     found = F.array(*[F.struct(F.regexp_extract(text, "(?i)" + p, 0).alias("phrase"), F.lit(r).alias("reason")) for p, r in CLAIMS])
@@ -96,8 +121,9 @@ def ground(df: DataFrame, narrative: str = "narrative") -> DataFrame:
     """``df`` with grounded and ungrounded tokens, claims, ``ok`` and a summary; payload columns are those of ``df``."""
     text = F.coalesce(F.col(narrative), F.lit(""))
     ts = F.col("trans_date_trans_time") if "trans_date_trans_time" in df.columns else F.lit(None).cast("string")
-    d = df.withColumns({"__allowed": allowed_values(df.columns), "__q": quantities(text), "__t": date_tokens(text, ts), "claims": unsupported_claims(text)})
-    q = F.transform("__q", lambda x: F.struct(x.token.alias("token"), is_grounded(x.value, F.col("__allowed")).alias("ok")))
+    d = df.withColumn("__clean", scrubbed(text))
+    d = d.withColumns({"__entitled": entitled_values(df.columns), "__q": quantities(text, F.col("__clean")), "__t": date_tokens(text, ts, F.col("__clean")), "claims": unsupported_claims(text)})
+    q = _once(F.col("__entitled"), lambda e: F.transform("__q", lambda x: F.struct(x.token.alias("token"), is_entitled(x.value, e).alias("ok"))))
     d = d.withColumn("__all", F.concat("__t", q))
     pick = lambda ok: F.transform(F.filter("__all", lambda x: x.ok == ok), lambda x: x.token)
     d = d.withColumns({"grounded": pick(True), "ungrounded": pick(False)}).withColumn("ok", (F.size("ungrounded") == 0) & (F.size("claims") == 0))
@@ -107,7 +133,7 @@ def ground(df: DataFrame, narrative: str = "narrative") -> DataFrame:
         F.when(F.size("claims") > 0, F.concat(F.size("claims").cast("string"), F.lit(" claim(s) about unsupplied data: "), F.array_join(F.transform(F.slice("claims", 1, 4), lambda c: c.reason), "; "))),
     )
     done = F.concat(F.lit("GROUNDED: all "), F.size("grounded").cast("string"), F.lit(" quantities trace to the payload."))
-    return d.withColumn("summary", F.when(F.col("ok"), done).otherwise(F.concat(F.lit("UNGROUNDED -- "), parts))).drop("__allowed", "__q", "__t", "__all")
+    return d.withColumn("summary", F.when(F.col("ok"), done).otherwise(F.concat(F.lit("UNGROUNDED -- "), parts))).drop("__clean", "__entitled", "__q", "__t", "__all")
 
 
 def completeness(df: DataFrame, text: str = "narrative") -> DataFrame:
