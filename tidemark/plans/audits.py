@@ -214,10 +214,11 @@ def str2_state(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     source, out = _unique(spark, "arrivals"), _unique(spark, "state")
     us = F.unix_micros("ts")
-    cuts = e.agg(F.percentile_approx(us, [1 / 3, 2 / 3])).first()[0]
+    cuts, n = e.agg(F.percentile_approx(us, [1 / 3, 2 / 3]), F.count("*")).first()
+    files = 1 + n // (1 << 21)  # of a part, so that no task writes a third of the table; a batch takes as many
     for part in (us < cuts[0], us.between(cuts[0], cuts[1] - 1), us >= cuts[1]):  # files are taken in order of their times
-        e.where(part).coalesce(1).write.mode("append").parquet(source)
+        (e.where(part).coalesce(1) if files == 1 else e.where(part).repartition(files)).write.mode("append").parquet(source)
     e.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("user_id"), (F.col("ts") + F.expr("interval 2 hours")).alias("ts")).write.mode("append").parquet(source)
-    stream = jobs.state_session(spark).readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = jobs.state_session(spark).readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(source)
     jobs.velocity_state_stream(stream, out, _unique(spark, "late"), _unique(spark, "ck"), key="user_id", ident="event_id").awaitTermination()
     return rounded(spark.read.parquet(out).where("event_id is not null").select("event_id", "txns_24h", "txns_7d"))

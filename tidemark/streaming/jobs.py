@@ -77,6 +77,7 @@ class _Velocity(StatefulProcessor):
         self.windows = {n: d * DAY_US for n, d in windows.items()}
         self.longest = max(self.windows.values())
         self.ident = ident
+        self.row = Row("key", "ident", "us", *windows, "late")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -84,17 +85,16 @@ class _Velocity(StatefulProcessor):
         self.recent = handle.getListState("recent", "us long")
 
     def _row(self, key: tuple, us: int, ident, counts: dict[str, int] | None) -> Row:
-        return Row(key=key[0], ident=ident, us=us, **{n: (counts or {}).get(n) for n in self.windows}, late=counts is None)
+        return self.row(key[0], ident, us, *[(counts or {}).get(n) for n in self.windows], counts is None)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         mark = timerValues.getCurrentWatermarkInMs()
         new = []
         for r in rows:
-            if r.mark is None:  # the entry that carries the row; the other one moves the watermark
-                if mark > 0 and r.us // 1000 < mark:
-                    yield self._row(key, r.us, r.ident, None)
-                else:
-                    new.append((r.us, r.ident))
+            if mark > 0 and r.us // 1000 < mark:
+                yield self._row(key, r.us, r.ident, None)
+            else:
+                new.append((r.us, r.ident))
         if new:
             self.waiting.appendList(new)
             self.handle.registerTimer(min(new)[0] // 1000 + 1)
@@ -134,13 +134,13 @@ def velocity_state(events: DataFrame, key: str = "cc_num", ts: str = "ts", ident
     """(key, ident, ts, counts, late) of a stream in a ``state_session``, whose ``ts`` has a time zone.
 
     Counts are those of a batch over all rows that weren't late; late rows have none. A row stands twice on its way: one
-    entry has its time for the watermark, the other has none and is so never dropped as late before the card sees it.
+    entry has its time, moves the watermark and ends there; the other has none, so it is never dropped as late, and goes to the card.
     A card's rows of the longest window are its state; a timer clears it when no window reaches them any more.
     """
     windows = windows or WINDOWS
     kind, of = events.schema[ident].dataType.simpleString(), events.schema[key].dataType.simpleString()
     both = F.explode(F.array(F.col(ts), F.lit(None).cast("timestamp"))).alias("mark")
-    entries = events.where(F.col(ts).isNotNull()).select(F.col(key).alias("key"), F.col(ident).alias("ident"), F.unix_micros(ts).alias("us"), both).withWatermark("mark", delay)
+    entries = events.where(F.col(ts).isNotNull()).select(F.col(key).alias("key"), F.col(ident).alias("ident"), F.unix_micros(ts).alias("us"), both).withWatermark("mark", delay).where("mark is null")
     schema = f"key {of}, ident {kind}, us long, " + ", ".join(f"{n} int" for n in windows) + ", late boolean"
     out = entries.groupBy("key").transformWithState(_Velocity(windows, kind), schema, "append", "eventTime")
     return out.select(F.col("key").alias(key), F.col("ident").alias(ident), F.timestamp_micros("us").alias(ts), *windows, "late")
