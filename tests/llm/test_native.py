@@ -425,3 +425,20 @@ def test_mixing_does_not_depend_on_the_session(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", held)
     assert taken[0] == taken[1]
+
+
+def test_trees_are_fitted_on_all_documents(spark, monkeypatch):
+    seen = {}
+
+    class Enough(Exception):
+        pass
+
+    def count(docs, _tmp):
+        seen["rows"] = docs.count()
+        raise Enough
+
+    monkeypatch.setattr(pii, "planted", count)
+    docs = spark.range(20_500).selectExpr("if(id % 100 = 0, null, id) as doc_id", "'call 555' as text")
+    with pytest.raises(Enough):
+        pii.fit(docs)
+    assert seen["rows"] == 20_500

@@ -6,7 +6,7 @@ its format and context, and a span is added where its score reaches a threshold
 trees are trained by Spark ML and then written out as one column expression, so that scoring is a projection like the
 patterns: no shuffle, and nothing but built-ins.
 
-Training examples come from a bounded sample of texts. Labels come from what is planted, not from a rule on form:
+Training examples come from all texts. Labels come from what is planted, not from a rule on form:
 rewritten copies, in which each base match takes a form that the base patterns miss and secrets lose what gave them away,
 give positives; so do numbers and secrets put into windows of the texts after words that tell what they are. The same
 forms put after other words (order numbers that pass the card check, part numbers in phone form, checksums, products of
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, table, text_or_empty
+from tidemark.llm.common import Scratch, n_partitions, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 # Fixed by the contract; possessive loops keep Java's matcher from recursing, and an address is only begun where a run of its
@@ -88,7 +88,6 @@ PLANTS = (
     ("secret", ("", "uuid", "build", "release"), ("mixed", "uuid"), False),
 )
 AROUND = 60  # code points of a text on each side of a plant
-TRAIN_DOCS = 20_000  # bound of the sample of documents that the trees are fitted on, by a hash of their id
 MIN_PRECISION = 0.98
 CONTEXT = 24
 _SPANS = "array<struct<start:int,no:int,end:int>>"
@@ -365,8 +364,8 @@ def planted(docs: DataFrame, tmp: Scratch) -> DataFrame:
     return d.select("doc_id", (F.col("yes") & whole).cast("double").alias("label"), F.lit(True).alias("addable"), "c.*").drop("txt")
 
 
-def fit(docs: DataFrame, bound: int = TRAIN_DOCS):
-    """(model, threshold a kind) from the examples of a bounded sample of documents, or None without both classes.
+def fit(docs: DataFrame):
+    """(model, threshold a kind) from the examples of all documents, or None without both classes.
 
     A fifth of the documents is held out: a kind's threshold is the least at which held-out candidates that could be
     added, at or above it, are positive to MIN_PRECISION. Without any the kind adds nothing.
@@ -375,20 +374,17 @@ def fit(docs: DataFrame, bound: int = TRAIN_DOCS):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    # only ids are ordered; the texts of the sample are read where they lie
     tmp = Scratch(docs.sparkSession, "op10")
-    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     any_need = F.lit(False)
     for needs in WIDE_NEEDS.values():
         any_need = any_need | F.col("text").rlike(needs)
-    sample = docs.join(F.broadcast(ids), "doc_id", "left_semi")
-    rows = tmp.write(examples(sample.where(any_need)).unionByName(planted(sample, tmp)).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5))), "examples")
+    rows = tmp.write(examples(docs.where(any_need)).unionByName(planted(docs, tmp)).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5))), "examples")
     seen = {r.label: r.n for r in rows.where("fold > 0").groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(seen) < 2:
         tmp.drop()
         return None
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    model = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.4, seed=5, maxBins=32).fit(vectors.transform(rows.where("fold > 0")).select("features", "label").repartition(4))
+    model = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.4, seed=5, maxBins=32).fit(vectors.transform(rows.where("fold > 0")).select("features", "label").repartition(n_partitions(docs.sparkSession)))
     held = model.transform(vectors.transform(rows.where("fold = 0 and addable"))).select("no", "label", F.round(vector_to_array("probability")[1], 3).alias("p"))
     table_ = held.groupBy("no", "p").agg(F.sum("label").alias("hit"), F.count("*").alias("n")).collect()  # a thousand scores a kind at most
     tmp.drop()
@@ -404,7 +400,7 @@ def fit(docs: DataFrame, bound: int = TRAIN_DOCS):
     return model, limits
 
 
-def redactions(docs: DataFrame, bound: int = TRAIN_DOCS, fitted=None) -> DataFrame:
+def redactions(docs: DataFrame, fitted=None) -> DataFrame:
     """doc_id, text, base and all spans (start, no, end; code points, end exclusive) of each row.
 
     Added spans are candidates at their kind's threshold that overlap no base span. ``fitted`` is what ``fit`` returned
@@ -413,7 +409,7 @@ def redactions(docs: DataFrame, bound: int = TRAIN_DOCS, fitted=None) -> DataFra
     columns are not read.
     """
     d = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    fitted = fitted or fit(d, bound)
+    fitted = fitted or fit(d)
     d = d.withColumn("base", base_spans(F.col("text")))
     if fitted is None:
         return d.withColumn("spans", F.col("base"))
