@@ -85,3 +85,19 @@ def test_op6_against_the_library(spark):
         ids = LIBRARY[WORD].encode(r.text or "", add_special_tokens=False).ids
         text = LIBRARY[WORD].decode(ids, skip_special_tokens=False)
         assert got[r.doc_id] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_ids_without_places_equal_the_library():
+    """The library is asked for ids alone, never for places in the text, on new chunks, first chunks and whole texts."""
+    from tidemark.llm.bpe import tokenizer_path
+    from tidemark.llm.tokens import ByteBpe
+
+    class IdsOnly:
+        def __init__(self, tok):
+            self.encode_batch_fast = tok.encode_batch_fast
+
+    texts = ["<|endoftext|> a  b ", "a <|endoftext|> b", "  x", "x \n y", "", "a  b", " ", "a b\t c", "über straße 𝒳 日本", "one two three two one", "tail "]
+    bpe = ByteBpe(tokenizer_path("byte_bpe_50k.json"))
+    want = [bpe.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    bpe.tok = IdsOnly(bpe.tok)
+    assert [x.tolist() for x in bpe.encode(texts)] == want and [x.tolist() for x in bpe.encode(texts)] == want

@@ -11,6 +11,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +56,7 @@ class Chunks(dict):
             fresh, self.fresh = self.fresh, []
             self._append(*learn(fresh, self.special))
         lens = [len(r) for r in rows]
-        codes = np.fromiter((c for r in rows for c in r), np.int64, sum(lens))
+        codes = np.fromiter(chain.from_iterable(rows), np.int64, sum(lens))
         n = self.n[codes]
         total = np.cumsum(n)
         first = total - n

@@ -39,10 +39,11 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` values that ``pack`` wrote."""
     lens = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
     at = np.cumsum(lens) - lens
-    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)])
+    raw = np.frombuffer(data, np.uint8)
     out = np.zeros(n, np.uint32)
-    for i in range(4):
-        out |= np.where(lens > i, raw[np.minimum(at + i, len(raw) - 1)], 0).astype(np.uint32) << np.uint32(8 * i)
+    for i in range(int(lens.max(initial=0))):
+        has = np.flatnonzero(lens > i)
+        out[has] |= raw[at[has] + i].astype(np.uint32) << np.uint32(8 * i)
     return out
 
 
@@ -66,9 +67,19 @@ class ByteBpe:
     def unsafe(self, chunk: str) -> bool:
         return not chunk or chunk[-1].isspace() or any(s in chunk for s in self.special)
 
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        """The library's ids without the places in the text, which take it as long as the ids."""
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
     def learn(self, chunks: list[str], _special: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        bad = np.array([self.unsafe(c) for c in chunks])
-        ids = np.array(self.tok.encode("".join(" " + c for c, b in zip(chunks, bad, strict=True) if not b), add_special_tokens=False).ids, np.int64)
+        joined = " " + " ".join(chunks)
+        if any(s in joined for s in self.special):
+            bad = np.array([self.unsafe(c) for c in chunks])
+        else:
+            bad = np.array([not c or c[-1].isspace() for c in chunks])
+        if bad.any():
+            joined = "".join(" " + c for c, b in zip(chunks, bad.tolist(), strict=True) if not b)
+        ids = np.array(self.ids([joined])[0], np.int64)
         lens = np.zeros(len(chunks), np.int64)
         starts = np.flatnonzero(self.blank[ids]) if len(ids) else np.zeros(0, np.int64)
         assert len(starts) == (~bad).sum(), "a blank inside a chunk"
@@ -84,10 +95,10 @@ class ByteBpe:
         odd = lambda p: (len(p) > 1 and self.unsafe(p[0])) or any(s in p[0] for s in self.special)
         heads = [i for i, p in enumerate(parts) if not odd(p) and not none[rows[i]].any()]
         whole = sorted({*range(len(texts))} - {*heads})
-        for i, e in zip(heads, self.tok.encode_batch_fast([parts[i][0] for i in heads], add_special_tokens=False), strict=True):
-            found[i] = np.concatenate([np.array(e.ids, np.int32), found[i]])
+        for i, x in zip(heads, self.ids([parts[i][0] for i in heads]), strict=True):
+            found[i] = np.concatenate([np.array(x, np.int32), found[i]])
         for i in whole:
-            found[i] = np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, np.int32)
+            found[i] = np.array(self.ids([texts[i]])[0], np.int32)
         if len(seen) > CACHE_ENTRIES:
             self.chunks = Chunks()
         return found
