@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import table
 from tidemark.llm.flat import slices
 
-CACHE_ENTRIES = 800_000  # distinct chunks whose ids a worker remembers (about 150 MB); only speed depends on it
+CACHE_ENTRIES = 800_000  # distinct chunks whose ids a task remembers (about 150 MB); only speed depends on it
 
 
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split(), but not to the tokenizer
@@ -183,7 +183,7 @@ _LOADED: dict[str, WordBpe] = {}
 
 
 def loaded(path: str) -> WordBpe:
-    """One encoder a Python worker, kept between its tasks."""
+    """One encoder a Python worker, kept between its tasks; the chunks that a task has learned go with the task."""
     if path not in _LOADED:
         _LOADED[path] = WordBpe(path)
     return _LOADED[path]
@@ -196,26 +196,30 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", with_ids: b
     """Per row of ``docs``: doc_id, n_tokens, SHA-256 of the ids and of the text decoded from them; ``ids`` if asked.
 
     Null text counts as empty (no ids, the digest of nothing); rows with equal or null doc_id are separate rows; other
-    columns are not read. No shuffle: tasks map batches, and a slice of 2 MB of text bounds what a worker holds.
+    columns are not read. No shuffle: tasks map batches; a slice of 2 MB of text and the chunks learned bound what a worker
+    holds, and between tasks it holds the encoder alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in batches:
-            for part in slices(batch):
-                found = bpe.encode([t or "" for t in part.column("text").to_pylist()])
-                ids = [x.astype("<u4").tobytes() for x in found]
-                cols = [
-                    part.column("doc_id").cast(pa.int64()),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(bpe.decode(np.frombuffer(x, "<u4")).encode()).hexdigest() for x in ids]),
-                ]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    cols.append(pa.array(ids, pa.binary()))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(cols, names)
+        try:
+            for batch in batches:
+                for part in slices(batch):
+                    found = bpe.encode([t or "" for t in part.column("text").to_pylist()])
+                    ids = [x.astype("<u4").tobytes() for x in found]
+                    cols = [
+                        part.column("doc_id").cast(pa.int64()),
+                        pa.array([len(x) // 4 for x in ids], pa.int64()),
+                        pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
+                        pa.array([hashlib.sha256(bpe.decode(np.frombuffer(x, "<u4")).encode()).hexdigest() for x in ids]),
+                    ]
+                    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                    if with_ids:
+                        cols.append(pa.array(ids, pa.binary()))
+                        names.append("ids")
+                    yield pa.RecordBatch.from_arrays(cols, names)
+        finally:
+            bpe.chunks = Chunks()  # workers outlive the query, and later steps need the memory
 
     from pyspark.sql import functions as F
 

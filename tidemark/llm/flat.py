@@ -56,7 +56,8 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
     """``batch`` in runs of rows whose texts hold ``limit`` bytes, or one row."""
     if not batch.num_rows:
         return
-    _, offs = view(batch.column(column))
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    offs = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     lo = 0
     while lo < batch.num_rows:
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
@@ -65,15 +66,22 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
 
 
 def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each byte run data[start:end]; empty runs hash by their length 0."""
+    """A 64-bit hash of each byte run data[start:end]; empty runs hash by their length 0.
+
+    Places are of four bytes where they fit, and values are multiplied in place: a byte of text costs about 26.
+    """
     lens = ends - starts
     out = np.zeros(len(starts), np.uint64)
-    if lens.sum():
+    if total := int(lens.sum()):
         full = lens > 0
         s, n = starts[full], lens[full]
         first = np.cumsum(n) - n
-        within = np.arange(int(n.sum())) - np.repeat(first, n)
-        vals = _BYTE[data[within + np.repeat(s, n)]] * powers(int(n.max()))[within]
+        kind = np.int32 if max(total, len(data)) < 1 << 31 else np.int64
+        at = np.arange(total, dtype=kind)
+        at += np.repeat((s - first).astype(kind), n)
+        vals = _BYTE[data[at]]
+        at -= np.repeat(s.astype(kind), n)
+        vals *= powers(int(n.max()))[at]
         out[full] = np.add.reduceat(vals, first)
     return mix(out ^ mix(lens.astype(np.uint64) + np.uint64(seed)))
 

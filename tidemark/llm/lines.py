@@ -53,7 +53,8 @@ def line_chunks_of(data: np.ndarray, offs: np.ndarray, divisor: int = DIVISOR) -
         z, u = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         return {"row": z, "start": z, "size": z, "lines": z, "h1": u, "h2": u}, {"chunk": z, "start": z, "size": z, "h1": u, "h2": u, "inner": z.astype(bool)}
     h = hash_runs(data, starts, ends)
-    solid = np.concatenate([[0], np.cumsum(~SPACE[data])])
+    solid = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(~SPACE[data], out=solid[1:])
     a, b, same = h[:-1], h[1:], row[:-1] == row[1:]
     rolling = mix(a * _ODD ^ b)
     # the boundary after a line depends on it and the line before it in its text
@@ -147,6 +148,29 @@ def repeats(docs: DataFrame, coarse: bool = True) -> DataFrame:
     return cut
 
 
+def _without(texts: pa.Array, cuts: pa.Array) -> tuple[list[str | None], list[int], list[int]]:
+    """Each text without its cuts (start and size in bytes, ascending), with how many runs and lines go."""
+    out, runs, lines = [], [], []
+    for t, c in zip(texts.to_pylist(), cuts.to_pylist(), strict=True):
+        gone: list[list[int]] = []
+        k = 0
+        if c and t is not None:
+            raw = t.encode()
+            for at_, size in ((x["start"], x["size"]) for x in c):
+                end = min(len(raw), at_ + size + 1)
+                if gone and at_ <= gone[-1][1]:
+                    gone[-1][1] = max(gone[-1][1], end)
+                else:
+                    gone.append([at_, end])
+            k = sum(raw.count(b"\n", lo, hi) + (raw[hi - 1 : hi] != b"\n") for lo, hi in gone)
+            stay = zip([0, *(hi for _, hi in gone)], [*(lo for lo, _ in gone), len(raw)], strict=True)
+            t = b"".join([raw[lo:hi] for lo, hi in stay]).decode()
+        out.append(t)
+        runs.append(len(gone))
+        lines.append(k)
+    return out, runs, lines
+
+
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with a ``text`` without repeated runs of lines, and ``removed_chunks`` (runs) and ``removed_lines`` of each row.
 
@@ -163,28 +187,12 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, runs, lines = [], [], []
-            for t, c in zip(batch.column("text").to_pylist(), batch.column("__cut").to_pylist(), strict=True):
-                gone: list[list[int]] = []
-                k = 0
-                if c and t is not None:
-                    raw = t.encode()
-                    for at_, size in ((x["start"], x["size"]) for x in c):
-                        end = min(len(raw), at_ + size + 1)
-                        if gone and at_ <= gone[-1][1]:
-                            gone[-1][1] = max(gone[-1][1], end)
-                        else:
-                            gone.append([at_, end])
-                    k = sum(raw.count(b"\n", lo, hi) + (raw[hi - 1 : hi] != b"\n") for lo, hi in gone)
-                    stay = zip([0, *(hi for _, hi in gone)], [*(lo for lo, _ in gone), len(raw)], strict=True)
-                    t = b"".join([raw[lo:hi] for lo, hi in stay]).decode()
-                texts.append(t)
-                runs.append(len(gone))
-                lines.append(k)
-            cols = {at: pa.array(texts, pa.string()), runs_at: pa.array(runs, pa.int32()), lines_at: pa.array(lines, pa.int64())}
-            for i, c in cols.items():
-                batch = batch.set_column(i, batch.schema.names[i], c)
-            yield batch.drop_columns("__cut")
+            for part in slices(batch):
+                texts, runs, lines = _without(part.column("text"), part.column("__cut"))
+                cols = {at: pa.array(texts, pa.string()), runs_at: pa.array(runs, pa.int32()), lines_at: pa.array(lines, pa.int64())}
+                for i, c in cols.items():
+                    part = part.set_column(i, part.schema.names[i], c)
+                yield part.drop_columns("__cut")
 
     return joined.mapInArrow(run, schema)
 
